@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, quality_rules, sentencepiece_bpe, simhash
+from lectern.llm import packing, quality_classifier, quality_rules, sentencepiece_bpe, simhash
 from lectern.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -38,6 +38,13 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.concat_ws(",", "failed_rules").alias("failed_rules"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality_classifier.learn(docs, table(spark, sf_dir, "labels"))
+    scored = quality_classifier.with_score(docs, machine, ["doc_id"])
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
