@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, quality_classifier, quality_rules, sentencepiece_bpe, simhash, url_filter
+from lectern.llm import license_scan, packing, quality_classifier, quality_rules, sentencepiece_bpe, simhash, url_filter
 from lectern.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -49,6 +49,22 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    listed = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    place = F.col("base.place")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min(place).alias("first_word"),
+        F.array_max(place).alias("last_word"),
+        listed(F.col("base.label")).alias("base_labels"),
+        listed(F.concat("base.label", "detections.label")).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(1 - F.aggregate("detections.confidence", F.lit(1.0), lambda left, c: left * (1 - c))).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
