@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import license_scan, packing, quality_classifier, quality_rules, sentencepiece_bpe, simhash, url_filter
+from lectern.llm import license_scan, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, url_filter
 from lectern.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -65,6 +65,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    narrow = lambda spans, kind: F.transform(spans, lambda s: F.struct(kind(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    base = narrow(F.col("base"), lambda s: s["kind"])
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    every = F.concat(base, narrow(F.col("terms"), lambda s: F.lit(pii.TERM)))
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
