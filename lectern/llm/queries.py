@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import license_scan, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, url_filter
+from lectern.llm import audio_fingerprint, license_scan, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, url_filter
 from lectern.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -74,6 +74,30 @@ def op9_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(every).alias("spans"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after four edits each: a removal, an insertion, a replacement and an addition at the end."""
+    tokenizer = public_tokenizers.path(BYTE_BPE)
+    trees = token_counts.build(table(spark, sf_dir, "documents"), tokenizer)
+    size = F.length("text")
+    place = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), size + 1).cast("int")
+    change = lambda start, length, put: F.struct(start.alias("start"), (start + length).alias("end"), put.alias("put"))
+    edits = F.array(
+        change(place(1), F.lit(20), F.lit("")),
+        change(place(2), F.lit(0), F.substring("text", 1, 30)),
+        change(place(3), F.lit(12), F.lit(" it's\n 42")),
+        change(size + 100, F.lit(0), F.lit(" The end.")),
+    )
+    edited = token_counts.apply_edits(trees.withColumn("edits", edits), tokenizer)
+    return edited.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), "n_reencoded", F.size("leaf_chars").cast("bigint").alias("n_leaves"))
+
+
+def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes taken as 8-bit samples; ids divisible by 50 are the recordings searched for."""
+    recordings = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("samples"))
+    found = audio_fingerprint.best_matches(audio_fingerprint.fingerprint(recordings), F.col("key") % 50 == 0)
+    return found.withColumnsRenamed({"key": "doc_id", "query": "query_id"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
