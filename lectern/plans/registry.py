@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from lectern.plans import corpus_queries
+
+MODULES = (corpus_queries,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
