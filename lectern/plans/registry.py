@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import corpus_queries, retrieval_queries
+from lectern.plans import corpus_queries, retrieval_queries, study_queries
 
-MODULES = (corpus_queries, retrieval_queries)
+MODULES = (corpus_queries, retrieval_queries, study_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
