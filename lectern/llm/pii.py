@@ -124,11 +124,11 @@ def revealing(near: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= MIN_CONTEXTS)
     pairs = durable(pairs)
     entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("alone"))
-    wanted = durable(pairs.select("term").distinct())
-    if not wanted.count():
-        return pairs.select("entity", "term", F.lit(0.0).alias("share")).limit(0)
+    if pairs.isEmpty():
+        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
+    # Counted before they are joined: a join of single words would pass on as many rows as the frequent ones have.
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    frequency = words.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("documents"))
+    frequency = words.groupBy("term").agg(F.count("*").alias("documents"))
     total = F.lit(docs.count())
     share = F.log(F.col("together") * total / (F.col("alone") * F.greatest("documents", "together"))) / F.log(total / F.col("alone"))
     return pairs.join(entities, "entity").join(frequency, "term").filter(total > F.col("alone")).select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
