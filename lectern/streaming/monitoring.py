@@ -58,7 +58,7 @@ def clean_stream(pieces: DataFrame, idle: int = 60_000) -> DataFrame:
 
 
 def daily_score_stream(scored: DataFrame, *by: str, late: str = "1 day") -> DataFrame:
-    return daily_scores(scored.withWatermark("ts", late), *by)
+    return daily_scores(scored.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), *by)
 
 
 def ingest(passages: DataFrame, embed, path: str, checkpoint: str):
