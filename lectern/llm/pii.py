@@ -134,10 +134,6 @@ def revealing(near: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(entities, "entity").join(frequency, "term").filter(total > F.col("alone")).select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
 
 
-def row_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_row_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_row_key": F.xxhash64("doc_id", "text")})
-
-
 def terms_by_row(found: DataFrame, docs: DataFrame) -> DataFrame:
     """_row_id, _row_key and terms (start, end, share) of rows that have revealing words."""
     near = mentions(found)
@@ -184,10 +180,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text stays null. Texts are read twice and not shuffled unless more than BROADCAST_ROWS rows have
     revealing words.
     """
-    keyed = row_key(docs.withColumn("text", F.col("text")))
     extra = terms_by_row(_found(docs), _texts(docs)).withColumnRenamed("terms", "_terms")
     text = F.coalesce("text", F.lit(""))
-    marked = keyed.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("bigint"), text)).join(small(extra), ["_row_id", "_row_key"], "left")
+    doc_id = F.col("doc_id").cast("bigint")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(whole, "text", F.coalesce(doc_id, F.lit(0)).alias("_row_id"), F.xxhash64(doc_id, text).alias("_row_key"))
+    marked = keyed.join(small(extra), ["_row_id", "_row_key"], "left")
     cut = "array<struct<start:int,end:int,put:string>>"
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
     terms = F.transform(F.coalesce("_terms", F.array().cast(NO_TERMS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= REMOVE, "").otherwise("[TERM]").alias("put")))
@@ -201,8 +199,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("_cuts", first, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    text_out = F.when(F.size("_cuts") == 0, F.col("text")).otherwise(clean)
-    out = ordered.withColumn("text", text_out)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_cuts") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = F.size("_cuts") == 0
+    new = ordered.withColumn("text", F.when(same, F.col("text")).otherwise(clean))
+    count = F.when(same, F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    put = {"text": F.col("text"), "n_chars": count}
+    return new.select(*[put.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

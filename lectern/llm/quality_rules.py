@@ -159,7 +159,6 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Da
 
 def filter_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns; texts are never shuffled."""
-    marked = with_stratum(docs, stratum)
-    chosen = cutoffs(with_stats(marked, ["doc_id", "_stratum"]), labels, "_stratum")
-    renamed = marked.select(F.col("text"), "_stratum", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return judge(with_stats(renamed, ["_stratum", "_row"]), chosen, "_stratum").filter("kept").select("_row.*")
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"))
+    chosen = cutoffs(with_stats(whole, ["doc_id", "_stratum"]), labels, "_stratum")
+    return judge(with_stats(whole, ["_stratum", "_row"]), chosen, "_stratum").filter("kept").select("_row.*")

@@ -152,5 +152,6 @@ def keep_one(docs: DataFrame, words_each: int = 5, max_bits: int = 5) -> DataFra
     per_fp = found.groupBy("fp").agg(first)
     kept = per_fp.join(_rooted(found, max_bits), "fp").groupBy("root").agg(F.min("first").alias("first"))
     kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.row_key").alias("_kept_key"))
-    rows = docs.withColumns({"_kept_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "_kept_key": F.xxhash64("doc_id", "text")})
-    return rows.join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"]).drop("_kept_id", "_kept_key")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_kept_id"), F.xxhash64("doc_id", "text").alias("_kept_key"))
+    return rows.join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"]).select("_row.*")
