@@ -22,11 +22,17 @@ def query_text(model: Column, text: Column, labelled: Column) -> Column:
     return F.when((model == LABELLED_MODEL) & labelled, F.concat(F.lit("task: search result | query: "), text)).otherwise(text)
 
 
-def term_frequencies(passages: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, tf and dl. Counting inside a passage needs no shuffle: its tokens are one array."""
-    held = passages.select(*keys, tx.tokens(F.col("text")).alias("_t")).withColumn("dl", F.size("_t"))
-    each = held.select(*keys, "dl", "_t", F.explode(F.array_distinct("_t")).alias("term"))
-    return each.select(*keys, "term", (F.col("dl") - F.size(F.array_remove("_t", F.col("term")))).alias("tf"), "dl")
+def term_frequencies(passages: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
+    """keys, term, tf and dl, of the `wanted` terms if given.
+
+    A passage's rows stand together, so counting before the shuffle already gives its frequencies, and
+    only those (of the wanted terms alone) are moved.
+    """
+    held = passages.select(*keys, tx.tokens(F.col("text")).alias("_t"))
+    each = held.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    if wanted is not None:
+        each = each.join(small(wanted), "term", "left_semi")
+    return each.groupBy(*keys, "term", "dl").agg(F.count("*").cast("int").alias("tf")).select(*keys, "term", "tf", "dl")
 
 
 def mean_length(passages: DataFrame) -> DataFrame:
@@ -85,8 +91,7 @@ def bm25_search(passages: DataFrame, queries: DataFrame, keys: list[str], k: int
     and ties go by the passage's key.
     """
     terms = query_terms(queries, key, text)
-    wanted = small(terms.select("term").distinct())
-    own = term_frequencies(passages, keys).join(wanted, "term", "left_semi")
+    own = term_frequencies(passages, keys, terms.select("term").distinct())
     sizes = F.broadcast(mean_length(passages))  # one row
     frequency = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes)
     scale = frequency.select("term", F.log1p((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
