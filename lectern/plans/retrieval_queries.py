@@ -101,6 +101,22 @@ def _(spark, sf):
     return lx.mean_length(v.passages(spark, sf)).select(F.round("avgdl", 6).alias("avgdl"), "n_passages")
 
 
+@book.add("x10_manifest", "SELECT 'given' AS model_name, max(len(embedding))::INT AS dim, count(*) AS n_chunks, 'fixed' AS chunk_strategy FROM embeddings")
+def _(spark, sf):
+    from lectern.sources.index_store import manifest
+
+    made = manifest(v.table(spark, sf, "embeddings"), "given", chunk_strategy="fixed")
+    return made.select("model_name", "dim", "n_chunks", F.col("extras")["chunk_strategy"].alias("chunk_strategy"))
+
+
+@book.add("x11_resume", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def _(spark, sf):
+    from lectern.sources.index_store import missing
+
+    done = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return missing(v.table(spark, sf, "documents").select("doc_id", "lang"), done, ["doc_id"])
+
+
 @book.add("x12_complete", "WITH m AS (SELECT label, count(*) + (label % 2) AS n_chunks FROM embeddings GROUP BY label), c AS (SELECT label, count(*) AS stored FROM embeddings GROUP BY label) SELECT c.label, stored FROM c JOIN m USING (label) WHERE stored = n_chunks")
 def _(spark, sf):
     from lectern.sources.index_store import complete
@@ -167,6 +183,12 @@ def _(spark, sf):
     return rt.rrf(near, back, ["item"], 5).select("query_id", "item", "rank")
 
 
+@book.add("r5_retrieve_bm25", f"{FUSED} SELECT query_id, passage_id, round(score, 6) AS score, rank FROM words WHERE rank <= 10")
+def _(spark, sf):
+    cards, asked = _cards(spark, sf)
+    return rt.retrieve(cards, asked, "bm25", 10).withColumn("score", F.round("score", 6))
+
+
 @book.add("r6_top_n", "SELECT user_id, event_id, value, rank FROM (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS rank FROM events) WHERE rank <= 3")
 def _(spark, sf):
     return lx.top_k(v.table(spark, sf, "events").select("user_id", "event_id", "value"), 3, "user_id", [F.desc("value"), F.col("event_id")])

@@ -237,16 +237,27 @@ def _(spark, sf):
     return v.table(spark, sf, "part").select("p_partkey", splits.tag(size % 2 == 0, size % 3 == 0, F.lit("squish"), size, F.lit(256)).alias("tag"))
 
 
-@book.add("i7_preprocess")
-def _(spark, sf):
-    """A frame of each part, drawn by formula as a bright curved band, 96 x 64."""
+def _drawn(spark, sf):
+    """A scan of each part, drawn by formula as a bright curved band, 96 x 64."""
     w, h = 96, 64
     spot = lambda i: (F.floor(i / w), i % w)
     middle = lambda x: 32 + (x - 48) * (x - 48) / 200 - F.col("p_size") % 5
     pixel = lambda i: F.lpad(F.hex(F.when(F.abs(spot(i)[0] - middle(spot(i)[1])) < 7, 180).otherwise(20).cast("bigint")), 2, "0")
     drawn = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), pixel), ""))
-    scans = v.table(spark, sf, "part").select("p_partkey", F.lit(w).alias("width"), F.lit(h).alias("height"), drawn.alias("pixels"))
-    return images.preprocess_images(scans, images.PreConfig(32, 24), ["p_partkey"])
+    return v.table(spark, sf, "part").select("p_partkey", F.lit(w).alias("width"), F.lit(h).alias("height"), drawn.alias("pixels"))
+
+
+@book.add("i1_white_share", "SELECT p_partkey, 0.0::DOUBLE AS white_share, 'full_flat_letterbox_48x48' AS tag, 48 * 48 AS n_bytes FROM part")
+def _(spark, sf):
+    """Border mask, background fill, stretch and letterbox of every scan (I1, I5, I6)."""
+    made = images.preprocess_images(_drawn(spark, sf), images.PreConfig(48, 48, crop=False, fit="letterbox"), ["p_partkey"])
+    return made.select("p_partkey", "white_share", "tag", F.length("pixels").alias("n_bytes"))
+
+
+@book.add("i7_preprocess")
+def _(spark, sf):
+    """Band, crop, straightening, stretch and squish of every scan (I2 to I7)."""
+    return images.preprocess_images(_drawn(spark, sf), images.PreConfig(32, 24), ["p_partkey"])
 
 
 CLASSES = ["click", "error", "purchase", "signup", "view"]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import text as tx
 from lectern.operators import chunking
+from lectern.operators.sizes import small
 
 LICENSES = ("CC BY 4.0", "unknown", "CC BY-NC 4.0", "CC0 1.0", "CC BY-ND 4.0")
 
@@ -44,11 +44,9 @@ def both_passages(spark: SparkSession, sf: str) -> DataFrame:
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as questions whose source is the lowest document that holds the text."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    words = F.slice(tx.tokens(F.col("question")), 1, 8)
-    probe = items.withColumn("probe", F.array_join(words, " "))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # The items are few; a document is matched with those whose text it holds by a shared first line.
-    held = docs.join(F.broadcast(probe), F.contains(docs["text"], probe["question"])).groupBy("question_id").agg(F.min("doc_id").alias("source"))
+    # The stated questions against all documents: a join on containment, with the questions sent out if they are few.
+    held = docs.join(small(items, 10_000), F.contains(docs["text"], F.col("question"))).groupBy("question_id").agg(F.min("doc_id").alias("source"))
     return items.join(held, "question_id", "left").select(
         "question_id", "question", F.concat(F.lit("PMC"), "source").alias("source_doc_id"), F.concat(F.lit("c"), F.col("question_id") % 5).alias("category"), F.concat(F.lit("s"), F.col("question_id") % 10).alias("subspecialty")
     )
