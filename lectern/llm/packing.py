@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from lectern.llm.common import slices
 
 SEQUENCE_TOKENS = 2048
-OPEN_BINS = 512
+OPEN_BINS = 16_384
+#: Pieces that arrive together; the longest of them are placed first.
+ARRIVALS = 16_384
 END_ID = 0
 #: Encoded words that a Python worker remembers; a full memory is emptied, which changes no result.
 WORD_MEMORY = 400_000
@@ -147,11 +149,12 @@ class BestFit:
         return bin_id, self.capacity - free
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: int = OPEN_BINS, arrivals: int = ARRIVALS) -> DataFrame:
     """Adds sequence_id and offset to pieces no longer than `capacity`; each sequence is gapless from 0.
 
     Pieces are dealt by a hash of themselves, so no key can be hot, and adaptive execution joins small
-    partitions; they arrive in an order fixed by that hash, so a repeated task makes the same sequences.
+    partitions; they arrive in groups of `arrivals` in the order of that hash, the longest of a group first,
+    so a repeated task makes the same sequences.
     A sequence never spans partitions; what is left open at a partition's end is a few bins for each.
     Ties and repeated rows are placed one after another. An empty input gives an empty result.
     """
@@ -161,11 +164,26 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE_TOKENS, open_bins: i
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 36
-        for rows in batches:
+
+        def placed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            rows = rows.take(pa.array(np.argsort(-rows["length"].to_numpy(), kind="stable")))
             places = [bins.place(length) for length in rows["length"].to_pylist()]
             sequence = pa.array([base + b for b, _ in places], pa.int64())
             offset = pa.array([o for _, o in places], pa.int64())
-            yield pa.RecordBatch.from_arrays([*rows.columns, sequence, offset], names=[*names, "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([*rows.columns, sequence, offset], names=[*names, "sequence_id", "offset"])
+
+        held, n = [], 0
+        for batch in batches:
+            for rows in slices([batch], arrivals):
+                if n + rows.num_rows > arrivals:
+                    cut = arrivals - n
+                    yield placed([*held, rows.slice(0, cut)])
+                    held, n, rows = [], 0, rows.slice(cut)
+                held.append(rows)
+                n += rows.num_rows
+        if n:
+            yield placed(held)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.mapInArrow(pack, f"{schema}, sequence_id bigint, offset bigint")
