@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from lectern.llm.common import slices
 
 SPACE = "▁"
-#: Entries that each of a worker's memories holds before it is emptied, which changes no result.
-MEMORY = 300_000
+#: Words, runs within words, and pairs of tokens that a worker remembers; a full memory is emptied, which changes no result.
+WORDS, RUNS, PAIRS = 300_000, 300_000, 400_000
 
 codecs.register_error("one_each", lambda e: ("�", e.start + 1))
 
@@ -58,12 +58,13 @@ class MergeModel:
                 self.automaton.add_word(piece, (len(piece), i))
                 self.adjacent.update(zip(piece, piece[1:], strict=False))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         self.made_of: dict[int, tuple[int, int] | None] = {}
         self.score = [model.get_score(i) for i in range(len(self.pieces))]
         self.shared = {s for s, n in Counter(s for s, _ in self.rank.values()).items() if n > 1}
         self.words: dict[str, bytes] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, list[int]] = {}
 
     def merge(self, text: str) -> list[int]:
         """The model's definition, for the short texts of the checks: always merge the best pair, leftmost first."""
@@ -86,6 +87,13 @@ class MergeModel:
             self.made_of[token] = tuple(self.rank[p][1] for p in parts) if len(parts) == 2 else None
         return self.made_of[token]
 
+    def reachable(self, token: int) -> bool:
+        """Whether merging a token's own characters gives the token."""
+        known = self.whole.get(token)
+        if known is None:
+            known = self.whole[token] = self.merge(self.pieces[token]) == [token]
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined characters again gives these two tokens; a left of -1 is the run's start.
 
@@ -93,19 +101,17 @@ class MergeModel:
         the later made one is undone, and the two that then face each other must not have a merge of
         their own that would have come first. Tokens of equal score go through the definition itself.
         """
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= 4 * MEMORY:
-                self.pairs.clear()
-            if self.merge(self.pieces[right]) != [right]:
-                known = False
-            elif left < 0:
-                known = True
-            elif self.score[left] in self.shared or self.score[right] in self.shared:
-                known = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
-            else:
-                known = self._keep_apart(left, right)
-            self.pairs[left, right] = known
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        if not self.reachable(right):
+            known = False
+        elif left < 0:
+            known = True
+        elif self.score[left] in self.shared or self.score[right] in self.shared:
+            known = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
+        else:
+            known = self._keep_apart(left, right)
+        self.pairs[(left << 32) + right] = known
         return known
 
     def _keep_apart(self, left: int, right: int) -> bool:
@@ -123,7 +129,7 @@ class MergeModel:
             else:
                 until, tie, right = score[right], True, b[0]  # of equal merges the one at the border is further left
 
-    def backtrack(self, run: str) -> tuple[int, ...]:
+    def backtrack(self, run: str) -> list[int]:
         """Tokens of a run of known characters."""
         starts: list[list[tuple[int, int]]] = [[] for _ in run]
         for end, found in self.automaton.iter(run):
@@ -137,7 +143,7 @@ class MergeModel:
                 length, token = here[choice]
                 if failed and failed >> place + length & 1:
                     continue
-                fits = pairs.get((before, token))
+                fits = pairs.get((before << 32) + token)
                 if fits or fits is None and self.compatible(before, token):
                     taken.append((place, choice, token))
                     place += length
@@ -149,45 +155,51 @@ class MergeModel:
                 failed |= 1 << place
                 place, choice, _ = taken.pop()
                 before = taken[-1][2] if taken else -1
-        return tuple([token for _, _, token in taken])
-
-    def _run(self, run: str) -> tuple[int, ...]:
-        ids = self.runs.get(run)
-        if ids is None:
-            if len(self.runs) >= MEMORY:
-                self.runs.clear()
-            known = len(run) > 1 or run in self.rank
-            ids = self.runs[run] = self.backtrack(run) if known else tuple(self.bytes_id.get(b, 0) for b in run.encode())
+        return [token for _, _, token in taken]
+
+    def _run(self, run: str) -> list[int]:
+        if len(self.runs) >= RUNS:
+            self.runs.clear()
+        known = len(run) > 1 or run in self.rank
+        ids = self.runs[run] = self.backtrack(run) if known else [self.bytes_id.get(b, 0) for b in run.encode()]
         return ids
 
     def _word(self, word: str) -> bytes:
         """Cuts between characters that stand side by side in no piece, as no merge can join them."""
         out: list[int] = []
-        start, adjacent = 0, self.adjacent
+        start, adjacent, runs, new = 0, self.adjacent, self.runs, self._run
         for k, two in enumerate(zip(word, word[1:], strict=False), 1):
             if two not in adjacent:
-                out += self._run(word[start:k])
+                run = word[start:k]
+                out += runs.get(run) or new(run)
                 start = k
-        return array("i", [*out, *self._run(word[start:])]).tobytes()
+        run = word[start:]
+        out += runs.get(run) or new(run)
+        return array("i", out).tobytes()
+
+    def _new(self, word: str) -> bytes:
+        if len(self.words) >= WORDS:
+            self.words.clear()
+        ids = self.words[word] = self._word(SPACE + word)
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers. The text gets the model's leading space; no piece goes on past a word into a space."""
         if not text:
             return b""
         words = text.replace(SPACE, " ").split(" ")
-        memory, out, held = self.words, [], 1
+        memory, new = self.words, self._new
+        if "" not in words:
+            return b"".join([memory.get(w) or new(w) for w in words])
+        out, held = [], 1
         for word in words[:-1] if not words[-1] else words:
             if not word:
                 held += 1
-                continue
-            word = SPACE * held + word
-            held = 1
-            ids = memory.get(word)
-            if ids is None:
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                ids = memory[word] = self._word(word)
-            out.append(ids)
+            elif held == 1:
+                out.append(memory.get(word) or new(word))
+            else:
+                out.append(self._word(SPACE * held + word))
+                held = 1
         if not words[-1]:
             out.append(self._word(SPACE * held))
         return b"".join(out)
