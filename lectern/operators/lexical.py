@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators.sizes import small
+from lectern.operators.sizes import BROADCAST_ROWS, hinted
 
 K1, B = 1.5, 0.75
 LABELLED_MODEL = "google/embeddinggemma-300m"
@@ -31,7 +31,7 @@ def term_frequencies(passages: DataFrame, keys: list[str], wanted: DataFrame | N
     held = passages.select(*keys, tx.tokens(F.col("text")).alias("_t"))
     each = held.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     if wanted is not None:
-        each = each.join(small(wanted), "term", "left_semi")
+        each = each.join(wanted, "term", "left_semi")
     return each.groupBy(*keys, "term", "dl").agg(F.count("*").cast("int").alias("tf")).select(*keys, "term", "tf", "dl")
 
 
@@ -91,10 +91,11 @@ def bm25_search(passages: DataFrame, queries: DataFrame, keys: list[str], k: int
     and ties go by the passage's key.
     """
     terms = query_terms(queries, key, text)
-    own = term_frequencies(passages, keys, terms.select("term").distinct())
+    most = terms.limit(BROADCAST_ROWS + 1).count()  # of (query, term) rows; what is joined below has no more
+    own = term_frequencies(passages, keys, hinted(terms.select("term").distinct(), most))
     sizes = F.broadcast(mean_length(passages))  # one row
     frequency = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes)
     scale = frequency.select("term", F.log1p((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
     per_query = terms.join(scale, "term").select("term", key, (F.col("qtf") * F.col("idf")).alias("gain"), "avgdl")
-    scored = own.join(small(per_query), "term").groupBy(key, *keys).agg(F.round(F.sum(F.col("gain") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), 9).alias("score"))
+    scored = own.join(hinted(per_query, most), "term").groupBy(key, *keys).agg(F.round(F.sum(F.col("gain") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), 9).alias("score"))
     return top_k(scored, k, key, [F.desc("score"), *map(F.col, keys)])

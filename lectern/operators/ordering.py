@@ -25,6 +25,7 @@ def ranked(rows: DataFrame, key: str, seed: int, by: list[str] | None = None) ->
     cut = rows.withColumn("_spot", hash_order(seed, key)).withColumn("_range", F.substring("_spot", 1, DIGITS))
     sizes = cut.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    # Without groups there are at most 16 ** DIGITS ranges.
     starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_spot", key))
-    return cut.withColumn("_inside", inside).join(small(starts), [*by, "_range"]).withColumn("rank", F.col("_before") + F.col("_inside")).drop("_spot", "_range", "_inside", "_before")
+    return cut.withColumn("_inside", inside).join(small(starts) if by else F.broadcast(starts), [*by, "_range"]).withColumn("rank", F.col("_before") + F.col("_inside")).drop("_spot", "_range", "_inside", "_before")

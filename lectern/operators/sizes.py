@@ -12,3 +12,8 @@ BROADCAST_ROWS = 100_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, counted without reading further than that."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def hinted(df: DataFrame, most: int, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The same where a bound on df's rows is known already, so that df is not computed to be counted."""
+    return F.broadcast(df) if most <= rows else df

@@ -9,7 +9,7 @@ from lectern.functions.plugins import embedder, overlap_logit
 from lectern.operators import evaluation as ev
 from lectern.operators import lexical as lx
 from lectern.operators import retrieval as rt
-from lectern.operators.sizes import small
+from lectern.operators.sizes import hinted, small
 from lectern.plans import views as v
 from lectern.plans.book import Book
 
@@ -44,7 +44,8 @@ def _asked(spark, sf):
 def _hits(spark, sf, k=5):
     """Hits of the benchmark items with passage texts."""
     p = v.passages(spark, sf)
-    found = small(lx.bm25_search(p, _asked(spark, sf), KEYS, k))
+    asked = _asked(spark, sf)
+    found = hinted(lx.bm25_search(p, asked, KEYS, k), k * asked.count())
     return p.join(found, KEYS)
 
 
@@ -206,8 +207,9 @@ def _(spark, sf):
 @book.add("r8_search_once", f"{FUSED}, once AS (SELECT query_id, passage_id, logit, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, rank)::INT AS r FROM (SELECT f.query_id, f.passage_id, f.rank, {SCORED} AS logit FROM fused f JOIN cards USING (passage_id) JOIN asked USING (query_id))) SELECT query_id, passage_id, round(1 / (1 + exp(-logit)), 6) AS score, r AS rank FROM once WHERE r <= 5")
 def _(spark, sf):
     cards, asked = _cards(spark, sf)
-    found = rt.retrieve(cards, asked, "hybrid").join(small(asked.select("query_id", "query")), "query_id")
-    hits = cards.select("passage_id", "text").join(small(found), "passage_id")
+    n = asked.count()
+    found = rt.retrieve(cards, asked, "hybrid").join(hinted(asked.select("query_id", "query"), n), "query_id")
+    hits = cards.select("passage_id", "text").join(hinted(found, n * rt.CANDIDATES), "passage_id")
     return rt.rerank(hits, overlap_logit(F.col("query"), F.col("text")), 5).select("query_id", "passage_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -267,12 +269,13 @@ def _questions(spark, sf):
 
 
 def gold(spark, sf):
-    q = small(v.questions(spark, sf).filter("source_doc_id is not null").select("question_id", F.col("source_doc_id").alias("doc_id"), tx.normalise(tx.sentences(F.col("question"))[0]).alias("said")))
-    return v.passages(spark, sf).join(q, "doc_id").filter(F.contains(F.regexp_replace(F.lower("text"), r"\s+", " "), F.col("said"))).select("question_id", "doc_id", "text")
+    q = v.questions(spark, sf).filter("source_doc_id is not null").select("question_id", F.col("source_doc_id").alias("doc_id"), tx.normalise(tx.sentences(F.col("question"))[0]).alias("said"))
+    return v.passages(spark, sf).join(hinted(q, _asked(spark, sf).count()), "doc_id").filter(F.contains(F.regexp_replace(F.lower("text"), r"\s+", " "), F.col("said"))).select("question_id", "doc_id", "text")
 
 
 def _flags(spark, sf):
-    return ev.flags(_hits(spark, sf).withColumnRenamed("query_id", "question_id"), small(_questions(spark, sf)), small(gold(spark, sf)))
+    questions = hinted(_questions(spark, sf), _asked(spark, sf).count())
+    return ev.flags(_hits(spark, sf).withColumnRenamed("query_id", "question_id"), questions, gold(spark, sf))
 
 
 def _scores(spark, sf):
