@@ -235,16 +235,181 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2) ->
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words_each: int = 5, max_bits: int = WIDE_BITS, lists: int = LISTS) -> DataFrame:
+# Exact similarity of shingle sets, for the pipeline.
+
+#: Sets are near-duplicates from this Jaccard similarity (numerator, denominator) on.
+ALIKE = (4, 5)
+#: About so many rows tell which shingles are common, and so many common ones at most are sent to every task. Both only set the order of shingles.
+SAMPLE_ROWS, COMMON = 5_000, 500_000
+#: Row keys that are sent to every executor; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def prefix_size(n: int) -> int:
+    """How many first shingles, in an order that all sets share, two sets of similarity ALIKE have one of in common."""
+    return n - -(-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (sorted, distinct) reach ALIKE."""
+    most, least = max(len(a), len(b)), min(len(a), len(b))
+    if ALIKE[1] * least < ALIKE[0] * most:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both)
+
+
+def parity(own: np.ndarray) -> bytes:
+    """For each of a power of two of buckets, at least as many as shingles, whether it holds an odd number of them."""
+    size = max(64, 1 << max(0, len(own) - 1).bit_length())
+    counts = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts % 2 == 1, bitorder="little").tobytes()
+
+
+def may_be_alike(n: int, bits: bytes, other_n: int, other_bits: bytes) -> bool:
+    """False only if two sets, by sizes and parities, cannot reach ALIKE.
+
+    A shingle of one set alone changes one bucket's parity, so as many shingles differ as bits do at least;
+    of two sets with the similarity x / y, (y - x) / (y + x) of both sizes' sum differ at most. More buckets fold into fewer.
+    """
+    if ALIKE[1] * min(n, other_n) < ALIKE[0] * max(n, other_n):
+        return False
+    a, b = np.frombuffer(bits, np.uint64), np.frombuffer(other_bits, np.uint64)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum()) * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (n + other_n)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
+
+
+def common_shingles(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles, sorted, and how often a sample of rows has each."""
+    sample = _keyed(docs).filter(F.pmod("row_key", F.lit(max(1, docs.count() // SAMPLE_ROWS))) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(x or "", words_each)) for x in part[2].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+
+    counts = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingle, n = rows["shingle"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def prefixes(docs: DataFrame, words_each: int) -> DataFrame:
+    """doc_id, row_key, node (a hash of the row's set), its size n, its parity bits and its prefix, rare shingles first; map-only. Null texts are empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words_each))
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        shingle, n = sent.value
+        times = np.zeros(len(own), np.int64)
+        if len(shingle):
+            at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
+            times = np.where(shingle[at] == own, n[at], 0)
+        return own[np.lexsort((own, times))[: prefix_size(len(own))]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(x or "", words_each)) for x in part[2].to_pylist()]
+            node = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(parity, sets), pa.binary()), pa.array(map(prefix, sets), pa.list_(pa.int64()))], names=["doc_id", "row_key", "node", "n", "bits", "prefix"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, row_key bigint, node bigint, n bigint, bits binary, prefix array<bigint>")
+
+
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and text, once each, for `rows` (row_key, node); checkpointed."""
+    rows = durable(rows)
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return durable(_keyed(docs).join(rows, "row_key").dropDuplicates(["row_key"]).select("node", F.coalesce("text", F.lit("")).alias("text")))
+
+
+def exact_forest(sets: list[np.ndarray], groups: np.ndarray) -> list[tuple[int, int]]:
+    """Links between places of sets that, with the groups they are in already, connect all pairs that reach ALIKE."""
+    groups, found = groups.copy(), []
+    for i, own in enumerate(sets):
+        for j in i + 1 + np.flatnonzero(groups[i + 1 :] != groups[i]):
+            if groups[i] != groups[j] and alike(own, sets[j]):
+                found.append((i, int(j)))
+                groups[groups == groups[j]] = groups[i]
+    return found
+
+
+def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
+    """(a, b): links that connect all pairs of nodes (node, row_key, n, bits, prefix) whose sets reach ALIKE, and no others.
+
+    Such a pair has a shingle of its prefixes in common, so it is together in a list. Each member of a list
+    is first held against the list's least one. Lists whose members those links leave in several components
+    are then compared whole, one list in memory at a time. Texts are fetched only for what sizes and parities allow.
+    """
+    members = nodes.select("node", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    lists = durable(members.filter(F.size("nodes") > 1).select("nodes").distinct())
+    keys = nodes.select("row_key", "node")
+    pairs = lists.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes") - 1)).alias("b")).distinct()
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    text = lambda of, name: of.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [may_be_alike(*x) for x in zip(*(batch[k].to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            near = [alike(*(np.unique(shingle_hashes(t, words_each)) for t in both)) for both in zip(part[2].to_pylist(), part[3].to_pylist(), strict=True)]
+            yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    likely = durable(sized.mapInArrow(possible, "a bigint, b bigint"))
+    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = texts_of(docs, keys.join(ends, "node", "left_semi").select("row_key", "node"))
+    read = likely.join(text(texts, "a"), "a").join(text(texts, "b"), "b").select("a", "b", "text_a", "text_b")
+    first = durable(read.mapInArrow(compare, "a bigint, b bigint"))
+
+    held = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))
+    named = held.join(components(first), "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+    several = named.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
+    left = named.join(several, "list", "left_semi").join(nodes.select("node", "n", "bits"), "node").repartition("list").sortWithinPartitions("list", "root", "node")
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of each list that may be like one of another component."""
+        for one in each_list(batches, ["list"]):
+            root, n, bits = one["root"].to_numpy(), one["n"].to_numpy(), one["bits"].to_pylist()
+            keep = np.zeros(len(root), bool)
+            for i in range(len(root)):
+                fits = (root != root[i]) & (ALIKE[1] * np.minimum(n, n[i]) >= ALIKE[0] * np.maximum(n, n[i]))
+                keep[i] = any(may_be_alike(n[i], bits[i], n[j], bits[j]) for j in np.flatnonzero(fits))
+            yield one.select(["list", "node", "root"]).filter(pa.array(keep))
+
+    open_lists = durable(left.select("list", "node", "root", "n", "bits").mapInArrow(partners, "list bigint, node bigint, root bigint"))
+    more = texts_of(docs, keys.join(open_lists.select("node").distinct(), "node", "left_semi").select("row_key", "node"))
+    whole = open_lists.join(more, "node").repartition("list").sortWithinPartitions("list", "root", "node").select("list", "node", "root", "text")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in each_list(batches, ["list"]):
+            node = one["node"].to_numpy()
+            found = exact_forest([np.unique(shingle_hashes(t, words_each)) for t in one["text"].to_pylist()], one["root"].to_numpy())
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    return first.unionByName(whole.mapInArrow(search, "a bigint, b bigint")).distinct()
+
+
+def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
     """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
 
-    Components are those of wide fingerprints over sets of shingles. Of rows that repeat in both id and
-    text one stays. All columns of `docs` are returned; an empty table gives an empty result.
+    Components are those of all pairs whose sets of shingles reach the Jaccard similarity ALIKE. Of rows that
+    repeat in both id and text one stays. All columns of `docs` are returned; an empty table gives an empty result.
     """
-    found = durable(wide_fingerprints(docs, words_each).withColumn("node", F.xxhash64("fp")))
+    found = durable(prefixes(docs, words_each))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
-    per_node = durable(found.groupBy("node").agg(first, F.first("fp").alias("fp")))
-    roots = components(wide_links(per_node.select("node", "fp"), max_bits, lists))
+    per_node = durable(found.groupBy("node").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    roots = components(exact_links(per_node.select("node", F.col("first.row_key").alias("row_key"), "n", "bits", "prefix"), docs, words_each))
     kept = per_node.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.row_key").alias("_kept_key"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")

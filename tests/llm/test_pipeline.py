@@ -93,3 +93,37 @@ def test_wide_links_find_copies_of_four_fifths(spark):
     want = {(a, b) for a, b in pairs if np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.WIDE_BITS and (view[a] == view[b])[places].all(axis=1).any()}
     root = {r.node: r.root for r in components(spark.createDataFrame(links)).collect()}
     assert {(a, b) for a, b in pairs if root.get(b) == a} == want
+
+
+def test_near_duplicates_are_those_of_four_fifths_and_no_others(spark):
+    rng, rows, pairs = random.Random(9), [], []
+    for changed in (4, 5, 6, 7):  # 196 shingles a side: similarities 0.81, 0.77, 0.73 and 0.70 where no changes overlap
+        for _ in range(100):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+            other = words.copy()
+            for place in rng.sample(range(200), changed):
+                other[place] = f"n{rng.randrange(10**6)}"
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [" ".join(words), " ".join(other)]
+    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for x in rows]
+    near = {b for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert 100 < len(near) < 300
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs, 5).collect()} == set(range(len(rows))) - near
+
+
+def test_near_duplicates_that_only_chains_connect(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [" ".join(words[s : s + 200]) for s in (0, 20, 40, 60, 80, 130, 195)] + [" ".join(words[:200]) + " more"]
+    rows += [" ".join(["a line that all of them hold in common with others"] + [f"v{k}x{i}" for i in range(20)]) for k in range(60)]
+    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for x in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root = [root[b] if r == root[a] else r for r in root]
+    least = {min(i for i, r in enumerate(root) if r == x) for x in root}
+    assert 60 < len(least) < len(rows) - 3
+    order = random.Random(3).sample(range(len(rows)), len(rows))
+    docs = spark.createDataFrame([(i, rows[i]) for i in order], "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == least
