@@ -1,8 +1,8 @@
 """Licence scan: ordered signature rules gated by keywords, overlaps resolved by priority and containment.
 
 A text is a sequence of lower-cased words. Every rule is a regular expression over the words joined by
-single spaces and names one word that any match must hold; the words of a text fetch the rules to run, so
-most texts run none. Detections are taken by priority (then length, then place); one whose word interval
+single spaces and names words of which any match must hold one; the words of a text fetch the rules to run,
+so most texts run none. Detections are taken by priority (then length, then place); one whose word interval
 lies within that of a detection already taken is suppressed.
 """
 
@@ -24,17 +24,17 @@ from lectern.llm.common import slices
 #: Phrase and label of the base.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Licence names as words, with the key word of each and its label. `?` marks words that may be missing.
+#: Licence names as words, with the key words of each (any match holds one of them) and its label. `?` marks words that may be missing.
 NAMES = (
     ("mit", "mit", "mit"), ("expat", "expat", "mit"), ("x11", "x11", "mit"),
     ("apache( software)?( license)?( version)? 2( 0)?", "apache", "apache"), ("apache( software)?( license)?( version)? 1 1", "apache", "apache"), ("apache( software)?", "apache", "apache"), ("asl 2 0", "asl", "apache"),
-    ("(gnu )?gpl ?v?2( 0)?( only)?", "gpl", "gpl"), ("(gnu )?gpl ?v?3( 0)?( only)?", "gpl", "gpl"), ("gplv2", "gplv2", "gpl"), ("gplv3", "gplv3", "gpl"), ("gnu gpl", "gpl", "gpl"), ("gnu general public", "gnu", "gpl"),
+    ("(gnu )?gpl ?v?2( 0)?( only)?", "gpl gpl2 gplv2", "gpl"), ("(gnu )?gpl ?v?3( 0)?( only)?", "gpl gpl3 gplv3", "gpl"), ("gplv2", "gplv2", "gpl"), ("gplv3", "gplv3", "gpl"), ("gnu gpl", "gpl", "gpl"), ("gnu general public", "gnu", "gpl"),
     ("lgpl( v?2 1)?", "lgpl", "lgpl"), ("lgplv2 1", "lgplv2", "lgpl"), ("lgplv3", "lgplv3", "lgpl"), ("gnu lesser general public", "lesser", "lgpl"), ("gnu library general public", "library", "lgpl"),
     ("agpl( v?3)?", "agpl", "agpl"), ("agplv3", "agplv3", "agpl"), ("(gnu )?affero general public", "affero", "agpl"),
     ("bsd", "bsd", "bsd"), ("bsd 2 clause", "bsd", "bsd"), ("bsd 3 clause", "bsd", "bsd"), ("2 clause bsd", "bsd", "bsd"), ("3 clause bsd", "bsd", "bsd"), ("simplified bsd", "bsd", "bsd"), ("new bsd", "bsd", "bsd"),
-    ("mozilla public", "mozilla", "mpl"), ("mpl 2 0", "mpl", "mpl"), ("mpl 1 1", "mpl", "mpl"), ("eclipse public", "eclipse", "epl"), ("epl( v)? ?[12] 0", "epl", "epl"),
+    ("mozilla public", "mozilla", "mpl"), ("mpl 2 0", "mpl", "mpl"), ("mpl 1 1", "mpl", "mpl"), ("eclipse public", "eclipse", "epl"), ("epl( v)? ?[12] 0", "epl epl1 epl2", "epl"),
     ("isc", "isc", "isc"), ("zlib", "zlib", "zlib"), ("boost software", "boost", "bsl"), ("artistic", "artistic", "artistic"), ("ruby", "ruby", "ruby"), ("python software foundation", "python", "psf"), ("postgresql", "postgresql", "postgresql"),
-    ("common development and distribution", "cddl", "cddl"), ("cddl", "cddl", "cddl"), ("microsoft public", "microsoft", "ms-pl"), ("european union public", "european", "eupl"), ("eupl", "eupl", "eupl"),
+    ("common development and distribution", "distribution", "cddl"), ("cddl", "cddl", "cddl"), ("microsoft public", "microsoft", "ms-pl"), ("european union public", "european", "eupl"), ("eupl", "eupl", "eupl"),
     ("creative commons attribution", "commons", "cc-by"), ("creative commons attribution sharealike", "commons", "cc-by-sa"), ("creative commons attribution noncommercial", "commons", "cc-by-nc"), ("creative commons zero", "commons", "cc0"),
     ("cc by", "cc", "cc-by"), ("cc by sa", "cc", "cc-by-sa"), ("cc by nd", "cc", "cc-by-nd"), ("cc by nc", "cc", "cc-by-nc"), ("cc by nc sa", "cc", "cc-by-nc-sa"), ("cc by nc nd", "cc", "cc-by-nc-nd"), ("cc0", "cc0", "cc0"),
     ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("open font", "font", "ofl"), ("open software", "open", "osl"),
@@ -78,11 +78,13 @@ class Rule:
 
 @cache
 def rules() -> dict[str, list[Rule]]:
-    """Every name in every template and every wording, by key word."""
+    """Every name in every template and every wording, by each of its key words."""
     made = [(t.format(f"(?:{n})"), key, label, p, c) for (t, p, c), (n, key, label) in product(TEMPLATES, NAMES)]
     by_key: dict[str, list[Rule]] = {}
     for i, (words, key, label, priority, confidence) in enumerate([*made, *WORDINGS]):
-        by_key.setdefault(key, []).append(Rule(f"r{i:03d}", key, label, priority, confidence, re.compile(f"(?<= )(?:{words})(?= )")))
+        rule = Rule(f"r{i:03d}", key, label, priority, confidence, re.compile(f"(?<= )(?:{words})(?= )"))
+        for word in key.split():
+            by_key.setdefault(word, []).append(rule)
     return by_key
 
 
@@ -118,11 +120,10 @@ def scan_text(text: str) -> dict:
     if keys:
         padded = f" {b' '.join(words).decode()} "
         base = [(label, at) for phrase, label in BASE for at in places(padded, phrase)]
-        for key in keys:
-            for rule in by_key.get(key.decode(), ()):
-                for m in rule.pattern.finditer(padded):
-                    start = padded.count(" ", 0, m.start()) - 1
-                    found.append((start, start + m.group().count(" ") + 1, rule))
+        for rule in {rule.name: rule for key in keys for rule in by_key.get(key.decode(), ())}.values():
+            for m in rule.pattern.finditer(padded):
+                start = padded.count(" ", 0, m.start()) - 1
+                found.append((start, start + m.group().count(" ") + 1, rule))
     return {"n_words": len(words), "base": base, "detections": [(r.label, r.name, s, e, r.priority, r.confidence) for s, e, r in resolve(found)]}
 
 

@@ -428,6 +428,51 @@ def test_licence_rules():
         assert taken and not any(a != b and a[0] >= b[0] and a[1] <= b[1] for a in taken for b in taken)
 
 
+def phrases(pattern):
+    """Words that a rule's pattern matches: every choice of its options, one digit or word for what is open."""
+    from re import _constants as C
+    from re import _parser
+
+    def each(parts):
+        out = [""]
+        for op, arg in parts:
+            if op is C.LITERAL:
+                more = [chr(arg)]
+            elif op is C.ANY:
+                more = ["x"]
+            elif op is C.IN:
+                more = ["7"] if arg[0][0] is C.CATEGORY else [chr(v) for _, v in arg]
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                low, high, inner = arg
+                more = [t * n for t in each(inner) for n in ({0, 1} if (low, high) == (0, 1) else {low})]
+            elif op is C.SUBPATTERN:
+                more = each(arg[3])
+            elif op is C.BRANCH:
+                more = [t for branch in arg[1] for t in each(branch)]
+            else:
+                assert op is C.ASSERT, op
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return each(_parser.parse(pattern))
+
+
+def test_gated_licence_rules_find_what_all_rules_find():
+    every = {r.name: r for filed in license_scan.rules().values() for r in filed}
+    for rule in every.values():
+        made = [t for t in phrases(rule.pattern.pattern) if rule.pattern.search(f" {t} ")]
+        assert made
+        for t in made:
+            assert any(rule in license_scan.rules().get(w, ()) for w in t.split()), (t, rule.key)
+    for t in ("Licensed under the Common Development and Distribution License", "License: GPL2", "license gpl3 gpl 3", "licensed under EPL2 0", "License: GPLv2 only"):
+        padded = f" {' '.join(t.encode().translate(license_scan.WORD_BYTES).decode().split())} "
+        spot = lambda m: padded.count(" ", 0, m.start()) - 1
+        found = [(spot(m), spot(m) + m.group().count(" ") + 1, r) for r in every.values() for m in r.pattern.finditer(padded)]
+        want = [(r.label, r.name, s, e, r.priority, r.confidence) for s, e, r in license_scan.resolve(found)]
+        assert want and license_scan.scan_text(t)["detections"] == want
+
+
 def test_licences_on_odd_rows(odd):
     rows = license_scan.scan(odd, ["doc_id", "n_words", "base"]).collect()
     assert len(rows) == len(ODD) and {r.n_words for r in rows if r.doc_id in (1, 2, 3)} == {0}
