@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a Python task turns into Python objects at once; bounds its memory, never what it reads.
@@ -19,6 +21,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def sized(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches into slices of which the texts or bytes in a column are at most so many bytes, or of one row."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy().astype(np.int64).cumsum()
+        start, done = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, done + most, "right")))
+            yield batch.slice(start, stop - start)
+            start, done = stop, int(size[stop - 1])
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Checkpoints `df` in the folder that the cluster shares, so that lost executors cost no recomputation.
 

@@ -22,8 +22,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECE_BPE)
-    ids = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"])
-    both = sentencepiece_bpe.decode(ids, model)
+    both = sentencepiece_bpe.encode(table(spark, sf_dir, "documents"), model, keep=["doc_id"], decoded="decoded")
     listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -179,9 +179,27 @@ def test_encoding_is_the_librarys(sf):
     made = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     made += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 6))).replace("▁", " ") for _ in range(3000)]
     for t in made + [" " * 40, "x" + " " * 37 + "y ", "a" * 3000, "gccca ccc", "▁", *[r["text"] for r in texts(sf)], *[t or "" for _, t, _ in ODD]]:
-        ids = np.frombuffer(ours.encode(t), "<i4").tolist()
+        ids = ours.encode(t)
         assert ids == theirs.encode(t), t[:80]
         assert ours.decode(ids) == theirs.decode(ids)
+    flat, ends = ours.encode_all(made)
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == theirs.encode(made)
+    assert ours.decode_all(flat, ends) == [theirs.decode(theirs.encode(t)) for t in made]
+
+
+def test_encoding_in_blocks_and_of_long_runs(monkeypatch):
+    """Texts are cut before words when they pass a block, pairs are forgotten and found again, and runs may have any length."""
+    from sentencepiece import SentencePieceProcessor
+
+    theirs = SentencePieceProcessor(model_file=PIECE)
+    for t in (" " * 300_000, "a" * 300_000, "x" + " " * 100_000 + "y", "ab" * 100_000, "\n" * 100_000):
+        assert sentencepiece_bpe.merge_model(PIECE).encode(t) == theirs.encode(t)
+    monkeypatch.setattr(sentencepiece_bpe, "BLOCK", 50)
+    monkeypatch.setattr(sentencepiece_bpe, "PAIRS", 64)
+    ours, rng = sentencepiece_bpe.MergeModel(PIECE), random.Random(1)
+    made = [" ".join("".join(rng.choice("abcde.,é漢 ") for _ in range(rng.randint(0, 9))) for _ in range(60)) for _ in range(40)]
+    flat, ends = ours.encode_all(made)
+    assert [x.tolist() for x in np.split(flat, ends[:-1])] == theirs.encode(made)
 
 
 def test_encoding_on_odd_rows(odd):
