@@ -1,18 +1,20 @@
 """Licence scan: ordered signature rules gated by keywords, overlaps resolved by priority and containment.
 
-A text is a sequence of lower-cased words. Every rule is a regular expression over the words joined by
+Signatures are written by hand (license_rules); names of licences in the usual phrases around them add more. A text is a sequence of lower-cased words. Every rule is a regular expression over the words joined by
 single spaces and names words of which any match must hold one; the words of a text fetch the rules to run,
 so most texts run none. Detections are taken by priority (then length, then place); one whose word interval
-lies within that of a detection already taken is suppressed.
+lies within that of a detection already taken is suppressed. Time is linear in a text's words and its matches.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import product
+from itertools import accumulate, product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.common import slices
+from lectern.llm.license_rules import SIGNATURES
 
 #: Phrase and label of the base.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -49,23 +52,6 @@ TEMPLATES = (
     ("licen[sc]e {}( \\d+( \\d+)?)?", 40, 0.6),
 )
 
-#: Phrases that name no licence or are one's own wording.
-WORDINGS = (
-    ("permission is hereby granted free of charge to any person obtaining a copy", "permission", "mit", 60, 0.95),
-    ("the software is provided as is without warranty of any kind", "warranty", "mit", 30, 0.5),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "redistribution", "bsd", 60, 0.95),
-    ("neither the name of .{1,80}? nor the names of its contributors", "neither", "bsd", 55, 0.9),
-    ("permission to use copy modify and (or )?distribute this software", "permission", "isc", 60, 0.9),
-    ("this program is free software you can redistribute it", "redistribute", "gpl", 60, 0.9),
-    ("this library is free software you can redistribute it", "redistribute", "lgpl", 61, 0.9),
-    ("free and unencumbered software released into the public domain", "unencumbered", "unlicense", 60, 0.95),
-    ("(in|into|to) the public domain", "domain", "public-domain", 45, 0.7),
-    ("all rights reserved", "reserved", "all-rights-reserved", 20, 0.7),
-    ("proprietary and confidential", "proprietary", "proprietary", 45, 0.9),
-    ("copyright( c)? \\d{4}", "copyright", "copyright", 10, 0.3),
-)
-
-
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -78,10 +64,12 @@ class Rule:
 
 @cache
 def rules() -> dict[str, list[Rule]]:
-    """Every name in every template and every wording, by each of its key words."""
+    """Every signature, and every name in every template, by each of its key words."""
     made = [(t.format(f"(?:{n})"), key, label, p, c) for (t, p, c), (n, key, label) in product(TEMPLATES, NAMES)]
+    lines = [re.split(r"\s*\|\s*", line, maxsplit=4) for line in SIGNATURES.strip().splitlines()]
+    made += [(words, key, label, int(priority), float(confidence)) for label, priority, confidence, key, words in lines]
     by_key: dict[str, list[Rule]] = {}
-    for i, (words, key, label, priority, confidence) in enumerate([*made, *WORDINGS]):
+    for i, (words, key, label, priority, confidence) in enumerate(made):
         rule = Rule(f"r{i:03d}", key, label, priority, confidence, re.compile(f"(?<= )(?:{words})(?= )"))
         for word in key.split():
             by_key.setdefault(word, []).append(rule)
@@ -92,21 +80,31 @@ def rules() -> dict[str, list[Rule]]:
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def places(padded: str, phrase: str) -> list[int]:
+def places(padded: str, phrase: str, starts: list[int]) -> list[int]:
     """First words (from 0) of all places of a phrase in words that are padded by spaces, overlaps included."""
     out, at = [], padded.find(f" {phrase} ")
     while at >= 0:
-        out.append(padded.count(" ", 0, at))
+        out.append(bisect_left(starts, at + 1))
         at = padded.find(f" {phrase} ", at + 1)
     return out
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections (start, end, rule) that no other, taken before, contains."""
+    """Detections (start, end, rule) that no other, taken before, contains.
+
+    Of those taken only the ones that no later one contains are looked at: by start, their ends rise too, so
+    the last that starts in time is the one that ends last.
+    """
     taken: list[tuple[int, int, Rule]] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].name)):
-        if not any(s <= start and end <= e for s, e, _ in taken):
-            taken.append((start, end, rule))
+        at = bisect_right(starts, start)
+        if at and ends[at - 1] >= end:
+            continue
+        taken.append((start, end, rule))
+        low, high = bisect_left(starts, start), bisect_right(ends, end)
+        starts[low:high], ends[low:high] = [start], [end]
     return sorted(taken, key=lambda d: (d[0], d[1], d[2].name))
 
 
@@ -119,10 +117,11 @@ def scan_text(text: str) -> dict:
     found: list[tuple[int, int, Rule]] = []
     if keys:
         padded = f" {b' '.join(words).decode()} "
-        base = [(label, at) for phrase, label in BASE for at in places(padded, phrase)]
+        starts = list(accumulate((len(w) + 1 for w in padded[1:-1].split(" ")), initial=1))
+        base = [(label, at) for phrase, label in BASE for at in places(padded, phrase, starts)]
         for rule in {rule.name: rule for key in keys for rule in by_key.get(key.decode(), ())}.values():
             for m in rule.pattern.finditer(padded):
-                start = padded.count(" ", 0, m.start()) - 1
+                start = bisect_left(starts, m.start())
                 found.append((start, start + m.group().count(" ") + 1, rule))
     return {"n_words": len(words), "base": base, "detections": [(r.label, r.name, s, e, r.priority, r.confidence) for s, e, r in resolve(found)]}
 

@@ -37,11 +37,15 @@ class ByteBpe:
 
     A text is cut before every single space that a non-space follows: the pre-tokeniser always starts a
     token there, so the parts' ids joined are the text's ids. Texts with longer runs of white space, or
-    with a special token's string, are encoded whole.
+    with a special token's string, are encoded whole. Very long runs of white space, which the
+    pre-tokeniser's look-ahead cannot pass, are cut out first: all of a run but its last character is one
+    pre-token, or all of it where a text or a special token's string follows none.
     """
 
     SPECIAL = "<|endoftext|>"
     UNSAFE = re.compile(r" (?:\s|\Z)|<\|endoftext\|>")
+    #: The white space of the pre-tokeniser, in runs too long for its look-ahead.
+    LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
     def __init__(self, json_path: str):
         import tiktoken
@@ -49,11 +53,23 @@ class ByteBpe:
         ranks_path = re.sub(r"\.json$", ".tiktoken", json_path)
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={self.SPECIAL: len(ranks)})
+        special = {self.SPECIAL: len(ranks)}
+        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.single = tiktoken.Encoding("byte_bpe_single", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens=special)
         self.memory: dict[str, bytes] = {}
 
+    def pretoken(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        return self.single.encode_ordinary(text)
+
     def _encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        ids: list[int] = []
+        start = 0
+        for gap in self.LONG_GAP.finditer(text):
+            ids += self.encoding.encode(text[start : gap.start()], allowed_special="all")
+            start = gap.end() if gap.end() == len(text) or text.startswith(self.SPECIAL, gap.end()) else gap.end() - 1
+            ids += self.pretoken(text[gap.start() : start])
+        return np.array(ids + self.encoding.encode(text[start:], allowed_special="all"), dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

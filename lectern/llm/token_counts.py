@@ -4,6 +4,7 @@ The leaves of a tree are blocks of pre-tokens with their lengths and token count
 A pre-tokeniser reads left to right and looks at most two characters ahead, so an edit can change nothing
 before the block that ends ahead of it, and nothing after the first old block boundary, behind the edit,
 that is again a boundary. Only that region is cut and encoded anew; then the sums above it are updated.
+An empty table gives an empty result; a text may be of any length, white space alone included.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class Counter:
         if n is None:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            n = self.memory[pretoken] = len(self.bpe.encoding.encode_ordinary(pretoken))
+            n = self.memory[pretoken] = len(self.bpe.pretoken(pretoken))
         return n
 
 
