@@ -189,7 +189,7 @@ proprietary | 46 | 0.75 | permission | may not be (reproduced|copied|used|distri
 eula | 54 | 0.85 | eula user | (end user license agreement|eula)
 shareware | 50 | 0.8 | shareware | (this is |distributed as )?shareware
 freeware | 50 | 0.8 | freeware | (this is |distributed as )?freeware
-source-available | 48 | 0.75 | noncommercial commercial | (for )?(non ?commercial|personal) use only
+source-available | 48 | 0.75 | use | (for )?(non ?commercial|personal) use only
 all-rights-reserved | 20 | 0.7 | reserved | all rights reserved
 copyright | 10 | 0.3 | copyright | copyright( c)? (19|20)\d{2}( (19|20)\d{2})*
 copyright | 12 | 0.35 | spdx | spdx filecopyrighttext

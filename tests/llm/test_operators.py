@@ -485,7 +485,7 @@ def phrases(pattern):
             elif op is C.ANY:
                 more = ["x"]
             elif op is C.IN:
-                more = ["7"] if arg[0][0] is C.CATEGORY else [chr(v) for _, v in arg]
+                more = ["7"] if arg[0][0] is C.CATEGORY else [chr(v[0] if isinstance(v, tuple) else v) for _, v in arg]
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
                 low, high, inner = arg
                 more = [t * n for t in each(inner) for n in ({0, 1} if (low, high) == (0, 1) else {low})]
