@@ -240,9 +240,11 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2) ->
 #: Sets are near-duplicates from this Jaccard similarity (numerator, denominator) on.
 ALIKE = (4, 5)
 #: About so many rows tell which shingles are common, and so many common ones at most are sent to every task. Both only set the order of shingles.
-SAMPLE_ROWS, COMMON = 5_000, 500_000
+SAMPLE_ROWS, COMMON = 10_000, 500_000
 #: Row keys that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Members of a list that are held against each other at once; longer lists are cut into squares of so many by so many.
+LIST_ROWS = 4_096
 
 
 def prefix_size(n: int) -> int:
@@ -280,6 +282,26 @@ def may_be_alike(n: int, bits: bytes, other_n: int, other_bits: bytes) -> bool:
     return int(np.bitwise_count(a ^ b).sum()) * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (n + other_n)
 
 
+def possible(n: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set, the others of another root (and side, if given) that `may_be_alike` does not rule out; each pair once."""
+    words = np.array([len(b) // 8 for b in bits])
+    for size in np.unique(words).tolist():
+        # Sizes that can reach ALIKE are at most twice as many buckets apart.
+        among = np.flatnonzero((words == size) | (words == 2 * size))
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, size), axis=0) for k in among])
+        own_n, own_root = n[among], root[among]
+        for i in np.flatnonzero(words[among] == size).tolist():
+            fits = (own_root != own_root[i]) & (ALIKE[1] * np.minimum(own_n, own_n[i]) >= ALIKE[0] * np.maximum(own_n, own_n[i]))
+            fits &= (words[among] > size) | (among > among[i])
+            if side is not None:
+                fits &= side[among] != side[among[i]]
+            j = np.flatnonzero(fits)
+            apart = np.bitwise_count(folded[j] ^ folded[i]).sum(axis=1, dtype=np.int64)
+            near = j[apart * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (own_n[j] + own_n[i])]
+            if len(near):
+                yield int(among[i]), among[near]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
 
@@ -328,14 +350,14 @@ def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return durable(_keyed(docs).join(rows, "row_key").dropDuplicates(["row_key"]).select("node", F.coalesce("text", F.lit("")).alias("text")))
 
 
-def exact_forest(sets: list[np.ndarray], groups: np.ndarray) -> list[tuple[int, int]]:
-    """Links between places of sets that, with the groups they are in already, connect all pairs that reach ALIKE."""
-    groups, found = groups.copy(), []
-    for i, own in enumerate(sets):
-        for j in i + 1 + np.flatnonzero(groups[i + 1 :] != groups[i]):
-            if groups[i] != groups[j] and alike(own, sets[j]):
-                found.append((i, int(j)))
-                groups[groups == groups[j]] = groups[i]
+def exact_forest(sets: list[np.ndarray], n: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between places of sets that, with the roots they have already, connect all pairs (of two sides, if given) that reach ALIKE."""
+    root, found = root.copy(), []
+    for i, others in possible(n, bits, root.copy(), side):
+        for j in others.tolist():
+            if root[i] != root[j] and alike(sets[i], sets[j]):
+                found.append((i, j))
+                root[root == root[j]] = root[i]
     return found
 
 
@@ -344,16 +366,21 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
 
     Such a pair has a shingle of its prefixes in common, so it is together in a list. Each member of a list
     is first held against the list's least one. Lists whose members those links leave in several components
-    are then compared whole, one list in memory at a time. Texts are fetched only for what sizes and parities allow.
+    are then compared whole: in squares of at most LIST_ROWS by LIST_ROWS members, one in memory at a time, so
+    that a long list is the work of many tasks. Texts are fetched only for what sizes and parities allow.
     """
-    members = nodes.select("node", F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    lists = durable(members.filter(F.size("nodes") > 1).select("nodes").distinct())
+    posted = nodes.select("node", F.explode("prefix").alias("list"))
+    # Lists of one member are dropped, and of lists with equal members one stays: told by two 64-bit sums, so that no list is gathered.
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    several = posted.groupBy("list").agg(F.min("node").alias("least"), F.count("*").alias("n"), *marks).filter("n > 1")
+    once = durable(several.groupBy("least", "n", "mark0", "mark1").agg(F.min("list").alias("list")).select("list", "least"))
+    members = durable(posted.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "list").select("list", "least", "node"))
     keys = nodes.select("row_key", "node")
-    pairs = lists.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes") - 1)).alias("b")).distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    end = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
     text = lambda of, name: of.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unlike_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [may_be_alike(*x) for x in zip(*(batch[k].to_pylist() for k in range(2, 6)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
@@ -363,36 +390,44 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
             near = [alike(*(np.unique(shingle_hashes(t, words_each)) for t in both)) for both in zip(part[2].to_pylist(), part[3].to_pylist(), strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    likely = durable(sized.mapInArrow(possible, "a bigint, b bigint"))
+    sized = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    likely = durable(sized.mapInArrow(unlike_left_out, "a bigint, b bigint"))
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = texts_of(docs, keys.join(ends, "node", "left_semi").select("row_key", "node"))
     read = likely.join(text(texts, "a"), "a").join(text(texts, "b"), "b").select("a", "b", "text_a", "text_b")
     first = durable(read.mapInArrow(compare, "a bigint, b bigint"))
 
-    held = lists.select(F.xxhash64("nodes").alias("list"), F.explode("nodes").alias("node"))
-    named = held.join(components(first), "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
-    several = named.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
-    left = named.join(several, "list", "left_semi").join(nodes.select("node", "n", "bits"), "node").repartition("list").sortWithinPartitions("list", "root", "node")
+    named = members.join(components(first), "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
+    apart = named.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
+    left = named.join(apart, "list", "left_semi")
+    cuts = left.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("node", "list"), "cuts").cast("int")
+    squares = left.join(cuts, "list").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    squares = squares.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root")
+    square = ["list", "low", "high"]
+
+    def side(one: pa.RecordBatch) -> np.ndarray | None:
+        return one["own"].to_numpy() if one["low"][0] != one["high"][0] else None
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The members of each list that may be like one of another component."""
-        for one in each_list(batches, ["list"]):
-            root, n, bits = one["root"].to_numpy(), one["n"].to_numpy(), one["bits"].to_pylist()
-            keep = np.zeros(len(root), bool)
-            for i in range(len(root)):
-                fits = (root != root[i]) & (ALIKE[1] * np.minimum(n, n[i]) >= ALIKE[0] * np.maximum(n, n[i]))
-                keep[i] = any(may_be_alike(n[i], bits[i], n[j], bits[j]) for j in np.flatnonzero(fits))
-            yield one.select(["list", "node", "root"]).filter(pa.array(keep))
-
-    open_lists = durable(left.select("list", "node", "root", "n", "bits").mapInArrow(partners, "list bigint, node bigint, root bigint"))
+        """The members of each square that may be like one of another component."""
+        for one in each_list(batches, square):
+            keep = np.zeros(one.num_rows, bool)
+            for i, others in possible(one["n"].to_numpy(), one["bits"].to_pylist(), one["root"].to_numpy(), side(one)):
+                keep[i], keep[others] = True, True
+            yield one.filter(pa.array(keep))
+
+    sized_rows = squares.join(nodes.select("node", "n", "bits"), "node").select(*square, "own", "node", "root", "n", "bits")
+    kind = "list bigint, low int, high int, own int, node bigint, root bigint, n bigint, bits binary"
+    open_lists = durable(sized_rows.repartition(*square).sortWithinPartitions(*square, "root", "node").mapInArrow(partners, kind))
     more = texts_of(docs, keys.join(open_lists.select("node").distinct(), "node", "left_semi").select("row_key", "node"))
-    whole = open_lists.join(more, "node").repartition("list").sortWithinPartitions("list", "root", "node").select("list", "node", "root", "text")
+    whole = open_lists.join(more, "node").repartition(*square).sortWithinPartitions(*square, "root", "node").select(*square, "own", "node", "root", "n", "bits", "text")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in each_list(batches, ["list"]):
+        for one in each_list(batches, square):
             node = one["node"].to_numpy()
-            found = exact_forest([np.unique(shingle_hashes(t, words_each)) for t in one["text"].to_pylist()], one["root"].to_numpy())
+            sets = [np.unique(shingle_hashes(t, words_each)) for t in one["text"].to_pylist()]
+            found = exact_forest(sets, one["n"].to_numpy(), one["bits"].to_pylist(), one["root"].to_numpy(), side(one))
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
