@@ -3,12 +3,15 @@
 The fixed kinds (email, ip, card, phone) are found by regular expressions over whole texts, in code points.
 The method then looks at the words near each protected value. Over the corpus it estimates how much a word
 tells about a value: their pointwise mutual information, ln(P(value | word) / P(value)), as a share of what
-there is to tell, -ln P(value). A word whose share reaches a disclosure threshold is generalised, or
-removed beyond a higher one, wherever it stands near that value. Copies of one passage are one context, so
-repetition alone makes no word revealing, and a pair needs MIN_CONTEXTS contexts.
+there is to tell, -ln P(value). All four counts are of different texts, so copies of a text weigh nothing. A
+word whose share reaches a disclosure threshold is generalised, or removed beyond a higher one, wherever it
+stands in a text that holds that value. A pair also needs MIN_CONTEXTS different surroundings, so a passage
+that texts share makes no word revealing by itself.
 
 Java's regular expressions recurse in repeated groups and would overflow the stack on very long runs, so
-every pattern here repeats single characters, or groups a fixed small number of times.
+every pattern here repeats single characters, or groups a fixed small number of times. Places come from
+running sums in chunks, so thousands of spans in one row cost little more than their number.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ GENERALISE, REMOVE = 0.5, 0.9
 NEAR = 64
 #: Candidate words, or rows with revealing words, that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 10_000
+#: Repeated texts, by hash, that are sent to every executor; more are joined by a shuffle.
+BROADCAST_TEXTS = 500_000
+#: Numbers that a running sum takes at a time, and code points of a text's blocks.
+CHUNK, BLOCK = 64, 1_024
 
 #: A dot that no host character follows ends a host, but may stand in a local part: "%" acts alike in both.
 HOST_END_DOT = r"\.(?![A-Za-z0-9-])"
@@ -43,20 +50,47 @@ SPAN = "struct<start:int,end:int,value:string>"
 FOUND = "array<struct<kind:string,start:int,end:int,value:string,left:string,right:string>>"
 
 
-def spans(text: Column, pattern: str, shown: Column | None = None) -> Column:
-    """array<SPAN> of the leftmost non-overlapping matches, from the lengths of the matches and of the gaps between them.
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.transform(F.array(value), use)[0]
 
-    `shown` is a text of the same length whose characters are reported as values.
+
+def running(values: Column, merge) -> Column:
+    """For each of an array of whole numbers from 0 the merge (sum or greatest) of those before it, 0 for the first.
+
+    Arrays are copied when they grow, so numbers are taken CHUNK at a time, and then the chunks.
     """
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    fold = lambda xs: F.aggregate(xs, empty, lambda s, x: F.struct(merge(s["at"], x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")))
+    starts = lambda xs: F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    joined = lambda done, before: F.flatten(F.transform(done, lambda d, k: F.transform(d["out"], lambda x: merge(before[k], x))))
+    chunks = let(values, lambda xs: F.transform(starts(xs), lambda k: fold(F.slice(xs, k + 1, CHUNK))))
+    return let(chunks, lambda done: let(fold(F.transform(done, lambda d: d["at"]))["out"], lambda before: joined(done, before)))
+
+
+def blocks(text: Column) -> Column:
+    """A text in blocks of BLOCK code points, so that `cut` need not count from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(of: Column, start: Column, size: Column) -> Column:
+    """`size` code points from `start` on of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    several = F.floor((start + size - 1) / BLOCK).cast("int") - first + 1
+    return F.when(size <= 0, "").otherwise(F.substring(F.array_join(F.slice(of, first + 1, F.greatest(several, F.lit(1))), ""), start - first * BLOCK + 1, size))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """array<SPAN> of the leftmost non-overlapping matches, from the lengths of the matches and of the gaps between them."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = lambda done, part: done["at"] + F.length(part["gap"])
-    end = lambda done, part: start(done, part) + F.length(part["hit"])
-    value = lambda done, part: part["hit"] if shown is None else F.substring(shown, start(done, part) + 1, F.length(part["hit"]))
-    step = lambda done, part: F.when(part["hit"].isNull(), done).otherwise(
-        F.struct(end(done, part).alias("at"), F.array_append(done["out"], F.struct(start(done, part).alias("start"), end(done, part).alias("end"), value(done, part).alias("value"))).alias("out"))
-    )
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")).cast(f"struct<at:int,out:array<{SPAN}>>")
-    return F.aggregate(parts, first, step, lambda done: done["out"])
+
+    def placed(found: Column) -> Column:
+        size = F.transform(found, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0)))
+        both = F.zip_with(found, running(size, lambda a, b: a + b), lambda p, at: F.struct(p["hit"].alias("hit"), (at + F.length(p["gap"])).alias("start")))
+        hits = F.filter(both, lambda x: x["hit"].isNotNull())
+        return F.transform(hits, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"), x["hit"].alias("value")))
+
+    return let(parts, placed).cast(f"array<{SPAN}>")
 
 
 def digits(value: Column) -> Column:
@@ -79,21 +113,22 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     hosts = F.regexp_replace(text, HOST_END_DOT, "%")
     each = {
-        "email": F.when(text.contains("@"), spans(hosts, EMAIL, text)).otherwise(none),
+        "email": F.when(text.contains("@"), spans(hosts, EMAIL)).otherwise(none),
         "ip": F.filter(F.when(text.rlike(IP), spans(text, IP)).otherwise(none), lambda s: s["value"].rlike(IP_VALID)),
         "card": F.filter(F.when(text.rlike(CARD), spans(text, CARD)).otherwise(none), lambda s: luhn(digits(s["value"]))),
         "phone": F.filter(F.when(text.contains("+"), spans(text, PHONE)).otherwise(none), lambda s: F.length(digits(s["value"])).between(8, 15)),
     }
 
-    def full(kind: str) -> Column:
-        def near(s: Column) -> Column:
-            begin = F.greatest(s["start"] - NEAR, F.lit(0))
-            left = F.substring(text, begin + 1, s["start"] - begin)
-            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), left.alias("left"), F.substring(text, s["end"] + 1, F.lit(NEAR)).alias("right"))
+    named = lambda kind: F.transform(each[kind], lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
-        return F.transform(each[kind], near).cast(FOUND)
+    def near(of: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"] - NEAR, F.lit(0))
+        value = F.when(s["kind"] == "email", cut(of, s["start"], s["end"] - s["start"])).otherwise(s["value"])
+        left, right = cut(of, begin, s["start"] - begin), cut(of, s["end"], F.lit(NEAR))
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), value.alias("value"), left.alias("left"), right.alias("right"))
 
-    return F.concat(*[full(kind) for kind in KINDS])
+    full = lambda found: F.when(F.size(found) > 0, let(blocks(text), lambda of: F.transform(found, lambda s: near(of, s)))).otherwise(F.array().cast(FOUND))
+    return let(F.concat(*map(named, KINDS)), full).cast(FOUND)
 
 
 def entity(kind: Column, value: Column) -> Column:
@@ -102,16 +137,15 @@ def entity(kind: Column, value: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """doc_id, row_key, entity, context, term, start, end of each word near a value, cut words left out."""
-    one = found.select("doc_id", "row_key", F.explode("base").alias("s"))
+    """entity, text_key, context and term of each word near a value, cut words left out."""
+    one = found.select("text_key", F.explode("base").alias("s"))
     inner_left = F.regexp_replace("s.left", r"^\p{L}+", "")
     inner_right = F.regexp_replace("s.right", r"\p{L}+$", "")
     left = F.when(F.length("s.left") < NEAR, F.col("s.left")).otherwise(inner_left)
     right = F.when(F.length("s.right") < NEAR, F.col("s.right")).otherwise(inner_right)
-    shift = lambda words, by: F.transform(words, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("term")))
-    near = F.concat(shift(spans(left, WORD), F.col("s.start") - F.length(left)), shift(spans(right, WORD), F.col("s.end")))
+    words = lambda text: F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
     context = F.xxhash64(F.lower(F.col("s.left")), F.lower(F.col("s.right")))
-    return one.select("doc_id", "row_key", entity(F.col("s.kind"), F.col("s.value")).alias("entity"), context.alias("context"), F.explode(near).alias("w")).select("doc_id", "row_key", "entity", "context", "w.*")
+    return one.select(entity(F.col("s.kind"), F.col("s.value")).alias("entity"), "text_key", context.alias("context"), F.explode(F.concat(words(left), words(right))).alias("term"))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -119,28 +153,47 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def revealing(near: DataFrame, docs: DataFrame) -> DataFrame:
+def first_of_each_text(docs: DataFrame) -> DataFrame:
+    """The texts of docs, copies left out: of equal texts the rows with the smallest id stay, null ids last."""
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    repeated = durable(keyed.groupBy("text_key").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("text_key", "first"))
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_TEXTS else repeated
+    return keyed.join(side, "text_key", "left").filter(F.col("first").isNull() | (place == F.col("first"))).select("text")
+
+
+def revealing(near: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
     """entity, term, share: how much of the entity's information the term gives away, where it is at least GENERALISE."""
-    pairs = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= MIN_CONTEXTS)
-    pairs = durable(pairs)
-    entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("alone"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("text_key").alias("together"))
+    pairs = durable(pairs.filter(F.col("contexts") >= MIN_CONTEXTS).drop("contexts"))
     if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("share"))
+    held = found.select("text_key", F.explode(F.transform("base", lambda s: entity(s["kind"], s["value"]))).alias("entity")).distinct()
+    alone = held.groupBy("entity").agg(F.count("*").alias("alone"))
     # Counted before they are joined: a join of single words would pass on as many rows as the frequent ones have.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("documents"))
-    total = F.lit(docs.count())
-    share = F.log(F.col("together") * total / (F.col("alone") * F.greatest("documents", "together"))) / F.log(total / F.col("alone"))
-    return pairs.join(entities, "entity").join(frequency, "term").filter(total > F.col("alone")).select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
+    texts = first_of_each_text(docs)
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
+    frequency = words.groupBy("term").agg(F.count("*").alias("texts"))
+    total = F.lit(found.select("text_key").distinct().count())
+    share = F.log(F.col("together") * total / (F.col("alone") * F.greatest("texts", "together"))) / F.log(total / F.col("alone"))
+    return pairs.join(alone, "entity").join(frequency, "term").filter(total > F.col("alone")).select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
 
 
 def terms_by_row(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """_row_id, _row_key and terms (start, end, share) of rows that have revealing words."""
-    near = mentions(found)
-    told = near.join(small(durable(revealing(near, docs))), ["entity", "term"])
-    best = told.groupBy("doc_id", "row_key", "start", "end").agg(F.max("share").alias("share"))
-    rows = best.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    return durable(rows.select(F.coalesce("doc_id", F.lit(0)).alias("_row_id"), F.col("row_key").alias("_row_key"), "terms"))
+    """_row_id, _row_key and told (array of term, share) of rows that hold a value which words reveal."""
+    pairs = durable(revealing(mentions(found), found, docs))
+    held = found.select("doc_id", "row_key", F.explode(F.array_distinct(F.transform("base", lambda s: entity(s["kind"], s["value"])))).alias("entity"))
+    best = held.join(small(pairs), "entity").groupBy("doc_id", "row_key", "term").agg(F.max("share").alias("share"))
+    rows = best.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(F.struct("term", "share"))).alias("told"))
+    return durable(rows.select(F.coalesce("doc_id", F.lit(0)).alias("_row_id"), F.col("row_key").alias("_row_key"), "told"))
+
+
+def term_spans(text: Column, told: Column) -> Column:
+    """array of (start, end, share) of the words of a text that it was told are revealing."""
+    known = lambda words: let(F.map_from_entries(told), lambda share: F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.element_at(share, F.lower(w["value"])).alias("share"))))
+    listed = F.transform(told, lambda t: t["term"])
+    found = F.filter(spans(text, WORD), lambda w: F.array_contains(listed, F.lower(w["value"])))
+    return F.when(told.isNotNull(), known(found)).otherwise(F.array()).cast(TERMS)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,10 +203,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _found(docs: DataFrame) -> DataFrame:
     """doc_id, row_key and base spans of every row, checkpointed: no texts but the surroundings of spans."""
     keyed = _texts(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return durable(keyed.select("doc_id", "row_key", base_spans(F.col("text")).alias("base")))
+    return durable(keyed.select("doc_id", "row_key", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base")))
+
 
+TERMS = "array<struct<start:int,end:int,share:double>>"
 
-NO_TERMS = "array<struct<start:int,end:int,share:double>>"
+
+def _told(docs: DataFrame, extra: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns, text (null: null) and told of every row; texts are shuffled only if more than BROADCAST_ROWS rows are told of words."""
+    doc_id = F.col("doc_id").cast("bigint")
+    keyed = docs.select(*columns, "text", F.coalesce(doc_id, F.lit(0)).alias("_row_id"), F.xxhash64(doc_id, F.coalesce("text", F.lit(""))).alias("_row_key"))
+    return keyed.join(small(extra), ["_row_id", "_row_key"], "left")
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -165,7 +225,11 @@ def detect(docs: DataFrame) -> DataFrame:
     found = _found(docs)
     extra = terms_by_row(found, _texts(docs))
     rows = found.withColumns({"_row_id": F.coalesce("doc_id", F.lit(0)), "_row_key": F.col("row_key")})
-    return rows.join(small(extra), ["_row_id", "_row_key"], "left").select("doc_id", "base", F.coalesce("terms", F.array().cast(NO_TERMS)).alias("terms"))
+    # Only rows that are told of words are read again.
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    told = _told(narrow, extra).filter(F.col("told").isNotNull()).dropDuplicates(["_row_id", "_row_key"])
+    marked = durable(told.select("_row_id", "_row_key", term_spans(F.col("text"), F.col("told")).alias("terms")))
+    return rows.join(small(marked), ["_row_id", "_row_key"], "left").select("doc_id", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 
 def listed(all_spans: Column) -> Column:
@@ -180,25 +244,24 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text stays null. Texts are read twice and not shuffled unless more than BROADCAST_ROWS rows have
     revealing words.
     """
-    extra = terms_by_row(_found(docs), _texts(docs)).withColumnRenamed("terms", "_terms")
+    extra = terms_by_row(_found(docs), _texts(docs))
     text = F.coalesce("text", F.lit(""))
-    doc_id = F.col("doc_id").cast("bigint")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = docs.select(whole, "text", F.coalesce(doc_id, F.lit(0)).alias("_row_id"), F.xxhash64(doc_id, text).alias("_row_key"))
-    marked = keyed.join(small(extra), ["_row_id", "_row_key"], "left")
-    cut = "array<struct<start:int,end:int,put:string>>"
+    marked = _told(docs.select(whole, "text", "doc_id"), extra, "_row")
+    puts = "array<struct<start:int,end:int,put:string>>"
     base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
-    terms = F.transform(F.coalesce("_terms", F.array().cast(NO_TERMS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= REMOVE, "").otherwise("[TERM]").alias("put")))
-    ordered = marked.withColumn("_cuts", F.array_sort(F.concat(base.cast(cut), terms.cast(cut))))
-
-    def step(done: Column, s: Column) -> Column:
-        return F.when(
-            s["start"] >= done["at"],
-            F.struct(s["end"].alias("at"), F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), s["put"]).alias("out")),
-        ).otherwise(F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["out"].alias("out")))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_cuts", first, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    terms = F.transform(term_spans(text, F.col("told")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["share"] >= REMOVE, "").otherwise("[TERM]").alias("put")))
+    ordered = marked.withColumn("_cuts", F.array_sort(F.concat(base.cast(puts), terms.cast(puts))))
+
+    def pieces(before: Column) -> Column:
+        """Where a span starts behind all ends before it: the text up to it and what is put for it; at last the rest."""
+        piece = lambda of: lambda s, at: F.when(s["start"] >= at, F.concat(cut(of, at, s["start"] - at), s["put"])).otherwise("")
+        last = F.array_max(F.transform("_cuts", lambda s: s["end"]))
+        put = let(blocks(text), lambda of: F.array_join(F.zip_with("_cuts", before, piece(of)), ""))
+        return F.concat(put, F.substring(text, last + 1, F.length(text)))
+
+    # Worked out only where something is cut.
+    clean = let(running(F.transform("_cuts", lambda s: s["end"]), lambda a, b: F.greatest(a, b)), pieces)
     same = F.size("_cuts") == 0
     new = ordered.withColumn("text", F.when(same, F.col("text")).otherwise(clean))
     count = F.when(same, F.col("_row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None

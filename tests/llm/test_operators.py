@@ -442,6 +442,96 @@ def test_revealing_words_are_found_and_common_ones_left(spark):
     assert not any(r.terms for r in pii.detect(copies).collect())  # copies are one context
 
 
+def brute_terms(corpus):
+    """doc_id -> (start, end, share) of the revealing words, from the definition."""
+    import regex
+
+    word = regex.compile(r"\p{L}{3,}+")
+    texts_of = sorted(set(corpus.values()))
+    name = lambda k, v: f"{k}:{re.sub('[^0-9]', '', v) if k in ('card', 'phone') else v.lower()}"
+    contexts, together, alone, holding = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    for t in texts_of:
+        for w in word.findall(t.lower()):
+            holding[w].add(t)
+        for k, a, b in brute_spans(t):
+            left, right = t[max(0, a - pii.NEAR) : a], t[b : b + pii.NEAR]
+            inner = regex.sub(r"^\p{L}+", "", left) if len(left) == pii.NEAR else left, regex.sub(r"\p{L}+$", "", right) if len(right) == pii.NEAR else right
+            alone[name(k, t[a:b])].add(t)
+            for w in [*word.findall(inner[0]), *word.findall(inner[1])]:
+                contexts[name(k, t[a:b]), w.lower()].add((left.lower(), right.lower()))
+                together[name(k, t[a:b]), w.lower()].add(t)
+    total, told = len(texts_of), {}
+    for (e, w), seen in contexts.items():
+        if len(seen) >= pii.MIN_CONTEXTS and total > len(alone[e]):
+            both = len(together[e, w])
+            share = math.log(both * total / (len(alone[e]) * max(len(holding[w]), both))) / math.log(total / len(alone[e]))
+            if share >= pii.GENERALISE:
+                told[e, w] = share
+    out = {}
+    for i, t in corpus.items():
+        held = {name(k, t[a:b]) for k, a, b in brute_spans(t)}
+        best = {w: max(s for (e, v), s in told.items() if v == w and e in held) for e, w in told if e in held}
+        out[i] = [(m.start(), m.end(), best[m.group().lower()]) for m in word.finditer(t) if m.group().lower() in best]
+    return out
+
+
+def brute_sanitised(t, cuts):
+    out, at = "", 0
+    for a, b, put in sorted(cuts):
+        if a >= at:
+            out += t[at:a] + put
+        at = max(at, b)
+    return out + t[at:]
+
+
+def test_terms_and_sanitised_texts_against_brute_force(spark):
+    rng = random.Random(8)
+    common, rare = ["the", "and", "Übung", "of", "with"], ["Falcon", "Orion", "élan", "vault", "ledger"]
+    values = ["zed@corp.com", "10.0.0.7", "+1 555 123 4567", "4111 1111 1111 1111", "amy@x.org"]
+    corpus = {}
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(rng.randint(0, 40))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.randrange(5)
+            words[rng.randint(0, len(words)) : 0] = [rare[k] if rng.random() < 0.8 else rng.choice(rare), values[k]]
+        if rng.random() < 0.1:
+            words.append(rng.choice(rare))
+        corpus[i] = " ".join(words)
+    for i in range(400, 700):
+        corpus[i] = corpus[3] if i < 600 else corpus[i - 600]
+    corpus[700] = "far Falcon " + " ".join(["the"] * 40) + " zed@corp.com"
+    docs = spark.createDataFrame(list(corpus.items()), "doc_id bigint, text string")
+    want = brute_terms(corpus)
+    assert sum(map(len, want.values())) > 100 and want[700]
+    for r in pii.detect(docs).collect():
+        assert [(s["start"], s["end"]) for s in r.terms] == [x[:2] for x in want[r.doc_id]] and np.allclose([s["share"] for s in r.terms], [x[2] for x in want[r.doc_id]])
+    for r in pii.sanitise(docs).collect():
+        t = corpus[r.doc_id]
+        cuts = [(a, b, f"[{k.upper()}]") for k, a, b in brute_spans(t)] + [(a, b, "" if share >= pii.REMOVE else "[TERM]") for a, b, share in want[r.doc_id]]
+        assert r.text == brute_sanitised(t, cuts), t
+
+
+def test_thousands_of_spans_in_a_row(spark):
+    text = " ".join(f"user{i}@mail{i % 7}.org said {i}" for i in range(8_000))
+    start = time.time()
+    row = pii.detect(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert [(s["kind"], s["start"], s["end"]) for s in row.base] == brute_spans(text)
+    assert "@" not in pii.sanitise(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first().text
+    assert time.time() - start < 40
+
+
+def test_pii_query_against_brute_force(spark, sf):
+    rows = {r["doc_id"]: r for r in queries.op9_pii_sanitise(spark, sf).collect()}
+    corpus = {r["doc_id"]: r["text"] for r in texts(sf)}
+    want = brute_terms(corpus)
+    for i, t in corpus.items():
+        base = brute_spans(t)
+        listed = lambda found: ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        assert rows[i].base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest()
+        assert rows[i].spans == listed([*base, *((pii.TERM, a, b) for a, b, _ in want[i])])
+
+
 def test_sanitise_on_odd_rows(odd):
     out = pii.sanitise(odd)
     assert out.columns == odd.columns and out.count() == len(ODD) and {r["_row_key"] for r in out.collect()} == {"clash"}
