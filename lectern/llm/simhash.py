@@ -103,6 +103,29 @@ def each_list(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def whole_lists(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Many lists at a time, all whole, from batches that are sorted by `key`, and where each row's list ends."""
+    def ready(rows: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        keys = rows[key].to_numpy()
+        starts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+        return rows, np.repeat(starts[1:], np.diff(starts))
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch[key].to_numpy()
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+        if last or held and held[-1][key][0].as_py() != keys[0]:
+            rows = pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks().to_batches()
+            if rows:
+                yield ready(rows[0])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield ready(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
 def links(fps: DataFrame, max_bits: int) -> DataFrame:
     """(a, b): links between the distinct fingerprints `fp` that connect all pairs at most `max_bits` bits apart.
 
@@ -127,93 +150,6 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return lists.select("places", "bytes", "fp").mapInArrow(run, "a bigint, b bigint")
 
 
-# Wide fingerprints, for a similarity that 64 bits cannot tell.
-
-WORDS = 8
-WIDE_BYTES = WORDS * BYTES
-#: Lists of each fingerprint, and how many positional bytes make a list's key.
-LISTS, KEY_BYTES = 160, 3
-#: Differing bits of 512 up to which fingerprints are linked: what a Jaccard similarity of 0.8 gives is 77.6 on average.
-WIDE_BITS = 84
-
-
-def key_places(lists: int = LISTS) -> np.ndarray:
-    """Which positional bytes each list is keyed by, from a seed; two lists share few of them."""
-    rng = np.random.default_rng(SEED)
-    return np.array([rng.choice(WIDE_BYTES, KEY_BYTES, replace=False) for _ in range(lists)])
-
-
-def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
-    """Another hash of each hash, one for every word of a wide fingerprint."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * (word + 1)) % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """512 bits: the majority of eight hashes of each shingle, each shingle once."""
-    distinct = np.unique(hashes)
-    return b"".join(fingerprint(mixed(distinct, w)).to_bytes(BYTES, "big", signed=True) for w in range(WORDS))
-
-
-def wide_fingerprints(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """doc_id, row_key and the 64 bytes fp of every row; map-only. Null texts are empty."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            found = [wide_fingerprint(shingle_hashes(x or "", words_each)) for x in part[2].to_pylist()]
-            yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(found, pa.binary())], names=["doc_id", "row_key", "fp"])
-
-    return rows.mapInArrow(run, "doc_id bigint, row_key bigint, fp binary")
-
-
-def wide_links(nodes: DataFrame, max_bits: int = WIDE_BITS, lists: int = LISTS) -> DataFrame:
-    """(a, b): links that connect the nodes (node, fp) which chains of verified pairs within a list connect.
-
-    At this distance no number of shared bytes is guaranteed, so the minimum tally is one key of
-    KEY_BYTES positional bytes in common out of `lists`; the share of pairs at a similarity of 0.8 that
-    have one is about nine in ten, and rises to all but one in a hundred at 0.85.
-    """
-    places = key_places(lists)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = 8 * np.arange(KEY_BYTES, dtype=np.int64)
-        for part in slices(batches):
-            own = np.frombuffer(b"".join(part[1].to_pylist()), np.uint8).reshape(-1, WIDE_BYTES)
-            keys = (own[:, places].astype(np.int64) << shift).sum(axis=2) | (np.arange(lists, dtype=np.int64) << 8 * KEY_BYTES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part[0].to_numpy(), lists))], names=["key", "node"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose key another row of the sorted partition has; the last row of a batch waits for the next."""
-        before, waiting = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([*([waiting] if waiting is not None else []), batch]).combine_chunks().to_batches()[0]
-            keys = table["key"].to_numpy()
-            same = keys[1:] == keys[:-1]
-            keep = np.append(same, False) | np.insert(same, 0, before == keys[0])
-            before = keys[-2] if len(keys) > 1 else before
-            done, waiting = table.slice(0, len(keys) - 1), table.slice(len(keys) - 1)
-            yield done.filter(pa.array(keep[:-1]))
-        if waiting is not None:
-            yield waiting.filter(pa.array([before == waiting["key"][0].as_py()]))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in each_list(batches, ["key"]):
-            fp = np.frombuffer(b"".join(one["fp"].to_pylist()), np.uint64).reshape(-1, WORDS)
-            node = one["node"].to_numpy()
-            child, root = forest(fp, max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(node[child]), pa.array(node[root])], names=["a", "b"])
-
-    postings = nodes.select("node", "fp").mapInArrow(post, "key bigint, node bigint")
-    shared = postings.repartition("key").sortWithinPartitions("key").mapInArrow(several, "key bigint, node bigint")
-    full = shared.join(nodes, "node").repartition("key").sortWithinPartitions("key", "node").select("key", "node", "fp")
-    return full.mapInArrow(verify, "a bigint, b bigint").distinct()
-
-
 def _rooted(found: DataFrame, max_bits: int) -> DataFrame:
     """fp and root of every distinct fingerprint."""
     nodes = found.select("fp").distinct()
@@ -240,11 +176,13 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2) ->
 #: Sets are near-duplicates from this Jaccard similarity (numerator, denominator) on.
 ALIKE = (4, 5)
 #: About so many rows tell which shingles are common, and so many common ones at most are sent to every task. Both only set the order of shingles.
-SAMPLE_ROWS, COMMON = 10_000, 500_000
+SAMPLE_ROWS, COMMON = 5_000, 300_000
 #: Row keys that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 #: Members of a list that are held against each other at once; longer lists are cut into squares of so many by so many.
 LIST_ROWS = 4_096
+#: Members up to which a list gives its likely pairs as rows: at most half as many as this for each member.
+SHORT_LIST = 256
 
 
 def prefix_size(n: int) -> int:
@@ -302,6 +240,29 @@ def possible(n: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarra
                 yield int(among[i]), among[near]
 
 
+def pairs_within(ends: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one list and of different roots that `may_be_alike` does not rule out, for many short lists at once."""
+    row = np.arange(len(ends))
+    each = ends - 1 - row
+    i = np.repeat(row, each)
+    j = i + 1 + np.arange(len(i)) - np.repeat(each.cumsum() - each, each)
+    fits = (root[i] != root[j]) & (ALIKE[1] * np.minimum(n[i], n[j]) >= ALIKE[0] * np.maximum(n[i], n[j]))
+    i, j = i[fits], j[fits]
+    words = np.array([len(b) // 8 for b in bits], np.int64)
+    near = np.zeros(len(i), bool)
+    least, place = np.minimum(words[i], words[j]), np.zeros(len(ends), np.int64)
+    for size in np.unique(least).tolist():
+        pick = np.flatnonzero(least == size)
+        used = np.unique(np.concatenate([i[pick], j[pick]]))
+        plain, double = used[words[used] == size], used[words[used] != size]  # sizes that can reach ALIKE are at most twice as many buckets apart
+        wide = np.frombuffer(b"".join(bits[k] for k in double), np.uint64).reshape(-1, 2, size)
+        folded = np.concatenate([np.frombuffer(b"".join(bits[k] for k in plain), np.uint64).reshape(-1, size), wide[:, 0] ^ wide[:, 1]])
+        place[np.concatenate([plain, double])] = np.arange(len(used))
+        apart = np.bitwise_count(folded[place[i[pick]]] ^ folded[place[j[pick]]]).sum(axis=1, dtype=np.int64)
+        near[pick] = apart * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (n[i[pick]] + n[j[pick]])
+    return i[near], j[near]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
 
@@ -366,8 +327,9 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
 
     Such a pair has a shingle of its prefixes in common, so it is together in a list. Each member of a list
     is first held against the list's least one. Lists whose members those links leave in several components
-    are then compared whole: in squares of at most LIST_ROWS by LIST_ROWS members, one in memory at a time, so
-    that a long list is the work of many tasks. Texts are fetched only for what sizes and parities allow.
+    are then compared whole. Short ones give the pairs that sizes and parities allow, and each is verified
+    once however many lists it is in. Longer ones are compared in squares of at most LIST_ROWS by LIST_ROWS
+    members, one in memory at a time, so that a long list is the work of many tasks and its pairs are not emitted.
     """
     posted = nodes.select("node", F.explode("prefix").alias("list"))
     # Lists of one member are dropped, and of lists with equal members one stays: told by two 64-bit sums, so that no list is gathered.
@@ -391,16 +353,31 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
             yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     sized = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    likely = durable(sized.mapInArrow(unlike_left_out, "a bigint, b bigint"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = texts_of(docs, keys.join(ends, "node", "left_semi").select("row_key", "node"))
-    read = likely.join(text(texts, "a"), "a").join(text(texts, "b"), "b").select("a", "b", "text_a", "text_b")
-    first = durable(read.mapInArrow(compare, "a bigint, b bigint"))
+
+    def verified(likely: DataFrame) -> DataFrame:
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = texts_of(docs, keys.join(ends, "node", "left_semi").select("row_key", "node"))
+        read = likely.join(text(texts, "a"), "a").join(text(texts, "b"), "b").select("a", "b", "text_a", "text_b")
+        return durable(read.mapInArrow(compare, "a bigint, b bigint"))
+
+    first = verified(durable(sized.mapInArrow(unlike_left_out, "a bigint, b bigint")))
 
     named = members.join(components(first), "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
     apart = named.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
-    left = named.join(apart, "list", "left_semi")
-    cuts = left.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("cuts"))
+    left = durable(named.join(apart, "list", "left_semi"))
+    counted = left.groupBy("list").agg(F.count("*").alias("size"))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, ends in whole_lists(batches, "list"):
+            node = rows["node"].to_numpy()
+            i, j = pairs_within(ends, rows["n"].to_numpy(), rows["bits"].to_pylist(), rows["root"].to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+
+    short = left.join(counted.filter(F.col("size") <= SHORT_LIST).select("list"), "list", "left_semi").join(nodes.select("node", "n", "bits"), "node")
+    short = short.repartition("list").sortWithinPartitions("list").select("list", "node", "root", "n", "bits")
+    second = verified(durable(short.mapInArrow(within, "a bigint, b bigint").distinct()))
+
+    cuts = counted.filter(F.col("size") > SHORT_LIST).select("list", F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("node", "list"), "cuts").cast("int")
     squares = left.join(cuts, "list").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     squares = squares.select("list", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root")
@@ -432,7 +409,7 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
-    return first.unionByName(whole.mapInArrow(search, "a bigint, b bigint")).distinct()
+    return first.unionByName(second).unionByName(whole.mapInArrow(search, "a bigint, b bigint")).distinct()
 
 
 def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:

@@ -71,30 +71,6 @@ def test_run_gives_the_last_stage(spark, sf, steps):
     assert corpus_pipeline.run(spark, sf).count() == steps[4][2].count()
 
 
-def test_wide_links_find_copies_of_four_fifths(spark):
-    rng, rows, pairs = random.Random(4), [], []
-    for n in range(300):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-        other = words.copy()
-        for place in rng.sample(range(10, 190), 2):
-            other[place] = "changed"
-        pairs.append((len(rows), len(rows) + 1))
-        rows += [" ".join(words), " ".join(other)]
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert sum(b not in kept for _, b in pairs) >= 0.95 * len(pairs) and all(a in kept for a, _ in pairs)
-    found = simhash.wide_fingerprints(docs).withColumn("node", F.col("doc_id"))
-    fp = {r.doc_id: np.frombuffer(r.fp, np.uint64) for r in found.collect()}
-    nodes = found.select("node", "fp")
-    links = simhash.wide_links(nodes).collect()
-    assert links and all(np.bitwise_count(fp[r.a] ^ fp[r.b]).sum() <= simhash.WIDE_BITS for r in links)
-    places = simhash.key_places()
-    view = {i: f.view(np.uint8) for i, f in fp.items()}
-    want = {(a, b) for a, b in pairs if np.bitwise_count(fp[a] ^ fp[b]).sum() <= simhash.WIDE_BITS and (view[a] == view[b])[places].all(axis=1).any()}
-    root = {r.node: r.root for r in components(spark.createDataFrame(links)).collect()}
-    assert {(a, b) for a, b in pairs if root.get(b) == a} == want
-
-
 def test_near_duplicates_are_those_of_four_fifths_and_no_others(spark):
     rng, rows, pairs = random.Random(9), [], []
     for changed in (4, 5, 6, 7):  # 196 shingles a side: similarities 0.81, 0.77, 0.73 and 0.70 where no changes overlap
@@ -112,7 +88,11 @@ def test_near_duplicates_are_those_of_four_fifths_and_no_others(spark):
     assert {r.doc_id for r in simhash.keep_one(docs, 5).collect()} == set(range(len(rows))) - near
 
 
-def test_near_duplicates_that_only_chains_connect(spark):
+@pytest.mark.parametrize("short, square", [(256, 4_096), (1, 2)])
+def test_near_duplicates_that_only_chains_connect(spark, monkeypatch, short, square):
+    """As short lists, and as long ones cut into squares."""
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    monkeypatch.setattr(simhash, "LIST_ROWS", square)
     words = [f"w{i}" for i in range(400)]
     rows = [" ".join(words[s : s + 200]) for s in (0, 20, 40, 60, 80, 130, 195)] + [" ".join(words[:200]) + " more"]
     rows += [" ".join(["a line that all of them hold in common with others"] + [f"v{k}x{i}" for i in range(20)]) for k in range(60)]
