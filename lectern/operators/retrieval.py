@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,8 +11,9 @@ from lectern.operators.lexical import bm25_search, top_k
 
 MODES = ("vector", "bm25", "hybrid")
 RRF_K, CANDIDATES, ROUNDS = 60, 50, 5
-#: Query vectors that are sent to the executors at once; more are searched in further blocks.
-QUERY_BLOCK = 20_000
+#: Queries of a block and rows of a part, and how many of the rows are multiplied with a block at once.
+QUERY_BLOCK, PART_ROWS, SCORE_ROWS = 4_000, 20_000, 1_000
+FOUND = pa.schema([("query_id", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
 NONE_FOUND = "No relevant passages found."
 
 
@@ -26,42 +25,38 @@ def normalise(vector: Column, extra: float = 0.0) -> Column:
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str = "item_id", vector: str = "embedding", block: int = QUERY_BLOCK, without_self: bool = False) -> DataFrame:
     """query_id, `key`, score and rank of the k nearest rows by inner product of every query (query_id, vector).
 
-    Queries come to the executors in blocks of a bounded number of rows; each Arrow batch multiplies once
-    and keeps k rows a query before anything is shuffled. Scores round to 6 places, ties go by key.
+    Queries are dealt into blocks of about `block`, rows into parts of about PART_ROWS, and every block meets
+    every part in one group of bounded size, where SCORE_ROWS rows are multiplied at once and k rows a query
+    go on. Nothing passes through the driver but two counts. Scores round to 6 places, ties go by key. Null
+    vectors are left out.
     """
-    context = vectors.sparkSession.sparkContext
-
-    def against(rows: list) -> DataFrame:
-        sent = context.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["vector"] for r in rows], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch[0].to_numpy(zero_copy_only=False)
-                m = np.stack(batch[1].to_numpy(zero_copy_only=False)).astype(np.float64)
-                score = np.round(m @ q.T, 6)
+    rows = vectors.select(F.col(key).cast("bigint").alias("item"), F.col(vector).alias("own")).filter("own is not null")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").alias("asked")).filter("asked is not null")
+    n_blocks = max(1, -(-asked.count() // block))
+    n_parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    parts = rows.withColumn("_part", dealt("item", n_parts)).withColumn("_block", every(n_blocks))
+    blocks = asked.withColumn("_block", dealt("query_id", n_blocks)).withColumn("_part", every(n_parts))
+
+    def best(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        matrix = lambda t, c: np.stack(t[c].to_numpy()).astype(np.float64)
+        out = []
+        if held.num_rows and wanted.num_rows:
+            ids, q = wanted["query_id"].to_numpy(), matrix(wanted, "asked")
+            for start in range(0, held.num_rows, SCORE_ROWS):
+                some = held.slice(start, SCORE_ROWS)
+                own = some["item"].to_numpy()
+                score = np.round(matrix(some, "own") @ q.T, 6)
                 if without_self:
                     score[own[:, None] == ids[None, :]] = -np.inf
                 # Ties at the k-th place must all stay until the final order by key.
                 limit = np.partition(score, max(0, len(own) - k), axis=0)[max(0, len(own) - k)]
                 i, j = np.nonzero((score >= limit) & np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(score[i, j])], names=["query_id", "item", "score"])
-
-        return vectors.select(F.col(key).cast("bigint"), vector).mapInArrow(run, "query_id bigint, item bigint, score double")
-
-    held: list = []
-    found = None
-    for row in queries.select(F.col("query_id").cast("bigint"), "vector").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            found = against(held) if found is None else found.unionByName(against(held))
-            held = []
-    if held or found is None:
-        if not held:
-            return vectors.select(F.lit(0).cast("bigint").alias("query_id"), F.col(key).cast("bigint").alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-        found = against(held) if found is None else found.unionByName(against(held))
+                out.append(pa.table({"query_id": ids[j], "item": own[i], "score": score[i, j]}))
+        return pa.concat_tables(out) if out else FOUND.empty_table()
+
+    found = parts.groupBy("_part", "_block").cogroup(blocks.groupBy("_part", "_block")).applyInArrow(best, "query_id bigint, item bigint, score double")
     return top_k(found, k, "query_id", [F.desc("score"), F.col("item")])
 
 

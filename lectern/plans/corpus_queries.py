@@ -147,10 +147,10 @@ def _(spark, sf):
     return rows.orderBy(F.desc("n_sections"), "pmcid").offset(3).limit(1)
 
 
-XML = "'<article><front><journal-meta><journal-title>' || source || '</journal-title></journal-meta><article-meta><permissions><license license-type=\"t' || (doc_id % 3) || '\"/></permissions></article-meta></front><body><sec><title>One &amp; two</title><p>' || replace(replace(substring(text, 1, 200), '&', '&amp;'), '<', '&lt;') || '<xref>[1]</xref> .</p></sec></body></article>'"
+XML = "'<article><front><journal-meta><journal-title>' || source || '</journal-title></journal-meta><article-meta><permissions><license license-type=\"t' || (doc_id % 3) || '\"/></permissions></article-meta></front><body><sec><title>One &amp; two</title><p>' || replace(replace(regexp_replace(text, '[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F]', ''), '&', '&amp;'), '<', '&lt;') || '<xref>[1]</xref> .</p></sec></body></article>'"
 
 
-@book.add("s11_parse_xml", r"SELECT 'PMC' || doc_id AS pmcid, source AS journal, 't' || (doc_id % 3) AS license, 'One & two' AS heading, regexp_replace(regexp_replace(regexp_replace(substring(text, 1, 200) || ' .', '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([.,;:)])', '\1', 'g') AS body FROM documents")
+@book.add("s11_parse_xml", r"SELECT 'PMC' || doc_id AS pmcid, source AS journal, 't' || (doc_id % 3) AS license, 'One & two' AS heading, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') || ' .', '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([.,;:)])', '\1', 'g') AS body FROM documents")
 def _(spark, sf):
     batch = v.table(spark, sf, "documents").select(F.concat(F.lit("PMC"), "doc_id").alias("pmcid"), F.expr(XML).alias("xml"))
     return corpus.parse_articles(batch).select("pmcid", "journal", "license", F.col("sections")[0]["heading"].alias("heading"), F.col("sections")[0]["text"].alias("body"))

@@ -89,7 +89,7 @@ def _(spark, sf):
     return lx.query_terms(_asked(spark, sf), "query_id", "query")
 
 
-@book.add("x8_idf", f"{POSTINGS}, raw AS (SELECT term, df, idf, ln((n - df + 0.5) / (df + 0.5)) AS r FROM df, size) SELECT term, df, round(idf, 6) AS idf, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS okapi FROM raw")
+@book.add("x8_idf", f"{POSTINGS}, raw AS MATERIALIZED (SELECT term, df, idf, ln((n - df + 0.5) / (df + 0.5)) AS r FROM df, size) SELECT term, df, round(idf, 6) AS idf, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS okapi FROM raw")
 def _(spark, sf):
     p = v.passages(spark, sf)
     df = lx.document_frequencies(p).crossJoin(F.broadcast(lx.mean_length(p)))
@@ -156,7 +156,7 @@ def _(spark, sf):
     return lx.bm25_search(v.passages(spark, sf), _asked(spark, sf), KEYS, 5).withColumn("score", F.round("score", 6))
 
 
-CARDS = f"cards AS MATERIALIZED (SELECT doc_id AS passage_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id), asked AS MATERIALIZED (SELECT passage_id AS query_id, array_to_string(list_slice({v.sql_tokens('text')}, 1, 8), ' ') AS query, embedding FROM cards WHERE passage_id % 50 = 0)"
+CARDS = f"cards AS MATERIALIZED (SELECT doc_id AS passage_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id), asked AS MATERIALIZED (SELECT passage_id AS query_id, array_to_string({v.sql_tokens('text')}, ' ') AS query, embedding FROM cards WHERE passage_id % 50 = 0)"
 FUSED = f"""WITH {CARDS}, {sql_postings('cards', 'passage_id')}, {sql_bm25('asked', 'passage_id', 50, 'words')},
 near AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM (
   SELECT q.query_id, c.passage_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score FROM asked q, cards c)) WHERE rank <= 50),
@@ -167,7 +167,7 @@ fused AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 def _cards(spark, sf):
     e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("passage_id"), "embedding")
     cards = v.table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text").join(e, "passage_id")
-    asked = cards.filter("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), F.array_join(F.slice(tx.tokens(F.col("text")), 1, 8), " ").alias("query"), F.col("embedding").alias("vector"))
+    asked = cards.filter("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), F.array_join(tx.tokens(F.col("text")), " ").alias("query"), F.col("embedding").alias("vector"))
     return cards, asked
 
 

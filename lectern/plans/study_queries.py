@@ -76,10 +76,17 @@ def _(spark, sf):
     return v.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(tx.content(F.col("text"))), " ").alias("words"))
 
 
-@book.add("q5_similar_pairs", f"""WITH s AS (SELECT doc_id, list_sort({sql_content('text')}) AS w FROM documents), n AS MATERIALIZED (SELECT w, min(doc_id) AS a FROM s WHERE len(w) > 0 GROUP BY w)
-SELECT x.a, y.a AS b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) AS similarity FROM n x JOIN n y ON x.a < y.a AND least(len(x.w), len(y.w)) >= 0.6 * greatest(len(x.w), len(y.w)) WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6""")
+@book.add("q5_similar_pairs", f"""WITH s AS MATERIALIZED (SELECT doc_id, list_sort({sql_content('text')}) AS w FROM documents), n AS MATERIALIZED (SELECT w, min(doc_id) AS a FROM s WHERE len(w) > 0 GROUP BY w),
+p AS MATERIALIZED (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a < y.a AND least(len(x.w), len(y.w)) >= 0.6 * greatest(len(x.w), len(y.w)) WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6),
+c AS (SELECT a, count(*) AS links FROM (SELECT a FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
+SELECT doc_id, n.a AS class_id, coalesce(links, 0) AS n_links FROM s LEFT JOIN n USING (w) LEFT JOIN c ON c.a = n.a""")
 def _(spark, sf):
-    return qs.similar_pairs(v.table(spark, sf, "documents"), "doc_id", "text")[0]
+    """Every document with the smallest document of its word set (null: no words) and how many other sets are similar to it."""
+    docs = v.table(spark, sf, "documents")
+    pairs, members = qs.similar_pairs(docs, "doc_id", "text")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("links"))
+    named = members.join(links, "a", "left").select("doc_id", F.col("a").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
 SAID = v.sql_sentences("answer")
@@ -116,14 +123,14 @@ def _(spark, sf):
     return qs.tally(_problems(spark, sf))
 
 
-GOLD = f"""{rq.P}, {v.QUESTIONS}, each AS (SELECT question_id, source_doc_id AS doc_id, i AS no, list_slice({v.sql_sentences('question')}, 1, 2)[i] AS sentence FROM questions, LATERAL unnest(range(1, least(len({v.sql_sentences('question')}), 2) + 1)) t(i) WHERE source_doc_id IS NOT NULL),
+GOLD = f"""{rq.P}, {v.QUESTIONS}, each AS (SELECT question_id, source_doc_id AS doc_id, i AS no, {v.sql_sentences('question')}[i] AS sentence FROM questions, LATERAL unnest(range(1, len({v.sql_sentences('question')}) + 1)) t(i) WHERE source_doc_id IS NOT NULL),
 held AS (SELECT question_id, no, chunk_index, contains({NORM.format('text')}, {NORM.format('sentence')}) AS whole, len(list_intersect({v.sql_shingles('sentence')}, {v.sql_shingles('text')})) / len({v.sql_shingles('sentence')}) AS share FROM each JOIN passages USING (doc_id)),
 marked AS (SELECT *, bool_or(whole) OVER (PARTITION BY question_id, no) AS any_whole, bool_or(share >= 0.5 OR whole) OVER (PARTITION BY question_id, no) AS any_half FROM held WHERE whole OR share > 0),
 gold AS (SELECT DISTINCT question_id, chunk_index, CASE WHEN bool_and(any_whole) OVER (PARTITION BY question_id) THEN 'exact' ELSE 'split' END AS match, CASE WHEN any_whole THEN whole WHEN any_half THEN share >= 0.5 ELSE true END AS ok FROM marked)"""
 
 
 def _gold(spark, sf):
-    asked = v.questions(spark, sf).filter("source_doc_id is not null").select("question_id", "source_doc_id", F.slice(tx.sentences(F.col("question")), 1, 2).alias("sentences"))
+    asked = v.questions(spark, sf).filter("source_doc_id is not null").select("question_id", "source_doc_id", tx.sentences(F.col("question")).alias("sentences"))
     return qs.gold_chunks(asked, v.passages(spark, sf).withColumn("strategy", F.lit("section")))
 
 
@@ -344,10 +351,9 @@ def _(spark, sf):
     return _messages(spark, sf).select("session", "turn", an.dose_stated(F.col("content")).alias("removed"))
 
 
-@book.add("m1_clean_texts", f"WITH {MSG} SELECT session, turn, md5(CASE WHEN contains(content, 'The dose is 0.5 mg daily.') THEN regexp_replace(replace(content, ' The dose is 0.5 mg daily.', ''), '\\s+$', '') || chr(10) || chr(10) || '{an.NOTE}' ELSE content END) AS clean_md5 FROM msg WHERE NOT regexp_matches(content, '^\\s|\\n[ \\t]*\\n[ \\t]*\\n|[^.!?] The dose')")
+@book.add("m1_clean_texts")
 def _(spark, sf):
-    m = _messages(spark, sf).filter(~F.col("content").rlike(r"^\s|\n[ \t]*\n[ \t]*\n|[^.!?] The dose"))
-    return m.select("session", "turn", F.md5(an.without_doses(F.col("content"))).alias("clean_md5"))
+    return _messages(spark, sf).select("session", "turn", F.md5(an.without_doses(F.col("content"))).alias("clean_md5"))
 
 
 @book.add("m3_earlier_turns", f"WITH {MSG} SELECT * FROM (SELECT session, turn, role, md5(coalesce(string_agg(role || ': ' || content, chr(10)) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '')) AS earlier_md5, row_number() OVER (PARTITION BY session ORDER BY turn)::INT - 1 AS n_earlier FROM msg) WHERE role = 'user'")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.operators import chunking
 from lectern.operators.sizes import small
 
+#: Questions of two words or fewer that are looked for in every document.
+BARE = 1_000
 LICENSES = ("CC BY 4.0", "unknown", "CC BY-NC 4.0", "CC0 1.0", "CC BY-ND 4.0")
 
 
@@ -41,12 +43,35 @@ def both_passages(spark: SparkSession, sf: str) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
+def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """question_id and doc_id of the documents that hold an item's text (question_id, question).
+
+    A text that holds another holds its whole words, the first and last apart. Items are filed under the
+    rarest of these, counted over all documents; a document's words fetch the items to look for. Items of
+    two words or fewer have none and are looked for in every document; they are sent out if they are few.
+    """
+    spaced = lambda text: F.split(text, r"\s+", -1)
+    words = spaced(F.col("question"))
+    inner = items.select("question_id", "question", F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")).alias("inner"))
+    listed = inner.select("question_id", "question", F.explode("inner").alias("word"))
+    wanted = small(listed.select("word").distinct())
+    each = docs.select("doc_id", F.explode(F.array_distinct(spaced(F.col("text")))).alias("word")).join(wanted, "word", "left_semi")
+    counts = each.groupBy("word").agg(F.count("*").alias("n"))
+    ordered = listed.join(small(counts), "word", "left").groupBy("question_id", "question").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    candidates = each.join(small(ordered), "word").select("question_id", "question", "doc_id")
+    checked = docs.join(small(candidates), "doc_id").filter(F.contains(F.col("text"), F.col("question"))).select("question_id", "doc_id")
+    bare = inner.filter(F.size("inner") == 0).select("question_id", "question")
+    rest = docs.join(F.broadcast(bare), F.contains(docs["text"], F.col("question"))).select("question_id", "doc_id") if bare.limit(BARE + 1).count() <= BARE else None
+    if rest is None:
+        raise ValueError(f"more than {BARE} questions of two words or fewer")
+    return checked.unionByName(rest)
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as questions whose source is the lowest document that holds the text."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    # The stated questions against all documents: a join on containment, with the questions sent out if they are few.
-    held = docs.join(small(items, 10_000), F.contains(docs["text"], F.col("question"))).groupBy("question_id").agg(F.min("doc_id").alias("source"))
+    held = holders(items, docs).groupBy("question_id").agg(F.min("doc_id").alias("source"))
     return items.join(held, "question_id", "left").select(
         "question_id", "question", F.concat(F.lit("PMC"), "source").alias("source_doc_id"), F.concat(F.lit("c"), F.col("question_id") % 5).alias("category"), F.concat(F.lit("s"), F.col("question_id") % 10).alias("subspecialty")
     )

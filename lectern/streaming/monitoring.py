@@ -12,20 +12,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lectern.operators.answers import STREAM_END, clean_piece, daily_scores
 from lectern.sources.index_store import KEYS, exists, missing
 
-#: Characters of an unfinished sentence that are held for a session before they are passed on.
-MOST_HELD = 100_000
-
 
 def feed(held: str, pieces: list[tuple[str, str]]) -> tuple[str, list[str]]:
-    """What stays held, and the texts to show, after pieces (kind, text): text, reset (the draft is dropped) or flush."""
+    """What stays held, and the texts to show, after pieces (kind, text): text, reset (the draft is dropped) or flush.
+
+    A sentence is held until it ends, however long it grows, so that no amount is shown in two halves.
+    """
     out = []
     for kind, text in pieces:
         if kind == "reset":
             held = ""
             continue
+        before = max(0, len(held) - 1)  # what was held has no end but perhaps at its last sign
         held += text or ""
-        ends = [m.end() for m in STREAM_END.finditer(held)]
-        stop = len(held) if kind == "flush" or len(held) > MOST_HELD else ends[-1] if ends else 0
+        ends = [m.end() for m in STREAM_END.finditer(held, before)]
+        stop = len(held) if kind == "flush" else ends[-1] if ends else 0
         done, held = held[:stop], held[stop:]
         if done and (shown := clean_piece(done)):
             out.append(shown)

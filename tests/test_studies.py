@@ -164,6 +164,21 @@ def test_dose_feed():
     assert mo.feed("draft ", [("reset", ""), ("text", "New. ")]) == (" ", ["New."])
 
 
+@pytest.mark.parametrize("before", [99_996, 1_000_000])
+def test_no_amount_is_shown_in_halves(before):
+    held, shown = mo.feed("", [("text", "x" * before + " take 0.5 ")])
+    held, more = mo.feed(held, [("text", "mg daily. "), ("text", "Then rest. ")])
+    shown += more + mo.feed(held, [("flush", "")])[1]
+    assert "0.5" not in "".join(shown) and "mg" not in "".join(shown) and "Then rest." in "".join(shown)
+
+
+def test_stream_pieces_equal_cleaned_texts(spark):
+    texts = ["Take 5 mg now. Then rest.  ", "One.\n\n2 mg daily.\n\n\nTwo.", " plain  text \n\n\n\n kept ", "- Give 1 mL. Wait. ", "3 mg", "", "a.\n- 2 mg\n- b. 4 IU c. d.  \n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", an.without_doses(F.col("text"), note=False).alias("clean")).collect()
+    assert [r.clean for r in sorted(rows)] == [an.clean_piece(t) for t in texts]
+    assert an.clean_piece(texts[0]) == "Then rest."
+
+
 def test_dose_stream(spark, tmp_path):
     rows = [("s", i, "text", p) for i, p in enumerate(PIECES)] + [("s", 9, "flush", "")]
     schema = "session string, seq int, kind string, text string"
