@@ -15,8 +15,11 @@ from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -179,6 +182,10 @@ ALIKE = (4, 5)
 SAMPLE_ROWS, COMMON = 5_000, 300_000
 #: Row keys that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bits of the bitmaps that spare rows a shuffle, as a power of two: 16 MB each, whatever the input.
+MARK_BITS = 27
+#: Bits that one row of a bitmap holds, as a power of two; fixed by bitmap_construct_agg.
+ROW_BITS = 15
 #: Members of a list that are held against each other at once; longer lists are cut into squares of so many by so many.
 LIST_ROWS = 4_096
 #: Members up to which a list gives its likely pairs as rows: at most half as many as this for each member.
@@ -263,6 +270,36 @@ def pairs_within(ends: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.nd
     return i[near], j[near]
 
 
+def marks(keys: DataFrame, column: str) -> Broadcast:
+    """A bitmap of 2 ** MARK_BITS bits, sent to every executor, in which the first bits of each 64-bit hash in a column are set.
+
+    A hash whose bit is not set is not in `keys`. Others may be in it, so they still need a join: the fuller
+    the bitmap, the more rows go through that join, and no result depends on it.
+    """
+    bit = F.shiftrightunsigned(column, 64 - MARK_BITS)
+    spots = keys.select(F.shiftrightunsigned(bit, ROW_BITS).alias("row"), bit.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("spot"))
+    rows = spots.repartition("row").groupBy("row").agg(F.bitmap_construct_agg("spot").alias("bits")).toArrow()
+    held = np.zeros((1 << (MARK_BITS - ROW_BITS), 1 << (ROW_BITS - 3)), np.uint8)
+    for row, bits in zip(rows["row"].to_pylist(), rows["bits"], strict=True):
+        held[row] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(held.reshape(-1))
+
+
+def set_in(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = (hashes.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    return (held[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def marked(sent: Broadcast, column: str) -> Column:
+    """Whether a hash's bit is set."""
+
+    @F.pandas_udf("boolean")
+    def hit(hashes: pd.Series) -> pd.Series:
+        return pd.Series(set_in(sent.value, hashes.to_numpy(np.int64)))
+
+    return hit(column)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
 
@@ -331,11 +368,22 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
     once however many lists it is in. Longer ones are compared in squares of at most LIST_ROWS by LIST_ROWS
     members, one in memory at a time, so that a long list is the work of many tasks and its pairs are not emitted.
     """
-    posted = nodes.select("node", F.explode("prefix").alias("list"))
+    counts = nodes.select(F.explode("prefix").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
+    sent = marks(counts.filter("n > 1"), "list")
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The postings but for those of lists that surely have one member."""
+        for batch in batches:
+            lists = batch["prefix"].flatten().to_numpy()
+            node = np.repeat(batch["node"].to_numpy(), pc.list_value_length(batch["prefix"]).to_numpy())
+            keep = set_in(sent.value, lists)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(lists[keep])], names=["node", "list"])
+
+    posted = durable(nodes.select("node", "prefix").mapInArrow(post, "node bigint, list bigint"))
     # Lists of one member are dropped, and of lists with equal members one stays: told by two 64-bit sums, so that no list is gathered.
-    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in range(2)]
-    several = posted.groupBy("list").agg(F.min("node").alias("least"), F.count("*").alias("n"), *marks).filter("n > 1")
-    once = durable(several.groupBy("least", "n", "mark0", "mark1").agg(F.min("list").alias("list")).select("list", "least"))
+    sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in range(2)]
+    several = posted.groupBy("list").agg(F.min("node").alias("least"), F.count("*").alias("n"), *sums).filter("n > 1")
+    once = durable(several.groupBy("least", "n", "sum0", "sum1").agg(F.min("list").alias("list")).select("list", "least"))
     members = durable(posted.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "list").select("list", "least", "node"))
     keys = nodes.select("row_key", "node")
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
@@ -419,11 +467,18 @@ def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
     repeat in both id and text one stays. All columns of `docs` are returned; an empty table gives an empty result.
     """
     found = durable(prefixes(docs, words_each))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")).alias("first")
-    per_node = durable(found.groupBy("node").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")))
+    again = marked(marks(found.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "node")
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
+    alone = found.filter(~again).select("node", own.alias("first"), "n", "bits", "prefix")
+    grouped = found.filter(again).groupBy("node").agg(F.min(own).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    per_node = durable(alone.unionByName(grouped))
     roots = components(exact_links(per_node.select("node", F.col("first.row_key").alias("row_key"), "n", "bits", "prefix"), docs, words_each))
     kept = per_node.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.row_key").alias("_kept_key"))
+    kept = durable(kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.row_key").alias("_kept_key")))
+    # Rows that are kept and not repeated need no join; the others, and those that share a bit with them, do.
+    times = found.groupBy("row_key").agg(F.count("*").alias("n")).join(kept.select(F.col("_kept_key").alias("row_key"), F.lit(True).alias("stays")).distinct(), "row_key", "left")
+    doubtful = marked(marks(times.filter("n > 1 or stays is null"), "row_key"), "_kept_key")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_kept_id"), F.xxhash64("doc_id", "text").alias("_kept_key"))
-    return rows.join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"]).select("_row.*")
+    joined = rows.filter(doubtful).join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"])
+    return rows.filter(~doubtful).unionByName(joined.select(*rows.columns)).select("_row.*")
