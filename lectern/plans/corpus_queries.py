@@ -8,6 +8,7 @@ from lectern.functions import text as tx
 from lectern.operators import chunking, corpus
 from lectern.plans import views as v
 from lectern.plans.book import Book
+from lectern.sources import files, index_store
 
 book = Book()
 QUERIES, SQL = book.QUERIES, book.SQL
@@ -22,6 +23,22 @@ def _(spark, sf):
     return a.select("pmcid", "title", "doi", "license", "journal", F.size("sections").cast("bigint").alias("n_sections"), F.col("sections")[0]["heading"].alias("first_heading"), F.md5(corpus.full_text(F.col("sections"))).alias("text_md5"))
 
 
+@book.add("s2_save_corpus", f"{W} SELECT pmcid, title, doi, license, journal, len(sections) AS n_sections, md5({v.FULL_TEXT}) AS text_md5 FROM articles")
+def _(spark, sf):
+    path = v.folder(spark, "corpus")
+    files.save_corpus(v.articles(spark, sf).drop("num"), path)
+    a = files.load_corpus(spark, path)
+    return a.select("pmcid", "title", "doi", "license", "journal", F.size("sections").cast("bigint").alias("n_sections"), F.md5(corpus.full_text(F.col("sections"))).alias("text_md5"))
+
+
+@book.add("s5_chunk_cache", f"{R}{v.PASSAGES} SELECT 'section' AS strategy, doc_id, chunk_index, section, text FROM passages")
+def _(spark, sf):
+    path = v.folder(spark, "passages")
+    index_store.cached_passages(spark, path, "section", lambda: v.passages(spark, sf))
+    again = index_store.cached_passages(spark, path, "section", lambda: v.passages(spark, sf).limit(0))
+    return again.select("strategy", "doc_id", "chunk_index", "section", "text")
+
+
 @book.add("s8_append_missing", "SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def _(spark, sf):
     return v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "lang", "source")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; a local master without one gets a temporary folder, others are refused."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as articles: each line a section, two lines to a heading."""
     lines = F.split("text", "\n", -1)
