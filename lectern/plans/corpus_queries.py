@@ -31,6 +31,18 @@ def _(spark, sf):
     return a.select("pmcid", "title", "doi", "license", "journal", F.size("sections").cast("bigint").alias("n_sections"), F.md5(corpus.full_text(F.col("sections"))).alias("text_md5"))
 
 
+@book.add("s3_repair_corpus", f"{W} SELECT pmcid, CASE WHEN num % 4 = 0 THEN 'second' ELSE title END AS title, len(sections) AS n_sections FROM articles WHERE num % 7 <> 0 OR num % 4 = 0")
+def _(spark, sf):
+    path = v.folder(spark, "damaged")
+    stored = v.articles(spark, sf).withColumn("sections", F.transform("sections", lambda s: F.array(s["heading"], s["text"])))
+    whole = F.to_json(F.struct("pmcid", "title", "doi", "license", "journal", "sections"))
+    later = F.to_json(F.struct("pmcid", F.lit("second").alias("title"), "doi", "license", "journal", "sections"))
+    first = F.when(F.col("num") % 7 == 0, F.substring(whole, 1, 20)).otherwise(whole)  # a line cut short
+    lines = F.array_compact(F.array(first, F.when(F.col("num") % 4 == 0, later)))
+    stored.select(F.explode(lines).alias("value")).write.text(path)
+    return files.repair_corpus(spark, path).select("pmcid", "title", F.size("sections").cast("bigint").alias("n_sections"))
+
+
 @book.add("s5_chunk_cache", f"{R}{v.PASSAGES} SELECT 'section' AS strategy, doc_id, chunk_index, section, text FROM passages")
 def _(spark, sf):
     path = v.folder(spark, "passages")
