@@ -51,6 +51,14 @@ def _(spark, sf):
     return again.select("strategy", "doc_id", "chunk_index", "section", "text")
 
 
+@book.add("s7_question_file", "SELECT item_id::VARCHAR AS id, text AS question, '' AS category, 0::BIGINT AS n_sentences, 0::BIGINT AS n_gold FROM benchmark")
+def _(spark, sf):
+    path = v.folder(spark, "questions")
+    files.write_questions(v.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question")), path)
+    q = files.read_questions(spark, path)
+    return q.select("id", "question", "category", F.size("answer_sentences").cast("bigint").alias("n_sentences"), F.size("gold_chunks").cast("bigint").alias("n_gold"))
+
+
 @book.add("s8_append_missing", "SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def _(spark, sf):
     return v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "lang", "source")
@@ -73,6 +81,16 @@ def _(spark, sf):
     return nested.select("question_id", "inputs.*", "expectations.*", "tags.*")
 
 
+@book.add("s13_copy_index", f"{R}{v.PASSAGES} SELECT doc_id, chunk_index, section, text, true AS embedded FROM passages")
+def _(spark, sf):
+    from lectern.functions.plugins import embedder
+
+    source, target = v.folder(spark, "index"), v.folder(spark, "copy")
+    index_store.embed_missing(v.passages(spark, sf), embedder(), source, "hash")
+    index_store.copy_index(spark, source, target)
+    return spark.read.parquet(f"{target}/passages").select("doc_id", "chunk_index", "section", "text", (F.size("embedding") > 0).alias("embedded"))
+
+
 @book.add("c2_node_text", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([.,;:)])', '\1', 'g')) AS clean_md5 FROM documents")
 def _(spark, sf):
     return v.table(spark, sf, "documents").select("doc_id", F.md5(tx.node_text(F.col("text"))).alias("clean_md5"))
