@@ -7,12 +7,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.blocks import SENT_BYTES, against_all, best_rows, matrix, same_width
 from lectern.operators.lexical import bm25_search, top_k
 
 MODES = ("vector", "bm25", "hybrid")
 RRF_K, CANDIDATES, ROUNDS = 60, 50, 5
-#: Queries of a block and rows of a part, and how many of the rows are multiplied with a block at once.
-QUERY_BLOCK, PART_ROWS, SCORE_ROWS = 4_000, 20_000, 1_000
 FOUND = pa.schema([("query_id", pa.int64()), ("item", pa.int64()), ("score", pa.float64())])
 NONE_FOUND = "No relevant passages found."
 
@@ -22,41 +21,32 @@ def normalise(vector: Column, extra: float = 0.0) -> Column:
     return F.transform(vector, lambda x: x / size)
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str = "item_id", vector: str = "embedding", block: int = QUERY_BLOCK, without_self: bool = False) -> DataFrame:
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str = "item_id", vector: str = "embedding", without_self: bool = False, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """query_id, `key`, score and rank of the k nearest rows by inner product of every query (query_id, vector).
 
-    Queries are dealt into blocks of about `block`, rows into parts of about PART_ROWS, and every block meets
-    every part in one group of bounded size, where SCORE_ROWS rows are multiplied at once and k rows a query
-    go on. Nothing passes through the driver but two counts. Scores round to 6 places, ties go by key. Null
-    vectors are left out.
+    Few queries are sent to where the rows are and the rows are not moved; more than `sent_bytes` of them meet
+    the rows in blocks (`blocks.against_all`). Scores round to 6 places, ties go by key. Null vectors are left out.
     """
     rows = vectors.select(F.col(key).cast("bigint").alias("item"), F.col(vector).alias("own")).filter("own is not null")
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").alias("asked")).filter("asked is not null")
-    n_blocks = max(1, -(-asked.count() // block))
-    n_parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART_ROWS))
-    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    parts = rows.withColumn("_part", dealt("item", n_parts)).withColumn("_block", every(n_blocks))
-    blocks = asked.withColumn("_block", dealt("query_id", n_blocks)).withColumn("_part", every(n_parts))
-
-    def best(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        matrix = lambda t, c: np.stack(t[c].to_numpy()).astype(np.float64)
-        out = []
-        if held.num_rows and wanted.num_rows:
-            ids, q = wanted["query_id"].to_numpy(), matrix(wanted, "asked")
-            for start in range(0, held.num_rows, SCORE_ROWS):
-                some = held.slice(start, SCORE_ROWS)
-                own = some["item"].to_numpy()
-                score = np.round(matrix(some, "own") @ q.T, 6)
-                if without_self:
-                    score[own[:, None] == ids[None, :]] = -np.inf
-                # Ties at the k-th place must all stay until the final order by key.
-                limit = np.partition(score, max(0, len(own) - k), axis=0)[max(0, len(own) - k)]
-                i, j = np.nonzero((score >= limit) & np.isfinite(score))
-                out.append(pa.table({"query_id": ids[j], "item": own[i], "score": score[i, j]}))
-        return pa.concat_tables(out) if out else FOUND.empty_table()
-
-    found = parts.groupBy("_part", "_block").cogroup(blocks.groupBy("_part", "_block")).applyInArrow(best, "query_id bigint, item bigint, score double")
+
+    def score(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not held.num_rows or not wanted.num_rows:
+            return FOUND.empty_table()
+        ids, own = wanted["query_id"].to_numpy(), held["item"].to_numpy()
+        q, x = same_width(matrix(wanted["asked"]), matrix(held["own"]))
+        scores = np.round(x @ q.T, 6)
+        if without_self:
+            scores[own[:, None] == ids[None, :]] = -np.inf
+        # Ties at the k-th place must all stay until the order by key.
+        limit = np.partition(scores, max(0, len(own) - k), axis=0)[max(0, len(own) - k)]
+        i, j = np.nonzero((scores >= limit) & np.isfinite(scores))
+        return best(pa.table({"query_id": ids[j], "item": own[i], "score": scores[i, j]}))
+
+    def best(found: pa.Table) -> pa.Table:
+        return best_rows(found, k, ["query_id"], "score", "item")
+
+    found = against_all(rows, "item", asked, "query_id", score, best, "query_id bigint, item bigint, score double", sent_bytes=sent_bytes)
     return top_k(found, k, "query_id", [F.desc("score"), F.col("item")])
 
 

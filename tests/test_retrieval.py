@@ -43,7 +43,7 @@ def test_results_do_not_depend_on_partitions(passages, queries):
 
 def test_query_blocks(passages, queries):
     more = queries.unionByName(queries.withColumn("query_id", F.lit(8).cast("bigint")))
-    one, two = (sorted(map(tuple, rt.vector_search(passages, more, 2, "passage_id", block=n).collect())) for n in (10, 1))
+    one, two = (sorted(map(tuple, rt.vector_search(passages, more, 2, "passage_id", sent_bytes=n).collect())) for n in (1 << 20, 0))
     assert one == two and len(one) == 4
 
 
