@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from lectern.llm import audio_fingerprint, license_scan, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, url_filter
+from lectern.llm import audio_fingerprint, conversation_repair, hard_negatives, license_scan, packing, pii, quality_classifier, quality_rules, sentencepiece_bpe, simhash, token_counts, url_filter, voronoi
 from lectern.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -97,9 +97,39 @@ def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"key": "doc_id", "query": "query_id"})
 
 
+USABLE = "vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def op11_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi.top_scores(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+TOP_K = f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings WHERE {USABLE}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.w, v.w)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", noisy), F.col("vec_id") % 100 == 0)
+
+
+HARD = f"""WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings WHERE label IS NOT NULL AND {USABLE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, v.vec_id AS item, a.label = v.label AS alike, list_inner_product(a.w, v.w)::BIGINT AS score FROM v a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT anchor_id, item AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, item) AS place FROM s WHERE alike) WHERE place <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, item AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, item)::INT AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score) WHERE rank <= 5"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations.select("conv_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.sql()}
+    return {"op6_url_filter": url_filter.sql(), "op11_voronoi_top_k": TOP_K, "op12_hard_negatives": HARD, "op13_conversation_repair": conversation_repair.SQL}
