@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.markup import recovered
 
 ARTICLE = "pmcid string, title string, doi string, license string, journal string, sections array<struct<heading:string,text:string>>"
 FINAL = ("kept", "empty")
@@ -114,26 +115,31 @@ def _prose(node: ElementTree.Element | None) -> str:
     return flat
 
 
-def _walk(parent: ElementTree.Element, above: list[str]) -> Iterator[tuple[str, str]]:
-    for part in parent.findall("sec"):
+def _walk(body: ElementTree.Element) -> Iterator[tuple[str, str]]:
+    """Heading path and text of every section with paragraphs of its own, in reading order."""
+    stack: list[tuple[ElementTree.Element, list[str]]] = [(part, []) for part in reversed(body.findall("sec"))]
+    while stack:
+        part, above = stack.pop()
         title = _prose(part.find("title"))
         trail = [*above, title] if title else above
-        body = "\n".join(filter(None, map(_prose, part.findall("p"))))
-        if body:
-            yield " > ".join(trail) or "Body", body
-        yield from _walk(part, trail)
+        text = "\n".join(filter(None, map(_prose, part.findall("p"))))
+        if text:
+            yield " > ".join(trail) or "Body", text
+        stack += [(inner, trail) for inner in reversed(part.findall("sec"))]
 
 
 def _article(pmcid: str, xml: str) -> dict | None:
     try:
         root = ElementTree.fromstring(xml)
     except ElementTree.ParseError:
+        root = recovered(xml)
+    if root is None:
         return None
     node = root if root.tag == "article" else root.find(".//article")
     if node is None:
         return None
     abstract, body = _prose(node.find(".//article-meta/abstract")), node.find(".//body")
-    sections = ([("Abstract", abstract)] if abstract else []) + (list(_walk(body, [])) if body is not None else [])
+    sections = ([("Abstract", abstract)] if abstract else []) + (list(_walk(body)) if body is not None else [])
     if not sections:
         return None
     doi = next((e.text.strip() for e in node.findall(".//article-meta/article-id") if e.get("pub-id-type") == "doi" and e.text), None)
@@ -152,7 +158,7 @@ def _article(pmcid: str, xml: str) -> dict | None:
 
 
 def parse_articles(batch: DataFrame) -> DataFrame:
-    """Articles of rows (pmcid, xml); rows without a usable body or with broken XML are dropped. Map-only."""
+    """Articles of rows (pmcid, xml); rows without a usable body are dropped. Of damaged XML what can be read counts. Map-only."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.sizes import small
 
 EVIDENCE_SHARE = 0.5
 LEVELS = ("article", "evidence", "answer")
@@ -66,14 +69,43 @@ def configuration_means(rows: DataFrame, keys: list[str], values: list[str], by:
 def paired_difference(pairs: DataFrame, by: list[str], draws: int = 2000, seed: int = 0) -> DataFrame:
     """diff, ci_low, ci_high, gained, lost of `after` - `before` per group: a 95 % bootstrap over one number per question.
 
-    A group holds one number for every question of a set; resampling is done by blocks of draws.
+    Equal differences are counted first. A task then weighs each difference by Poisson(its count) in every draw, with
+    a generator of the difference's own, and adds up a weight and a sum for each draw; Spark adds these over the
+    tasks. So no group is one task's, and neither the order nor the partitions of the rows change the result. Rows with a null
+    on either side are left out, and so is a group of such rows alone.
     """
-    names = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        d = (part["after"] - part["before"]).sort_values().to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = np.sort(np.concatenate([d[rng.integers(0, len(d), (50, len(d)))].mean(axis=1) for _ in range(draws // 50)]))
-        return pd.DataFrame([[*key, d.mean(), means[int(0.025 * draws)], means[int(0.975 * draws) - 1], int((d > 0).sum()), int((d < 0).sum())]])
-
-    return pairs.select(*by, "before", "after").groupBy(*by).applyInPandas(run, f"{names}, diff double, ci_low double, ci_high double, gained bigint, lost bigint")
+    d = (F.col("after") - F.col("before")).cast("double")
+    counted = pairs.select(*by, d.alias("d")).filter("d is not null").groupBy(*by, "d").agg(F.count("*").alias("n"))
+    own = F.xxhash64(F.lit(seed), *by, "d")
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def told() -> pa.RecordBatch:
+            arrays = [pa.array(list(c)) for c in zip(*held, strict=True)] if by else []
+            listed = [pa.array([x[k].tolist() for x in held.values()], pa.list_(pa.float64())) for k in range(2)]
+            return pa.RecordBatch.from_arrays([*(a.cast(schema.field(c).type) for a, c in zip(arrays, by, strict=True)), *listed], names=[*by, "weights", "sums"])
+
+        for batch in batches:
+            schema = batch.schema
+            for *key, value, n, spot in zip(*(batch[c].to_pylist() for c in (*by, "d", "n", "spot")), strict=True):
+                weights = np.random.default_rng(spot & (1 << 63) - 1).poisson(n, draws).astype(float)
+                sums = held.setdefault(tuple(key), np.zeros((2, draws)))
+                sums += np.stack([weights, weights * value])
+                if len(held) > 1_000:
+                    yield told()
+                    held.clear()
+        if held:
+            yield told()
+
+    parts = counted.withColumn("spot", own).select(*by, "d", "n", "spot").mapInArrow(weigh, ", ".join(filter(None, [kinds, "weights array<double>, sums array<double>"])))
+    each = parts.select(*by, F.posexplode(F.arrays_zip("weights", "sums")).alias("draw", "s"))
+    drawn = each.groupBy(*by, "draw").agg(F.sum("s.weights").alias("w"), F.sum("s.sums").alias("s")).filter("w > 0")
+    means = drawn.groupBy(*by).agg(F.array_sort(F.collect_list(F.col("s") / F.col("w"))).alias("means"))  # as many as draws
+    place = lambda share: F.greatest(F.lit(1), F.ceil(share * F.size("means"))).cast("int")
+    ends = means.select(*by, F.element_at("means", place(0.025)).alias("ci_low"), F.element_at("means", place(0.975)).alias("ci_high"))
+    over = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    known = counted.groupBy(*by).agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("diff"), over(F.col("d") > 0).alias("gained"), over(F.col("d") < 0).alias("lost"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by] or [F.lit(True)]
+    return known.alias("k").join(small(ends).alias("e"), same).select(*[f"k.{c}" for c in by], "diff", "ci_low", "ci_high", "gained", "lost")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
-from lectern.operators.sizes import BROADCAST_ROWS, hinted
+from lectern.operators.durable import durable
+from lectern.operators.sizes import BROADCAST_ROWS, hinted, small
 
 K1, B = 1.5, 0.75
 LABELLED_MODEL = "google/embeddinggemma-300m"
@@ -99,3 +100,68 @@ def bm25_search(passages: DataFrame, queries: DataFrame, keys: list[str], k: int
     per_query = terms.join(scale, "term").select("term", key, (F.col("qtf") * F.col("idf")).alias("gain"), "avgdl")
     scored = own.join(hinted(per_query, most), "term").groupBy(key, *keys).agg(F.round(F.sum(F.col("gain") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), 9).alias("score"))
     return top_k(scored, k, key, [F.desc("score"), *map(F.col, keys)])
+
+
+#: Postings of a block at most, about, and blocks of a query that are read first, to learn how good its k-th hit is at least.
+BLOCK_POSTINGS, FIRST_BLOCKS = 1_024, 8
+#: Levels of weight that a term's postings are cut into, for each unit of weight.
+LEVELS = 8
+#: Terms of the queries that are looked up in the statistics of the stored files; more are joined alone.
+PUSHED_TERMS = 2_000
+
+
+def lexical_blocks(passages: DataFrame, keys: list[str], size: int = BLOCK_POSTINGS) -> DataFrame:
+    """The lexical index as blocks: term, level, part, n, top (the greatest weight), n_passages and postings (keys and weight).
+
+    A term's postings are cut by levels of weight, and a level of more than `size` by a hash of the key, so the
+    postings of a frequent word are many blocks of bounded size and the work of many tasks. Rows are in order of
+    terms, so that the stored files tell which of them hold a term.
+    """
+    own = durable(term_frequencies(passages, keys))
+    sizes = mean_length(passages)
+    weighed = own.crossJoin(F.broadcast(sizes)).withColumn("weight", weight(F.col("tf"), F.col("dl"), F.col("avgdl")))  # one row
+    rows = weighed.select(*keys, "term", "weight", "n_passages", F.floor(F.col("weight") * LEVELS).cast("int").alias("level"))
+    full = rows.groupBy("term", "level").agg(F.count("*").alias("_n")).filter(F.col("_n") > size).select("term", "level", F.ceil(F.col("_n") / size).cast("int").alias("_parts"))
+    part = F.coalesce(F.pmod(F.xxhash64(*keys), "_parts"), F.lit(0)).cast("int")
+    cut = rows.join(small(full), ["term", "level"], "left").withColumn("part", part)
+    blocks = cut.groupBy("term", "level", "part").agg(F.count("*").alias("n"), F.max("weight").alias("top"), F.first("n_passages").alias("n_passages"), F.collect_list(F.struct(*keys, "weight")).alias("postings"))
+    return blocks.repartitionByRange("term").sortWithinPartitions("term", F.desc("level"))
+
+
+def block_search(blocks: DataFrame, queries: DataFrame, keys: list[str], k: int = 50, key: str = "query_id", text: str = "query") -> DataFrame:
+    """The hits of `bm25_search` from a stored index of blocks, of which only those are read that can hold one of them.
+
+    A passage with a posting in a block can reach at most the block's best gain plus the best gains of the query's other
+    terms. A first pass over each query's most promising blocks tells what its k-th hit reaches at least; a block that
+    stays below that is left out. Every hit has all its postings in the blocks that are read, so scores are whole.
+    """
+    return _searched(blocks, queries, keys, k, key, text)[0]
+
+
+def needed_blocks(blocks: DataFrame, queries: DataFrame, keys: list[str], k: int = 50, key: str = "query_id", text: str = "query") -> DataFrame:
+    """`key`, term, level, part and n of the blocks that `block_search` reads for each query."""
+    return _searched(blocks, queries, keys, k, key, text)[1]
+
+
+def _searched(blocks: DataFrame, queries: DataFrame, keys: list[str], k: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    asked = durable(query_terms(queries, key, text))
+    terms = [r[0] for r in asked.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    near = blocks.filter(F.col("term").isin(terms)) if len(terms) <= PUSHED_TERMS else blocks
+    at = ["term", "level", "part"]
+    heads = near.select(*at, "n", "top", "n_passages").join(small(asked.select("term").distinct()), "term", "left_semi")
+    frequency = heads.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("best"), F.first("n_passages").alias("n_passages"))
+    gains = asked.join(frequency, "term").select(key, "term", (F.col("qtf") * F.log1p((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("gain"), "best")
+    whole = gains.groupBy(key).agg(F.sum(F.col("gain") * F.col("best")).alias("all"))
+    gains = gains.join(whole, key).select(key, "term", "gain", (F.col("all") - F.col("gain") * F.col("best")).alias("others"))
+    reach = durable(heads.select(*at, "n", "top").join(gains, "term").select(key, *at, "n", "gain", (F.col("gain") * F.col("top")).alias("own"), "others"))
+    place = Window.partitionBy(key).orderBy(F.desc("own"), *at)
+    first = reach.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= FIRST_BLOCKS)
+
+    def summed(chosen: DataFrame) -> DataFrame:
+        posted = near.select(*at, "postings").join(small(chosen.select(key, *at, "gain")), at).select(key, "gain", F.explode("postings").alias("p"))
+        return posted.groupBy(key, *[F.col(f"p.{c}").alias(c) for c in keys]).agg(F.sum(F.col("gain") * F.col("p.weight")).alias("score"))
+
+    least = top_k(summed(first), k, key, [F.desc("score"), *map(F.col, keys)]).filter(F.col("rank") == k).select(key, F.col("score").alias("least"))
+    needed = durable(reach.join(small(least), key, "left").filter(F.col("own") + F.col("others") >= F.coalesce("least", F.lit(0.0)) - 1e-8).drop("least"))
+    scored = summed(needed).withColumn("score", F.round("score", 9))
+    return top_k(scored, k, key, [F.desc("score"), *map(F.col, keys)]), needed.select(key, *at, "n")

@@ -60,15 +60,24 @@ def confusion(rows: DataFrame, classes: list[str]) -> DataFrame:
 
 
 def largest_gap(rows: DataFrame, by: str, score: str) -> DataFrame:
-    """Per class the largest gap between neighbouring scores, where it starts, and how many lie strictly within 0.3 and 0.7.
+    """Per class the largest gap between neighbouring scores, where it starts (the lowest of equal ones), and how many lie strictly within 0.3 and 0.7.
 
-    Distinct scores are counted first, so the window orders values, not rows.
+    Distinct scores are counted and dealt into ranges by sampled bounds; neighbours are looked for inside each range,
+    and then between the highest score of a range and the lowest of the next. So a class of many scores is the work of many tasks.
     """
-    values = rows.groupBy(by, score).agg(F.count("*").alias("n"))
-    previous = F.lag(score).over(Window.partitionBy(by).orderBy(score))
-    gaps = values.withColumn("gap", F.round(F.col(score) - previous, 6)).withColumn("below", previous)
-    inside = F.sum(F.when((F.col(score) > 0.3) & (F.col(score) < 0.7), F.col("n")).otherwise(0))
-    return gaps.groupBy(by).agg(F.max("gap").alias("gap"), F.max_by("below", F.struct("gap", -F.col("below"))).alias("starts"), inside.alias("unsure"))
+    values = rows.groupBy(F.col(by).alias(by), F.col(score).alias("_score")).agg(F.count("*").alias("_n"))
+    ranges = values.repartitionByRange(by, "_score").withColumn("_range", F.spark_partition_id())
+    previous = F.lag("_score").over(Window.partitionBy(by, "_range").orderBy("_score"))
+    near = ranges.withColumn("_below", previous).withColumn("_gap", F.round(F.col("_score") - F.col("_below"), 6))
+    first = lambda gap, below: F.max_by(F.col(below), F.struct(F.col(gap), -F.col(below)))
+    inside = F.sum(F.when((F.col("_score") > 0.3) & (F.col("_score") < 0.7), F.col("_n")).otherwise(0))
+    each = near.groupBy(by, "_range").agg(F.max("_gap").alias("_gap"), first("_gap", "_below").alias("_starts"), F.min("_score").alias("_low"), F.max("_score").alias("_high"), inside.alias("_unsure"))
+    border = F.lag("_high").over(Window.partitionBy(by).orderBy("_low"))  # a row for each range
+    met = each.withColumn("_before", border)
+    own, between = F.struct(F.col("_gap").alias("gap"), F.col("_starts").alias("below")), F.struct(F.round(F.col("_low") - F.col("_before"), 6).alias("gap"), F.col("_before").alias("below"))
+    told = met.select(by, "_unsure", F.explode(F.array(own, between)).alias("_g"))
+    parts = told.groupBy(by).agg(F.max("_g.gap").alias("gap"), F.max_by("_g.below", F.struct("_g.gap", -F.col("_g.below"))).alias("starts"), (F.sum("_unsure") / 2).cast("bigint").alias("unsure"))
+    return parts.select(by, "gap", "starts", "unsure")
 
 
 def misses(rows: DataFrame, score: str) -> DataFrame:

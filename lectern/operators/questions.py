@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from itertools import count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.durable import durable
+from lectern.operators.meaning import close_pairs, first_come
 from lectern.operators.ordering import hash_order, ranked
 from lectern.operators.sizes import small
 
@@ -72,22 +74,40 @@ def similar_pairs(rows: DataFrame, key: str, text: str, least: float = SIMILAR)
     """(pairs, membership): pairs (a, b, similarity) of different word sets at least `least` alike, each named by its
     smallest key, and (key, a) of all rows. Equal sets are one; candidates share one of their rarest words,
     as many as a similar pair must, so the frequent words index nothing.
+
+    Words are joined by hash with each set's size and the word's place in it, the rarest first. A pair is let
+    through only by a word behind which both sets have enough words left; the first word that they share always
+    is one if they are similar. Sets are compared after that.
     """
     sets = rows.select(key, F.array_sort(tx.content(F.col(text))).alias("words"))
-    named = sets.filter(F.size("words") > 0).groupBy("words").agg(F.min(key).alias("a"))
+    named = durable(sets.filter(F.size("words") > 0).groupBy("words").agg(F.min(key).alias("a")))
     members = sets.join(named, "words").select(key, "a")
-    each = named.select("a", F.size("words").alias("n"), F.explode("words").alias("word"))
+    each = named.select("a", F.size("words").alias("n"), F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
     frequency = each.groupBy("word").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("a").orderBy("df", "word"))
-    needed = F.col("n") - F.ceil(least * F.col("n")) + 1
-    rare = each.join(frequency, "word").withColumn("place", place).filter(F.col("place") <= needed).select("a", "n", "word")
-    other = rare.withColumnsRenamed({"a": "b", "n": "m"})
-    close = (F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
+    # A little less than the product, which may be rounded up.
+    needed = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
+    rare = durable(each.join(frequency, "word").withColumn("i", place).filter(F.col("i") <= needed).select("a", "n", "word", "i"))
+    other = rare.withColumnsRenamed({"a": "b", "n": "m", "i": "j"})
+    shared = F.ceil(least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9)
+    close = (F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & (1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= shared)
     candidates = rare.join(other, "word").filter(close).select("a", "b").distinct()
     left = candidates.join(named.withColumnRenamed("words", "wa"), "a")
     both = left.join(named.select(F.col("a").alias("b"), F.col("words").alias("wb")), "b")
     share = jaccard(F.col("wa"), F.col("wb"))
-    return both.filter(share >= least).select("a", "b", F.round(share, 6).alias("similarity")), members
+    return durable(both.filter(share >= least).select("a", "b", F.round(share, 6).alias("similarity"))), members
+
+
+def first_of_similar(rows: DataFrame, key: str, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """`key` and kept: whether a row stays if rows are walked in the order of their keys and one goes if an earlier one that
+    stayed is its near-duplicate. pairs and members are those of `similar_pairs` or `close_pairs`.
+
+    Members of a class are each other's duplicates, so of a class at most the first stays, and the walk is over the
+    classes. A row of no class (without words, or a direction) is like no other and stays.
+    """
+    gone = first_come(pairs).select(F.col("key").alias("a"), F.lit(True).alias("gone"))
+    named = members.distinct().join(gone, "a", "left").select(key, (F.col("gone").isNull() & (F.col(key) == F.col("a"))).alias("kept"))
+    return rows.select(key).join(named, key, "left").select(key, F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def verbatim(sentences: Column, passage: Column) -> Column:
@@ -115,6 +135,16 @@ def relevant_to_own(question_vector: Column, sentence_vector: Column) -> Column:
     return dot(question_vector, sentence_vector) >= MIN_RELEVANCE
 
 
+def same_meaning(rows: DataFrame, key: str, vector: str, least: float = DUPLICATE) -> DataFrame:
+    """`key`, class_id (the first row of an equal vector), n_links (other vectors at least `least` alike) and kept: whether no earlier row that stayed says the same."""
+    pairs, members = close_pairs(rows, key, vector, least)
+    pairs = durable(pairs)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("n_links"))
+    named = members.distinct().join(links, "a", "left").select(key, F.col("a").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    kept = first_of_similar(rows, key, pairs, members)
+    return kept.join(named, key, "left").select(key, "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "kept")
+
+
 def tally(reasons: DataFrame, column: str = "reasons") -> DataFrame:
     return reasons.select(F.explode(column).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -125,7 +155,7 @@ def quotas(n: int, categories: list[str], share_sub: float = 0.2, share_cat: flo
     per_cat |= {"mechanism": math.ceil(15 * n / 75)} if caps is None else caps
     least = {"imaging": math.floor(10 * n / 75), "prognosis": math.floor(10 * n / 75)} if floors is None else floors
     if sum(least.values()) > n:
-        raise ValueError(f"category floors {least} need more than {n} questions")
+        raise ValueError(f"{sum(least.values())} questions are promised to categories, but only {n} are wanted")
     return math.ceil(n * share_sub), per_cat, least
 
 
@@ -176,7 +206,7 @@ def deal_pattern(sizes: dict[str, int]) -> list[str]:
 def deal(rows: DataFrame, sizes: dict[str, int], key: str, strata: list[str], seed: int = 0, exact: bool = True) -> DataFrame:
     """Adds `split`, dealt along the order (strata, seeded hash). With `exact`, sizes must add up to the rows."""
     if exact and rows.count() != sum(sizes.values()):
-        raise ValueError(f"split sizes {sizes} do not add up to the number of questions")
+        raise ValueError(f"the splits have room for {sum(sizes.values())} rows, not for all there are")
     pattern = deal_pattern(sizes)
     placed = ranked(rows, key, seed, strata)
     ends = rows.groupBy(*strata).agg(F.count("*").alias("_n"))  # one row per stratum
@@ -186,47 +216,103 @@ def deal(rows: DataFrame, sizes: dict[str, int], key: str, strata: list[str], se
     return at.withColumn("split", F.element_at(F.array(*map(F.lit, pattern)), spot.cast("int"))).drop("_before", "rank")
 
 
-def imbalance(counts: dict[tuple, int], sizes: dict[str, int], depth: int) -> float:
-    """How far the splits are from their shares, summed over the values of each of `depth` keys. counts: (*values, split)."""
-    n, out = sum(sizes.values()), 0.0
-    for axis in range(depth):
-        total, got = Counter(), Counter()
-        for where, c in counts.items():
-            total[where[axis]] += c
-            got[where[axis], where[-1]] += c
-        out += sum(abs(got[value, s] - c * size / n) for value, c in total.items() for s, size in sizes.items())
+def unevenness(cells: pd.DataFrame, strata: list[str]) -> float:
+    """How far the splits are from their shares of every value of every key, summed. cells: strata, split and n."""
+    share, out = cells.groupby("split")["n"].sum() / cells["n"].sum(), 0.0
+    for axis in strata:
+        held = cells.pivot_table(index=axis, columns="split", values="n", aggfunc="sum", fill_value=0).reindex(columns=share.index, fill_value=0)
+        out += float((held - np.outer(held.sum(axis=1), share)).abs().to_numpy().sum())
     return out
 
 
+class Swaps:
+    """Counts of strata (rows) and splits (columns), and what moving one row of a stratum from a split to another changes.
+
+    The unevenness is a sum over the values of each key, so a swap of two strata's labels changes it by what each
+    stratum's move changes at its own values; where both have the same value of a key nothing changes there. So
+    for each set of keys in which the two may agree the best partners are the least movers of each group of equal values: no
+    pair of cells is tried, and after a swap only the touched values are counted anew.
+    """
+
+    def __init__(self, values: list[np.ndarray], n: np.ndarray):
+        self.values, self.n = values, n  # for each key the number of the value of each stratum
+        share = n.sum(axis=0) / n.sum()
+        self.off = []  # for each key, by value and split: rows above the share
+        for v in values:
+            held = np.zeros((v.max() + 1, n.shape[1]))
+            np.add.at(held, v, n)
+            self.off.append(held - held.sum(axis=1, keepdims=True) * share)
+
+    def cost(self, a: int, b: int) -> list[np.ndarray]:
+        """For each key, by stratum: the change if one of its rows goes from split a to split b."""
+        step = [np.abs(o[:, a] - 1) - np.abs(o[:, a]) + np.abs(o[:, b] + 1) - np.abs(o[:, b]) for o in self.off]
+        return [s[v] for s, v in zip(step, self.values, strict=True)]
+
+    def best(self, a: int, b: int) -> tuple[float, int, int]:
+        """(change, stratum, stratum) of the best swap found: of a row in split a with one in split b."""
+        there, back = self.cost(a, b), self.cost(b, a)
+        out = (0.0, -1, -1)
+        for agree in range(1 << len(self.values)):
+            differ = [k for k in range(len(self.values)) if not agree >> k & 1]
+            if not differ:
+                continue
+            go, come = sum(there[k] for k in differ), sum(back[k] for k in differ)
+            group = np.zeros(len(self.n), np.int64)
+            for k in range(len(self.values)):
+                if agree >> k & 1:
+                    group = group * (self.values[k].max() + 1) + self.values[k]
+            group = np.unique(group, return_inverse=True)[1]
+            firsts = []
+            for gain, held in ((go, self.n[:, a]), (come, self.n[:, b])):
+                order = np.lexsort((gain, group))
+                order = order[held[order] > 0]
+                lead = np.full(group.max() + 1, -1)
+                lead[group[order][::-1]] = order[::-1]
+                firsts.append(lead)
+            both = np.flatnonzero((firsts[0] >= 0) & (firsts[1] >= 0))
+            if len(both):
+                x, y = firsts[0][both], firsts[1][both]
+                # What the two share beyond `agree` changes nothing, so the true change is at most this.
+                change = sum((there[k][x] + back[k][y]) * (self.values[k][x] != self.values[k][y]) for k in range(len(self.values)))
+                at = int(np.argmin(change))
+                out = min(out, (float(change[at]), int(x[at]), int(y[at])))
+        return out
+
+    def swap(self, a: int, b: int, x: int, y: int) -> None:
+        for stratum, out, into in ((x, a, b), (y, b, a)):
+            self.n[stratum, out] -= 1
+            self.n[stratum, into] += 1
+            for o, v in zip(self.off, self.values, strict=True):
+                o[v[stratum], out] -= 1
+                o[v[stratum], into] += 1
+
+    def run(self) -> None:
+        """Swaps until none is found that lowers the unevenness."""
+        splits = range(self.n.shape[1])
+        while True:
+            found = min(((*self.best(a, b), a, b) for a in splits for b in splits if a != b), default=(0.0,))
+            if found[0] > -1e-9:
+                return
+            _, x, y, a, b = found
+            self.swap(a, b, x, y)
+
+
 def refine(dealt: DataFrame, key: str, strata: list[str], seed: int = 0) -> DataFrame:
-    """Swaps labels between strata while that lowers the imbalance. Works on the counts of strata and splits, one small
-    group, and then deals the new counts out within each stratum."""
+    """Swaps labels between strata while that makes the splits more even, then deals the new counts out within each stratum.
+
+    One task works on the counts: a row for each stratum and split, whatever the number of questions.
+    """
     counts = dealt.groupBy(*strata, "split").agg(F.count("*").alias("n"))
     names = ", ".join(f"`{s}` string" for s in strata)
 
-    def swap(part: pd.DataFrame) -> pd.DataFrame:
-        held = Counter({tuple(r[:-1]): int(r[-1]) for r in part[[*strata, "split", "n"]].itertuples(index=False)})
-        sizes = {s: int(n) for s, n in part.groupby("split")["n"].sum().items()}
-        best = imbalance(held, sizes, len(strata))
-        for _ in count():
-            found = None
-            keys = sorted(k for k, c in held.items() if c)
-            for a in keys:
-                for b in keys:
-                    if a[-1] >= b[-1] or a[:-1] == b[:-1]:
-                        continue
-                    moved = held.copy()
-                    for where, by in ((a, -1), (b, -1), ((*a[:-1], b[-1]), 1), ((*b[:-1], a[-1]), 1)):
-                        moved[where] += by
-                    now = imbalance(moved, sizes, len(strata))
-                    if now < best - 1e-9:
-                        best, found = now, moved
-            if found is None:
-                break
-            held = found
-        return pd.DataFrame([[*k, c] for k, c in sorted(held.items()) if c], columns=[*strata, "split", "n"])
+    def even(part: pd.DataFrame) -> pd.DataFrame:
+        wide = part.pivot_table(index=strata, columns="split", values="n", aggfunc="sum", fill_value=0).sort_index().sort_index(axis=1)
+        swaps = Swaps([np.unique(wide.index.get_level_values(s), return_inverse=True)[1] for s in strata], wide.to_numpy(np.int64, copy=True))
+        swaps.run()
+        fine = pd.DataFrame(swaps.n, index=wide.index, columns=wide.columns).reset_index().melt(strata, var_name="split", value_name="n")
+        return fine[fine["n"] > 0][[*strata, "split", "n"]]
 
-    wanted = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(swap, f"{names}, split string, n bigint")
+    wanted = durable(counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(even, f"{names}, split string, n bigint"))
     own = Window.partitionBy(*strata).orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
     spans = wanted.withColumn("_to", F.sum("n").over(own)).withColumn("_from", F.col("_to") - F.col("n"))
     placed = ranked(dealt.drop("split"), key, seed, strata)

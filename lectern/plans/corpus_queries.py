@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.functions.plugins import embedder
 from lectern.operators import chunking, corpus
 from lectern.plans import views as v
 from lectern.plans.book import Book
@@ -17,9 +18,16 @@ R = "WITH RECURSIVE "
 PERMITTED = "(upper(license) LIKE 'CC0%' OR upper(license) = 'PUBLIC-DOMAIN' OR (upper(license) LIKE 'CC %' AND upper(license) NOT LIKE '%ND%' AND upper(license) NOT LIKE '%NC%'))"
 
 
+def sql_terms(source: str) -> str:
+    return f"terms AS (SELECT doc_id, chunk_index, len(list_distinct({v.sql_tokens('text')})) AS n_terms FROM {source})"
+
+
 @book.add("s1_load_articles", f"{W} SELECT pmcid, title, doi, license, journal, len(sections) AS n_sections, sections[1].heading AS first_heading, md5({v.FULL_TEXT}) AS text_md5 FROM articles")
 def _(spark, sf):
-    a = v.articles(spark, sf)
+    path = v.folder(spark, "articles")
+    stored = v.articles(spark, sf).withColumn("sections", F.transform("sections", lambda s: F.array(s["heading"], s["text"])))
+    stored.select(F.to_json(F.struct("pmcid", "title", "doi", "license", "journal", "sections")).alias("value")).write.text(path)
+    a = files.load_corpus(spark, path)
     return a.select("pmcid", "title", "doi", "license", "journal", F.size("sections").cast("bigint").alias("n_sections"), F.col("sections")[0]["heading"].alias("first_heading"), F.md5(corpus.full_text(F.col("sections"))).alias("text_md5"))
 
 
@@ -59,15 +67,22 @@ def _(spark, sf):
     return q.select("id", "question", "category", F.size("answer_sentences").cast("bigint").alias("n_sentences"), F.size("gold_chunks").cast("bigint").alias("n_gold"))
 
 
-@book.add("s8_append_missing", "SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+@book.add("s8_append_missing", "SELECT doc_id, lang, source, CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) THEN 'first' ELSE 'second' END AS run FROM documents d")
 def _(spark, sf):
-    return v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "lang", "source")
+    """Labelled documents as the results of a first run; the second run adds those that are not there, and a third nothing."""
+    path, docs = v.folder(spark, "results"), v.table(spark, sf, "documents").select("doc_id", "lang", "source")
+    done = docs.join(v.table(spark, sf, "labels"), "doc_id", "left_semi")
+    for run, rows in (("first", done), ("second", docs), ("third", docs)):
+        index_store.append_missing(rows.withColumn("run", F.lit(run)), path, ["doc_id"])
+    return spark.read.parquet(path)
 
 
-@book.add("s9_split_rows", "SELECT l_returnflag || '-' || l_orderkey || '-' || l_linenumber AS name, l_returnflag AS class, l_orderkey AS patient FROM lineitem WHERE l_linestatus = 'F'")
+@book.add("s9_split_rows", "SELECT l_returnflag || '-' || l_orderkey || '-' || l_linenumber AS name, l_returnflag AS class, l_orderkey::VARCHAR AS patient FROM lineitem WHERE l_linestatus = 'F'")
 def _(spark, sf):
-    rows = v.table(spark, sf, "lineitem").filter("l_linestatus = 'F'")
-    return rows.select(F.concat_ws("-", "l_returnflag", "l_orderkey", "l_linenumber").alias("name"), F.col("l_returnflag").alias("class"), F.col("l_orderkey").alias("patient"))
+    path = v.folder(spark, "split")
+    rows = v.table(spark, sf, "lineitem").select(F.concat_ws("-", "l_returnflag", "l_orderkey", "l_linenumber").alias("name"), F.col("l_returnflag").alias("class"), F.col("l_orderkey").cast("string").alias("patient"), F.col("l_linestatus").alias("split"))
+    files.write_split(rows, path)
+    return files.read_split(spark, path, "F").select("name", "class", "patient")
 
 
 @book.add("s12_evaluation_records", f"WITH {v.QUESTIONS} SELECT question_id, question AS asked, source_doc_id AS expected_doc, category AS tag_category, subspecialty AS tag_subspecialty FROM questions")
@@ -81,14 +96,36 @@ def _(spark, sf):
     return nested.select("question_id", "inputs.*", "expectations.*", "tags.*")
 
 
-@book.add("s13_copy_index", f"{R}{v.PASSAGES} SELECT doc_id, chunk_index, section, text, true AS embedded FROM passages")
+@book.add("s6_index_table", f"{R}{v.PASSAGES} SELECT doc_id, chunk_index, strategy, model, md5(CASE WHEN strategy = 'even' AND model = 'org/one' THEN 'again ' || text ELSE text END) AS text_md5 FROM passages, (VALUES ('org/one'), ('two')) m(model), (VALUES ('section'), ('even')) s(strategy) WHERE strategy = 'section' OR chunk_index % 2 = 0")
 def _(spark, sf):
-    from lectern.functions.plugins import embedder
+    """Two strategies and two models in one table; one index is replaced, the others are not touched."""
+    path, passages = v.folder(spark, "index"), v.stored_passages(spark, sf)
+    even = passages.filter("chunk_index % 2 = 0")
+    for model in ("org/one", "two"):
+        for strategy, rows in (("section", passages), ("even", even)):
+            index_store.embed_missing(rows, embedder(), path, model, strategy)
+    again = even.withColumn("text", F.concat(F.lit("again "), "text"))
+    index_store.embed_missing(again, embedder(), path, "org/one", "even", replace=True)
+    rows = index_store.read_index(spark, path).join(F.broadcast(index_store.whole_indexes(spark, path)), ["strategy", "model"], "left_semi")
+    return rows.select("doc_id", "chunk_index", "strategy", "model", F.md5("text").alias("text_md5"))
+
 
+@book.add("s10_listing", "SELECT DISTINCT 'kind=' || l_returnflag AS class FROM lineitem")
+def _(spark, sf):
+    """Folders of the files that a table divided by class is made of."""
+    path = v.folder(spark, "scans")
+    v.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("kind"), F.concat_ws("-", "l_returnflag", "l_orderkey", "l_linenumber").alias("value")).write.partitionBy("kind").text(path)
+    return files.list_scans(spark, path, "*.txt").select("class").distinct()
+
+
+@book.add("s13_copy_index", f"{R}{v.PASSAGES}, {sql_terms('passages')} SELECT doc_id, chunk_index, section, text, true AS embedded, coalesce(n_terms, 0) AS n_terms FROM passages LEFT JOIN terms USING (doc_id, chunk_index)")
+def _(spark, sf):
     source, target = v.folder(spark, "index"), v.folder(spark, "copy")
-    index_store.embed_missing(v.passages(spark, sf), embedder(), source, "hash")
+    index_store.embed_missing(v.stored_passages(spark, sf), embedder(), source, "hash")
     index_store.copy_index(spark, source, target)
-    return spark.read.parquet(f"{target}/passages").select("doc_id", "chunk_index", "section", "text", (F.size("embedding") > 0).alias("embedded"))
+    posted = spark.read.parquet(f"{target}/postings").select(F.explode("postings").alias("p")).groupBy("p.doc_id", "p.chunk_index").agg(F.count("*").alias("n_terms"))
+    rows = index_store.read_index(spark, target, "section", "hash").join(posted, ["doc_id", "chunk_index"], "left")
+    return rows.select("doc_id", "chunk_index", "section", "text", (F.size("embedding") > 0).alias("embedded"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 @book.add("c2_node_text", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([.,;:)])', '\1', 'g')) AS clean_md5 FROM documents")
@@ -129,7 +166,7 @@ def _(spark, sf):
 
 
 REQUESTS = "SELECT 'PMC' || doc_id AS pmcid FROM documents UNION ALL SELECT 'PMCX' || doc_id FROM documents WHERE doc_id % 9 = 0"
-LOG = "SELECT 'PMC' || doc_id AS pmcid, 1 AS line, CASE WHEN doc_id % 10 < 3 THEN 'error' WHEN doc_id % 10 < 6 THEN 'kept' END AS status FROM documents UNION ALL SELECT 'PMC' || doc_id, 2, 'kept' FROM documents WHERE doc_id % 10 = 1"
+LOG = "SELECT 'PMC' || doc_id AS pmcid, 0 AS line, 'kept' AS status FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'PMC' || doc_id, 1, CASE WHEN doc_id % 10 < 3 THEN 'error' WHEN doc_id % 10 < 6 THEN 'kept' END FROM documents UNION ALL SELECT 'PMC' || doc_id, 2, 'kept' FROM documents WHERE doc_id % 10 = 1"
 
 
 def _requests(spark, sf):
@@ -138,10 +175,14 @@ def _requests(spark, sf):
 
 
 def _log(spark, sf):
+    """A log in three writes of which the second is the largest; a null status is a line cut short."""
+    path = v.folder(spark, "log")
     docs = v.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("PMC"), "doc_id").alias("pmcid"))
     step = F.col("doc_id") % 10
-    first = docs.select("pmcid", F.lit(1).alias("line"), F.when(step < 3, "error").when(step < 6, "kept").alias("status"))
-    return first.unionByName(docs.filter(step == 1).select("pmcid", F.lit(2).alias("line"), F.lit("kept").alias("status")))
+    files.append_status(docs.filter(step == 0).select("pmcid", F.lit("kept").alias("status")), path)
+    files.append_status(docs.select("pmcid", F.when(step < 3, "error").when(step < 6, "kept").alias("status")), path)
+    files.append_status(docs.filter(step == 1).select("pmcid", F.lit("kept").alias("status")), path)
+    return files.read_status_log(spark, path)
 
 
 @book.add(
@@ -203,6 +244,17 @@ def _(spark, sf):
     return corpus.parse_articles(batch).select("pmcid", "journal", "license", F.col("sections")[0]["heading"].alias("heading"), F.col("sections")[0]["text"].alias("body"))
 
 
+CUT = XML.replace("<xref>[1]</xref> .</p></sec></body></article>'", "<xref>[1]</xref> .' || element_at(array('', '</p>&nosuch;</b></sec>', '</p></sec></body></article', '</p><sec><title>Two</title><p>Left &amp; open'), CAST(doc_id % 4 AS INT) + 1)")
+
+
+@book.add("s11_cut_xml", r"SELECT 'PMC' || doc_id AS pmcid, source AS journal, 't' || (doc_id % 3) AS license, CASE WHEN doc_id % 4 = 3 THEN 'One & two|One & two > Two' ELSE 'One & two' END AS headings, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') || ' .', '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([.,;:)])', '\1', 'g') || CASE WHEN doc_id % 4 = 3 THEN '|Left & open' ELSE '' END AS bodies FROM documents")
+def _(spark, sf):
+    """Articles whose XML ends too early, has ends that nothing began and entities that mean nothing."""
+    batch = v.table(spark, sf, "documents").select(F.concat(F.lit("PMC"), "doc_id").alias("pmcid"), F.expr(CUT).alias("xml"))
+    listed = lambda field: F.array_join(F.transform("sections", lambda s: s[field]), "|")
+    return corpus.parse_articles(batch).select("pmcid", "journal", "license", listed("heading").alias("headings"), listed("text").alias("bodies"))
+
+
 @book.add("k1_sentences", f"SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(1))) AS all_md5 FROM (SELECT doc_id, {v.sql_sentences('text')} AS s FROM documents)")
 def _(spark, sf):
     s = tx.sentences(F.col("text"))
@@ -241,6 +293,11 @@ def _(spark, sf):
     return chunking.seed_windows(v.articles(spark, sf)).select("doc_id", "chunk_index", "section", "text")
 
 
+@book.add("k7_chunk_metadata", f"{R}{v.PASSAGES} SELECT doc_id, chunk_index, title, doi, license FROM passages JOIN articles ON pmcid = doc_id")
+def _(spark, sf):
+    return v.passages(spark, sf).select("doc_id", "chunk_index", "title", "doi", "license")
+
+
 LENGTHS = f"SELECT {v.sql_words('text')} AS w FROM passages"
 
 

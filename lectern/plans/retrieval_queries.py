@@ -8,7 +8,9 @@ from lectern.functions import text as tx
 from lectern.functions.plugins import embedder, overlap_logit
 from lectern.operators import evaluation as ev
 from lectern.operators import lexical as lx
+from lectern.operators import questions as qs
 from lectern.operators import retrieval as rt
+from lectern.operators.durable import durable
 from lectern.operators.sizes import hinted, small
 from lectern.plans import views as v
 from lectern.plans.book import Book
@@ -41,9 +43,9 @@ def _asked(spark, sf):
     return v.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _hits(spark, sf, k=5):
+def _hits(spark, sf, k=5, passages=None):
     """Hits of the benchmark items with passage texts."""
-    p = v.passages(spark, sf)
+    p = v.stored_passages(spark, sf) if passages is None else passages
     asked = _asked(spark, sf)
     found = hinted(lx.bm25_search(p, asked, KEYS, k), k * asked.count())
     return p.join(found, KEYS)
@@ -75,12 +77,12 @@ def _(spark, sf):
 
 @book.add("x5_postings", f"{POSTINGS} SELECT doc_id, chunk_index, term, tf, round(weight, 6) AS weight FROM post")
 def _(spark, sf):
-    return lx.postings(v.passages(spark, sf), KEYS).select(*KEYS, "term", F.col("tf").cast("bigint").alias("tf"), F.round("weight", 6).alias("weight"))
+    return lx.postings(v.stored_passages(spark, sf), KEYS).select(*KEYS, "term", F.col("tf").cast("bigint").alias("tf"), F.round("weight", 6).alias("weight"))
 
 
 @book.add("x6_sparse_vectors", f"{POSTINGS} SELECT doc_id, chunk_index, count(*) AS n_ids, round(sum(weight), 6) AS total FROM post GROUP BY 1, 2")
 def _(spark, sf):
-    ids = lx.sparse_vectors(lx.postings(v.passages(spark, sf), KEYS), KEYS)
+    ids = lx.sparse_vectors(lx.postings(v.stored_passages(spark, sf), KEYS), KEYS)
     return ids.groupBy(*KEYS).agg(F.count("*").alias("n_ids"), F.round(F.sum("weight"), 6).alias("total"))
 
 
@@ -91,8 +93,8 @@ def _(spark, sf):
 
 @book.add("x8_idf", f"{POSTINGS}, raw AS MATERIALIZED (SELECT term, df, idf, ln((n - df + 0.5) / (df + 0.5)) AS r FROM df, size) SELECT term, df, round(idf, 6) AS idf, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END, 6) AS okapi FROM raw")
 def _(spark, sf):
-    p = v.passages(spark, sf)
-    df = lx.document_frequencies(p).crossJoin(F.broadcast(lx.mean_length(p)))
+    p = v.stored_passages(spark, sf)
+    df = durable(lx.document_frequencies(p).crossJoin(F.broadcast(lx.mean_length(p))))
     plain = lx.idf(df, F.col("n_passages")).select("term", "df", F.round("idf", 6).alias("idf"))
     return plain.join(lx.idf(df, F.col("n_passages"), okapi=True).select("term", F.round("idf", 6).alias("okapi")), "term")
 
@@ -153,7 +155,15 @@ def _(spark, sf):
 
 @book.add("r2_bm25_search", f"{HITS} SELECT query_id, doc_id, chunk_index, round(score, 6) AS score, rank FROM hits")
 def _(spark, sf):
-    return lx.bm25_search(v.passages(spark, sf), _asked(spark, sf), KEYS, 5).withColumn("score", F.round("score", 6))
+    return lx.bm25_search(v.stored_passages(spark, sf), _asked(spark, sf), KEYS, 5).withColumn("score", F.round("score", 6))
+
+
+@book.add("r2_stored_search", f"{HITS} SELECT query_id, doc_id, chunk_index, round(score, 6) AS score, rank FROM hits")
+def _(spark, sf):
+    """The same hits from an index of postings in blocks, written and read again."""
+    path = v.folder(spark, "postings")
+    lx.lexical_blocks(v.stored_passages(spark, sf), KEYS).write.parquet(path)
+    return lx.block_search(spark.read.parquet(path), _asked(spark, sf), KEYS, 5).withColumn("score", F.round("score", 6))
 
 
 CARDS = f"cards AS MATERIALIZED (SELECT doc_id AS passage_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id), asked AS MATERIALIZED (SELECT passage_id AS query_id, array_to_string({v.sql_tokens('text')}, ' ') AS query, embedding FROM cards WHERE passage_id % 50 = 0)"
@@ -252,8 +262,14 @@ def _(spark, sf):
 
 
 SHARE = f"len(list_intersect({v.sql_shingles('p.text')}, {v.sql_shingles('q.question')})) / least(len({v.sql_shingles('p.text')}), len({v.sql_shingles('q.question')}))"
-GOLD = rf"contains(regexp_replace(lower(p.text), '\s+', ' ', 'g'), regexp_replace(regexp_replace(lower({v.sql_sentences('q.question')}[1]), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))"
-FLAGS = f"""{HITS}, gold AS MATERIALIZED (SELECT q.question_id, p.doc_id, p.text FROM questions q JOIN passages p ON p.doc_id = q.source_doc_id WHERE {GOLD}),
+NORM = r"regexp_replace(regexp_replace(lower({0}), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+#: Passages of a question's article that hold a sentence of it whole, else at least half of its shingles, else any.
+GOLD = f"""each AS (SELECT question_id, source_doc_id AS doc_id, i AS no, {v.sql_sentences('question')}[i] AS sentence FROM questions, LATERAL unnest(range(1, len({v.sql_sentences('question')}) + 1)) t(i) WHERE source_doc_id IS NOT NULL),
+held AS (SELECT question_id, no, doc_id, chunk_index, text, contains({NORM.format('text')}, {NORM.format('sentence')}) AS whole, len(list_intersect({v.sql_shingles('sentence')}, {v.sql_shingles('text')})) / len({v.sql_shingles('sentence')}) AS share FROM each JOIN passages USING (doc_id)),
+marked AS (SELECT *, bool_or(whole) OVER (PARTITION BY question_id, no) AS any_whole, bool_or(share >= 0.5 OR whole) OVER (PARTITION BY question_id, no) AS any_half FROM held WHERE whole OR share > 0),
+mapped AS MATERIALIZED (SELECT DISTINCT question_id, doc_id, chunk_index, text, CASE WHEN bool_and(any_whole) OVER (PARTITION BY question_id) THEN 'exact' ELSE 'split' END AS match, CASE WHEN any_whole THEN whole WHEN any_half THEN share >= 0.5 ELSE true END AS ok FROM marked),
+gold AS MATERIALIZED (SELECT DISTINCT question_id, doc_id, chunk_index, text, match FROM mapped WHERE ok)"""
+FLAGS = f"""{HITS}, {GOLD},
 flags AS MATERIALIZED (SELECT question_id, rank, p.doc_id = coalesce(source_doc_id, '') AS article, p.doc_id = coalesce(source_doc_id, '') AND {SHARE} >= 0.5 AS evidence,
   CASE WHEN question_id IN (SELECT question_id FROM gold) THEN (question_id, p.doc_id, p.text) IN (SELECT question_id, doc_id, text FROM gold) END AS answer
   FROM hits h JOIN passages p USING (doc_id, chunk_index) JOIN questions q ON q.question_id = h.query_id)"""
@@ -264,22 +280,25 @@ every AS (SELECT question_id, level FROM questions, (VALUES ('article'), ('evide
 scores AS (SELECT question_id, level, coalesce(hit_at_1, 0)::DOUBLE AS hit_at_1, coalesce(hit_at_k, 0) AS hit_at_k, coalesce(mrr, 0) AS mrr, coalesce(ndcg_at_k, 0) AS ndcg_at_k FROM every LEFT JOIN got USING (question_id, level))"""
 
 
-def _questions(spark, sf):
-    return v.questions(spark, sf).withColumn("evidence", F.col("question"))
-
-
-def gold(spark, sf):
-    q = v.questions(spark, sf).filter("source_doc_id is not null").select("question_id", F.col("source_doc_id").alias("doc_id"), tx.normalise(tx.sentences(F.col("question"))[0]).alias("said"))
-    return v.passages(spark, sf).join(hinted(q, _asked(spark, sf).count()), "doc_id").filter(F.contains(F.regexp_replace(F.lower("text"), r"\s+", " "), F.col("said"))).select("question_id", "doc_id", "text")
+def gold(questions, passages):
+    """question_id, doc_id, chunk_index, text and match of the passages that hold the sentences of a question."""
+    asked = questions.filter("source_doc_id is not null").select("question_id", "source_doc_id", tx.sentences(F.col("question")).alias("sentences"))
+    mapped = qs.gold_chunks(asked, passages.withColumn("strategy", F.lit("section"))).join(asked.select("question_id", F.col("source_doc_id").alias("doc_id")), "question_id")
+    return passages.select(*KEYS, "text").join(small(mapped.select("question_id", "match", *KEYS)), KEYS)
 
 
 def _flags(spark, sf):
-    questions = hinted(_questions(spark, sf), _asked(spark, sf).count())
-    return ev.flags(_hits(spark, sf).withColumnRenamed("query_id", "question_id"), questions, gold(spark, sf))
+    """Questions, and their hits with flags. Passages and questions are made once."""
+    passages, questions = v.stored_passages(spark, sf), v.questions(spark, sf).withColumn("evidence", F.col("question"))
+    n = questions.count()
+    hits = durable(_hits(spark, sf, passages=passages).withColumnRenamed("query_id", "question_id"))
+    flagged = ev.flags(hits, hinted(questions, n), gold(questions, passages))
+    return questions, flagged.select("question_id", "rank", "article", "evidence", "answer")
 
 
 def _scores(spark, sf):
-    return ev.scores(_flags(spark, sf).select("question_id", "rank", "article", "evidence", "answer"), _questions(spark, sf).select("question_id"))
+    questions, flagged = _flags(spark, sf)
+    return questions, ev.scores(durable(flagged), questions.select("question_id"))
 
 
 @book.add("e2_evidence", f"{HITS} SELECT q.question_id, p.doc_id, p.chunk_index, {SHARE} >= 0.5 AS is_evidence FROM hits h JOIN passages p USING (doc_id, chunk_index) JOIN questions q ON q.question_id = h.query_id")
@@ -290,7 +309,7 @@ def _(spark, sf):
 
 @book.add("e3_flags", f"{FLAGS} SELECT question_id, rank, article::INT AS article, evidence::INT AS evidence, answer::INT AS answer FROM flags")
 def _(spark, sf):
-    return _flags(spark, sf).select("question_id", "rank", "article", "evidence", "answer")
+    return _flags(spark, sf)[1]
 
 
 @book.add("e4_vector_metrics", f"""WITH {NEAR}, r AS (SELECT n.query_id, n.rank, (a.label = b.label)::INT AS r FROM near n JOIN embeddings a ON a.vec_id = n.query_id JOIN embeddings b ON b.vec_id = n.item)
@@ -304,19 +323,20 @@ def _(spark, sf):
 
 @book.add("e5_scores", f"{SCORES} SELECT * FROM scores")
 def _(spark, sf):
-    return _scores(spark, sf)
+    return _scores(spark, sf)[1]
 
 
 @book.add("e6_means", f"""{SCORES}, j AS (SELECT s.*, category, subspecialty FROM scores s JOIN questions USING (question_id))
 SELECT level, category, subspecialty, round(avg(hit_at_k), 6) AS hit_at_k, round(avg(mrr), 6) AS mrr, count(*) AS n FROM j GROUP BY GROUPING SETS ((level), (level, category), (level, subspecialty))""")
 def _(spark, sf):
-    j = _scores(spark, sf).join(v.questions(spark, sf).select("question_id", "category", "subspecialty"), "question_id")
+    questions, scores = _scores(spark, sf)
+    j = scores.join(questions.select("question_id", "category", "subspecialty"), "question_id")
     return ev.configuration_means(j, ["level"], ["hit_at_k", "mrr"], ["category", "subspecialty"])
 
 
 @book.add("entry_bm25_quality", f"{SCORES} SELECT level, round(avg(hit_at_k), 6) AS hit_at_5, round(avg(mrr), 6) AS mrr, count(*) AS questions FROM scores GROUP BY 1")
 def _(spark, sf):
-    return _scores(spark, sf).groupBy("level").agg(F.round(F.avg("hit_at_k"), 6).alias("hit_at_5"), F.round(F.avg("mrr"), 6).alias("mrr"), F.count("*").alias("questions"))
+    return _scores(spark, sf)[1].groupBy("level").agg(F.round(F.avg("hit_at_k"), 6).alias("hit_at_5"), F.round(F.avg("mrr"), 6).alias("mrr"), F.count("*").alias("questions"))
 
 
 @book.add("e7_grid", """WITH c AS (SELECT DISTINCT p_brand AS strategy, p_type AS embedder FROM part), g AS (
@@ -331,8 +351,9 @@ def _(spark, sf):
 
 @book.add("e8_chunk_lookup", f"{HITS} SELECT query_id, rank, coalesce(p2.chunk_index::VARCHAR, '?') AS found FROM hits h JOIN passages p USING (doc_id, chunk_index) LEFT JOIN (SELECT doc_id, text, min(chunk_index) AS chunk_index FROM passages WHERE chunk_index % 2 = 0 GROUP BY 1, 2) p2 ON p2.doc_id = p.doc_id AND p2.text = p.text")
 def _(spark, sf):
-    stored = v.passages(spark, sf).filter("chunk_index % 2 = 0").groupBy("doc_id", "text").agg(F.min("chunk_index").alias("id"))
-    return _hits(spark, sf).join(stored, ["doc_id", "text"], "left").select("query_id", "rank", F.coalesce(F.col("id").cast("string"), F.lit("?")).alias("found"))
+    passages = v.stored_passages(spark, sf)
+    stored = passages.filter("chunk_index % 2 = 0").groupBy("doc_id", "text").agg(F.min("chunk_index").alias("id"))
+    return _hits(spark, sf, passages=passages).join(stored, ["doc_id", "text"], "left").select("query_id", "rank", F.coalesce(F.col("id").cast("string"), F.lit("?")).alias("found"))
 
 
 @book.add("e9_parity", f"""WITH {NEAR}, a AS (SELECT query_id, item, rank FROM near WHERE rank <= 5), b AS (SELECT query_id, item, rank - 1 AS rank FROM near WHERE rank BETWEEN 2 AND 6)
@@ -349,11 +370,15 @@ def _(spark, sf):
 PAIRS = "SELECT source, quality::DOUBLE AS before, (CASE WHEN l.doc_id % 3 = 0 THEN 1 - quality ELSE quality END)::DOUBLE AS after FROM labels l JOIN documents d USING (doc_id)"
 
 
-@book.add("e10_paired", f"SELECT source, round(avg(after - before), 6) AS diff, count(*) FILTER (after > before) AS gained, count(*) FILTER (after < before) AS lost FROM ({PAIRS}) GROUP BY 1")
+@book.add("e10_paired", f"SELECT source, round(avg(after - before), 6) AS diff, true AS low_in_place, true AS high_in_place, count(*) FILTER (after > before) AS gained, count(*) FILTER (after < before) AS lost FROM ({PAIRS}) GROUP BY 1")
 def _(spark, sf):
+    """The ends of the interval are held against those of a normal distribution with the same mean and deviation: within a fifth of its width."""
     q = F.col("quality").cast("double")
     pairs = v.table(spark, sf, "labels").join(v.table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("source", q.alias("before"), F.when(F.col("doc_id") % 3 == 0, 1 - q).otherwise(q).alias("after"))
-    return ev.paired_difference(pairs, ["source"]).select("source", F.round("diff", 6).alias("diff"), "gained", "lost")
+    error = pairs.groupBy("source").agg((F.stddev_pop(F.col("after") - F.col("before")) / F.sqrt(F.count("*"))).alias("error"))
+    told = ev.paired_difference(pairs, ["source"]).join(error, "source")
+    near = lambda end, side: F.abs(F.col(end) - F.col("diff") - side * 1.96 * F.col("error")) <= 0.8 * F.col("error") + 1e-9
+    return told.select("source", F.round("diff", 6).alias("diff"), near("ci_low", -1).alias("low_in_place"), near("ci_high", 1).alias("high_in_place"), "gained", "lost")
 
 
 @book.add("e11_pool_report", f"WITH {ROUNDS} SELECT question, count(DISTINCT query) AS searches, count(*) AS pool_size, max(CASE WHEN round = 2 THEN 1 ELSE 0 END) AS pool_hit FROM run GROUP BY 1")

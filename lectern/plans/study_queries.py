@@ -13,6 +13,7 @@ from lectern.operators import questions as qs
 from lectern.plans import retrieval_queries as rq
 from lectern.plans import views as v
 from lectern.plans.book import Book
+from lectern.streaming import monitoring as mo
 
 book = Book()
 QUERIES, SQL = book.QUERIES, book.SQL
@@ -76,19 +77,45 @@ def _(spark, sf):
     return v.table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(tx.content(F.col("text"))), " ").alias("words"))
 
 
-@book.add("q5_similar_pairs", f"""WITH s AS MATERIALIZED (SELECT doc_id, list_sort({sql_content('text')}) AS w FROM documents), n AS MATERIALIZED (SELECT w, min(doc_id) AS a FROM s WHERE len(w) > 0 GROUP BY w),
-p AS MATERIALIZED (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a < y.a AND least(len(x.w), len(y.w)) >= 0.6 * greatest(len(x.w), len(y.w)) WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6),
-c AS (SELECT a, count(*) AS links FROM (SELECT a FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
+ALIKE = f"""s AS MATERIALIZED (SELECT doc_id, list_sort({sql_content('text')}) AS w FROM documents), n AS MATERIALIZED (SELECT w, min(doc_id) AS a FROM s WHERE len(w) > 0 GROUP BY w),
+p AS MATERIALIZED (SELECT x.a, y.a AS b FROM n x JOIN n y ON x.a < y.a AND least(len(x.w), len(y.w)) >= 0.6 * greatest(len(x.w), len(y.w)) WHERE len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))) >= 0.6)"""
+#: Walks the classes that have partners (a, b) in order; those in `kept` stay.
+WALK = """o AS MATERIALIZED (SELECT b AS x, row_number() OVER (ORDER BY b) AS i, list(a) FILTER (a IS NOT NULL) AS earlier FROM (SELECT a, b FROM p UNION ALL SELECT NULL, a FROM p) GROUP BY b),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN list_has_any(kept, coalesce(earlier, [])) THEN kept ELSE list_append(kept, x) END FROM walk JOIN o ON o.i = walk.i + 1),
+gone AS (SELECT x FROM o WHERE NOT list_contains((SELECT arg_max(kept, i) FROM walk), x))"""
+
+
+def _similar(spark, sf):
+    docs = v.table(spark, sf, "documents")
+    pairs, members = qs.similar_pairs(docs, "doc_id", "text")
+    return docs, pairs, members
+
+
+@book.add("q5_similar_pairs", f"""WITH {ALIKE}, c AS (SELECT a, count(*) AS links FROM (SELECT a FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
 SELECT doc_id, n.a AS class_id, coalesce(links, 0) AS n_links FROM s LEFT JOIN n USING (w) LEFT JOIN c ON c.a = n.a""")
 def _(spark, sf):
     """Every document with the smallest document of its word set (null: no words) and how many other sets are similar to it."""
-    docs = v.table(spark, sf, "documents")
-    pairs, members = qs.similar_pairs(docs, "doc_id", "text")
+    docs, pairs, members = _similar(spark, sf)
     links = pairs.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("links"))
     named = members.join(links, "a", "left").select("doc_id", F.col("a").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
     return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
+@book.add("q5_earlier_accepted", f"WITH RECURSIVE {ALIKE}, {WALK} SELECT doc_id, n.a IS NULL OR (n.a = doc_id AND n.a NOT IN (SELECT x FROM gone)) AS kept FROM s LEFT JOIN n USING (w)")
+def _(spark, sf):
+    """Documents as questions, accepted in order of their ids unless they are near-duplicates of one accepted earlier."""
+    docs, pairs, members = _similar(spark, sf)
+    return qs.first_of_similar(docs, "doc_id", pairs, members)
+
+
+@book.add("q8_same_meaning", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT embedding AS w, min(vec_id) AS a FROM embeddings GROUP BY 1), u AS MATERIALIZED (SELECT a, list_transform(w, lambda x: x::DOUBLE / sqrt(list_inner_product(w::DOUBLE[], w::DOUBLE[]))) AS w FROM n),
+p AS MATERIALIZED (SELECT x.a, y.a AS b FROM u x JOIN u y ON x.a < y.a WHERE round(list_inner_product(x.w, y.w), 6) >= {qs.DUPLICATE}), {WALK}, c AS (SELECT a, count(*) AS links FROM (SELECT a FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
+SELECT vec_id, n.a AS class_id, coalesce(links, 0) AS n_links, n.a = vec_id AND n.a NOT IN (SELECT x FROM gone) AS kept FROM embeddings e JOIN n ON n.w = e.embedding LEFT JOIN c ON c.a = n.a""")
+def _(spark, sf):
+    """Embeddings as those of questions, accepted in order of their ids unless they say the same as one accepted earlier."""
+    return qs.same_meaning(v.table(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
 SAID = v.sql_sentences("answer")
 NORM = r"regexp_replace(regexp_replace(lower({0}), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
@@ -123,18 +150,15 @@ def _(spark, sf):
     return qs.tally(_problems(spark, sf))
 
 
-GOLD = f"""{rq.P}, {v.QUESTIONS}, each AS (SELECT question_id, source_doc_id AS doc_id, i AS no, {v.sql_sentences('question')}[i] AS sentence FROM questions, LATERAL unnest(range(1, len({v.sql_sentences('question')}) + 1)) t(i) WHERE source_doc_id IS NOT NULL),
-held AS (SELECT question_id, no, chunk_index, contains({NORM.format('text')}, {NORM.format('sentence')}) AS whole, len(list_intersect({v.sql_shingles('sentence')}, {v.sql_shingles('text')})) / len({v.sql_shingles('sentence')}) AS share FROM each JOIN passages USING (doc_id)),
-marked AS (SELECT *, bool_or(whole) OVER (PARTITION BY question_id, no) AS any_whole, bool_or(share >= 0.5 OR whole) OVER (PARTITION BY question_id, no) AS any_half FROM held WHERE whole OR share > 0),
-gold AS (SELECT DISTINCT question_id, chunk_index, CASE WHEN bool_and(any_whole) OVER (PARTITION BY question_id) THEN 'exact' ELSE 'split' END AS match, CASE WHEN any_whole THEN whole WHEN any_half THEN share >= 0.5 ELSE true END AS ok FROM marked)"""
+GOLD = f"{rq.P}, {v.QUESTIONS}, {rq.GOLD}"
 
 
 def _gold(spark, sf):
     asked = v.questions(spark, sf).filter("source_doc_id is not null").select("question_id", "source_doc_id", tx.sentences(F.col("question")).alias("sentences"))
-    return qs.gold_chunks(asked, v.passages(spark, sf).withColumn("strategy", F.lit("section")))
+    return qs.gold_chunks(asked, v.stored_passages(spark, sf).withColumn("strategy", F.lit("section")))
 
 
-@book.add("q11_gold_chunks", f"{GOLD} SELECT DISTINCT question_id, 'section' AS strategy, chunk_index, match FROM gold WHERE ok")
+@book.add("q11_gold_chunks", f"{GOLD} SELECT DISTINCT question_id, 'section' AS strategy, chunk_index, match FROM gold")
 def _(spark, sf):
     return _gold(spark, sf)
 
@@ -154,7 +178,7 @@ def _(spark, sf):
     return qs.refine(dealt, "id", strata).select("id", "split")
 
 
-@book.add("q14_coverage", f"{GOLD}, one AS (SELECT question_id, max(match) AS m FROM gold WHERE ok GROUP BY 1) SELECT 'section' AS strategy, count(*) FILTER (o.question_id IS NULL) AS n_missing, count(*) FILTER (m = 'split') AS n_split FROM questions q LEFT JOIN one o USING (question_id)")
+@book.add("q14_coverage", f"{GOLD}, one AS (SELECT question_id, max(match) AS m FROM gold GROUP BY 1) SELECT 'section' AS strategy, count(*) FILTER (o.question_id IS NULL) AS n_missing, count(*) FILTER (m = 'split') AS n_split FROM questions q LEFT JOIN one o USING (question_id)")
 def _(spark, sf):
     return qs.coverage(_gold(spark, sf), v.table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id")), spark.createDataFrame([("section",)], "strategy string"))
 
@@ -251,14 +275,18 @@ def _drawn(spark, sf):
     middle = lambda x: 32 + (x - 48) * (x - 48) / 200 - F.col("p_size") % 5
     pixel = lambda i: F.lpad(F.hex(F.when(F.abs(spot(i)[0] - middle(spot(i)[1])) < 7, 180).otherwise(20).cast("bigint")), 2, "0")
     drawn = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), pixel), ""))
-    return v.table(spark, sf, "part").select("p_partkey", F.lit(w).alias("width"), F.lit(h).alias("height"), drawn.alias("pixels"))
+    return v.table(spark, sf, "part").select("p_partkey", "p_size", F.lit(w).alias("width"), F.lit(h).alias("height"), drawn.alias("pixels"))
 
 
-@book.add("i1_white_share", "SELECT p_partkey, 0.0::DOUBLE AS white_share, 'full_flat_letterbox_48x48' AS tag, 48 * 48 AS n_bytes FROM part")
+@book.add("i1_white_share", "SELECT p_partkey, round((p_size % 7) * (p_size % 11) / (96.0 * 64), 6) AS white_share, 'full_flat_letterbox_48x48' AS tag, 48 * 48 AS n_bytes FROM part")
 def _(spark, sf):
-    """Border mask, background fill, stretch and letterbox of every scan (I1, I5, I6)."""
-    made = images.preprocess_images(_drawn(spark, sf), images.PreConfig(48, 48, crop=False, fit="letterbox"), ["p_partkey"])
-    return made.select("p_partkey", "white_share", "tag", F.length("pixels").alias("n_bytes"))
+    """Border mask, background fill, stretch and letterbox of every scan with a white corner of its own size (I1, I5, I6)."""
+    w, h = 96, 64
+    corner = F.repeat(F.lit("FF"), F.col("p_size") % 7)
+    rows = F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda y: F.when(y < F.col("p_size") % 11, F.concat(corner, F.substring(F.hex("pixels"), 2 * w * y + 2 * (F.col("p_size") % 7) + 1, 2 * (w - F.col("p_size") % 7)))).otherwise(F.substring(F.hex("pixels"), 2 * w * y + 1, F.lit(2 * w))))
+    cornered = _drawn(spark, sf).withColumn("pixels", F.unhex(F.array_join(rows, "")))
+    made = images.preprocess_images(cornered, images.PreConfig(48, 48, crop=False, fit="letterbox"), ["p_partkey"])
+    return made.select("p_partkey", F.round("white_share", 6).alias("white_share"), "tag", F.length("pixels").alias("n_bytes"))
 
 
 @book.add("i7_preprocess")
@@ -356,6 +384,23 @@ def _(spark, sf):
     return _messages(spark, sf).select("session", "turn", F.md5(an.without_doses(F.col("content"))).alias("clean_md5"))
 
 
+UNITS = r"list_filter(string_split(regexp_replace(regexp_replace(content, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '\n', chr(10) || chr(1), 'g'), chr(1)), lambda u: u <> '')"
+
+
+@book.add("m2_clean_stream", f"WITH {MSG}, u AS (SELECT session || ':' || turn AS session, list_filter({UNITS}, lambda u: NOT regexp_matches(u, '{an.AMOUNT}')) AS shown FROM msg WHERE role = 'assistant') SELECT session, len(shown) AS n, md5(array_to_string(shown, '')) AS shown_md5 FROM u WHERE len(shown) > 0")
+def _(spark, sf):
+    """Answers as pieces of 40 signs that arrive in disorder over several files, cleaned as a stream."""
+    given, out = v.folder(spark, "pieces"), v.folder(spark, "shown")
+    said = _messages(spark, sf).filter("role = 'assistant'").select(F.concat_ws(":", "session", "turn").alias("session"), "content")
+    n = F.ceil(F.length("content") / 40).cast("int")
+    pieces = said.select("session", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("seq"), F.when(i < n, "text").otherwise("flush").alias("kind"), F.when(i < n, F.substring("content", i * 40 + 1, F.lit(40))).otherwise("").alias("text")))).alias("p")).select("session", "p.*")
+    pieces.repartition(4, F.xxhash64("session", "seq")).write.parquet(given)
+    stream = spark.readStream.schema("session string, seq int, kind string, text string").option("maxFilesPerTrigger", 1).parquet(given)
+    mo.drain(mo.clean_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", v.folder(spark, "progress")), spark)
+    rows = spark.read.schema("session string, no bigint, text string").parquet(out).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("no", "text"))).alias("rows"))
+    return rows.select("session", F.size("rows").cast("bigint").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: r["text"]), "")).alias("shown_md5"))
+
+
 @book.add("m3_earlier_turns", f"WITH {MSG} SELECT * FROM (SELECT session, turn, role, md5(coalesce(string_agg(role || ': ' || content, chr(10)) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '')) AS earlier_md5, row_number() OVER (PARTITION BY session ORDER BY turn)::INT - 1 AS n_earlier FROM msg) WHERE role = 'user'")
 def _(spark, sf):
     return an.earlier_turns(_messages(spark, sf)).select("session", "turn", "role", F.md5("earlier").alias("earlier_md5"), "n_earlier")
@@ -403,6 +448,19 @@ def _(spark, sf):
     return an.token_totals(v.table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("trace"), F.get_json_object("props", "$.k").cast("bigint").alias("tokens")))
 
 
+@book.add("m12_ingest", f"{rq.P} SELECT doc_id, chunk_index, md5(text) AS text_md5, 64 AS dim FROM passages")
+def _(spark, sf):
+    """Passages that come in three files, some of them twice; each is embedded once."""
+    given, path = v.folder(spark, "arriving"), v.folder(spark, "index")
+    keys = ["doc_id", "chunk_index"]
+    passages = v.stored_passages(spark, sf).select(*keys, "text")
+    for part in ("chunk_index % 3 = 0", "chunk_index % 3 <> 2", "chunk_index % 3 <> 0"):
+        passages.filter(part).coalesce(1).write.mode("append").parquet(given)
+    stream = spark.readStream.schema(passages.schema).option("maxFilesPerTrigger", 1).parquet(given)
+    mo.ingest(stream, embedder(), path, v.folder(spark, "progress"), buckets=8).awaitTermination()
+    return mo.read_ingested(spark, path).select(*keys, F.md5("text").alias("text_md5"), F.size("embedding").alias("dim"))
+
+
 @book.add("m11_daily_scores", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, round(avg(value), 6) AS score, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, sf):
     scored = v.table(spark, sf, "events").select("ts", "event_type", F.col("value").alias("score"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import chunking
+from lectern.operators.durable import durable, new_folder
 from lectern.operators.sizes import small
 
-#: Questions of two words or fewer that are looked for in every document.
-BARE = 1_000
+#: Signs of the pieces by which texts of two words or fewer find the words that hold them.
+GRAM = 3
 LICENSES = ("CC BY 4.0", "unknown", "CC BY-NC 4.0", "CC0 1.0", "CC BY-ND 4.0")
 
 
@@ -21,13 +19,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local master without one gets a temporary folder, others are refused."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares."""
+    return new_folder(spark, name)
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,6 +42,11 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk(articles(spark, sf), "section").withColumn("num", F.substring("doc_id", 4, 20).cast("bigint"))
 
 
+def stored_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, written once for a query that reads them several times."""
+    return durable(passages(spark, sf))
+
+
 def both_passages(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed and section passages with `strategy`."""
     a = articles(spark, sf)
@@ -56,38 +54,57 @@ def both_passages(spark: SparkSession, sf: str) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
+def _runs(text: str):
+    """Words and the white space between them, in order."""
+    return F.regexp_extract_all(F.col(text), F.lit(r"\s+|\S+"), F.lit(0))
+
+
+def _grams(text, length):
+    """The distinct pieces of that many signs of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - length + 1), lambda i: F.substring(text, i, length)))
+
+
 def holders(items: DataFrame, docs: DataFrame) -> DataFrame:
     """question_id and doc_id of the documents that hold an item's text (question_id, question).
 
     A text that holds another holds its whole words, the first and last apart. Items are filed under the
-    rarest of these, counted over all documents; a document's words fetch the items to look for. Items of
-    two words or fewer have none and are looked for in every document; they are sent out if they are few.
+    rarest of these, counted over all documents. An item of two words or fewer has none: it is filed under every
+    word of the documents that holds its longest run of word or white-space signs, and these are found by a piece of GRAM signs of it.
+    A document's own words then fetch the items to look for. The empty text is in every document.
     """
-    spaced = lambda text: F.split(text, r"\s+", -1)
-    words = spaced(F.col("question"))
-    inner = items.select("question_id", "question", F.array_distinct(F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")).alias("inner"))
-    listed = inner.select("question_id", "question", F.explode("inner").alias("word"))
-    wanted = small(listed.select("word").distinct())
-    each = docs.select("doc_id", F.explode(F.array_distinct(spaced(F.col("text")))).alias("word")).join(wanted, "word", "left_semi")
-    counts = each.groupBy("word").agg(F.count("*").alias("n"))
-    ordered = listed.join(small(counts), "word", "left").groupBy("question_id", "question").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
-    candidates = each.join(small(ordered), "word").select("question_id", "question", "doc_id")
-    checked = docs.join(small(candidates), "doc_id").filter(F.contains(F.col("text"), F.col("question"))).select("question_id", "doc_id")
-    bare = inner.filter(F.size("inner") == 0).select("question_id", "question")
-    rest = docs.join(F.broadcast(bare), F.contains(docs["text"], F.col("question"))).select("question_id", "doc_id") if bare.limit(BARE + 1).count() <= BARE else None
-    if rest is None:
-        raise ValueError(f"more than {BARE} questions of two words or fewer")
-    return checked.unionByName(rest)
+    texts = items.filter("question is not null").select("question").distinct()
+    runs = texts.select("question", _runs("question").alias("runs"))
+    inner = F.filter(F.slice("runs", 2, F.greatest(F.size("runs") - 2, F.lit(0))), lambda w: w.rlike(r"\S"))
+    words = durable(runs.select("question", "runs", F.array_distinct(inner).alias("inner")))
+    each = docs.select("doc_id", F.explode(F.array_distinct(_runs("text"))).alias("word"))
+    listed = words.select("question", F.explode("inner").alias("word"))
+    counts = each.join(small(listed.select("word").distinct()), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    filed = listed.join(counts, "word", "left").groupBy("question").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    bare = words.filter("size(inner) = 0 and question <> ''")
+    if not bare.isEmpty():
+        longest = F.array_max(F.transform("runs", lambda w: F.struct(w.rlike(r"\S").alias("said"), F.length(w).alias("n"), w.alias("run"))))["run"]
+        length = F.least(F.length("run"), F.lit(GRAM))
+        looked = durable(bare.select("question", longest.alias("run")).select("question", "run", F.substring("run", F.lit(1), length).alias("gram"), length.alias("length")))
+        lengths = [r[0] for r in looked.select("length").distinct().collect()]  # at most GRAM of them
+        vocabulary = durable(each.select("word").distinct())
+        pieces = F.flatten(F.array(*[F.when(F.length("word") >= n, _grams(F.col("word"), n)).otherwise(F.array().cast("array<string>")) for n in lengths]))
+        holding = vocabulary.select("word", F.explode(pieces).alias("gram")).join(small(looked), "gram").filter(F.contains("word", "run"))
+        filed = filed.unionByName(holding.select("question", "word"))
+    filed = durable(filed)
+    candidates = durable(each.join(small(filed), "word").select("question", "doc_id").distinct())
+    checked = docs.select("doc_id", "text").join(small(candidates), "doc_id").filter(F.contains("text", "question")).select("question", "doc_id")
+    everywhere = docs.filter("text is not null").select(F.lit("").alias("question"), "doc_id")
+    held = checked.unionByName(everywhere.join(F.broadcast(texts.filter("question = ''")), "question"))  # one row at most
+    return items.select("question_id", "question").join(held, "question").select("question_id", "doc_id")
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items as questions whose source is the lowest document that holds the text."""
+    """Benchmark items as questions whose source is the lowest document that holds the text; written once."""
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    held = holders(items, docs).groupBy("question_id").agg(F.min("doc_id").alias("source"))
-    return items.join(held, "question_id", "left").select(
+    held = holders(items, table(spark, sf, "documents")).groupBy("question_id").agg(F.min("doc_id").alias("source"))
+    return durable(items.join(held, "question_id", "left").select(
         "question_id", "question", F.concat(F.lit("PMC"), "source").alias("source_doc_id"), F.concat(F.lit("c"), F.col("question_id") % 5).alias("category"), F.concat(F.lit("s"), F.col("question_id") % 10).alias("subspecialty")
-    )
+    ))
 
 
 BREAK = r"""regexp_replace({0}, '([.!?])\s+([A-Z("''])', '\1' || chr(1) || '\2', 'g')"""

@@ -32,18 +32,26 @@ def save_manifest(articles: DataFrame, path: str) -> None:
     manifest(articles).write.mode("overwrite").option("header", True).csv(path)
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """value and line of every line of the files at `path`; line tells the order in which they were written.
+
+    Spark reads large files first and cuts long ones, so the order is that of the files' times, then of their names
+    (parts of one write are numbered), then of the place in the file: where its block starts, and the row in it.
+    """
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select("value", place.alias("line"))
+
+
 def repair_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of a damaged file: lines that cannot be read are dropped, the last record of an id wins."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
-    parsed = lines.select("line", F.from_json("value", f"{STORED}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r")).select("line", "r.*")
+    """Articles of a damaged file: lines that cannot be read are dropped, the record of an id that was written last wins."""
+    parsed = lines_of(spark, path).select("line", F.from_json("value", f"{STORED}, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("r")).select("line", "r.*")
     return _sections(repair(parsed))
 
 
 def read_status_log(spark: SparkSession, path: str) -> DataFrame:
     """pmcid, status and line of a tab-separated log; a line cut short has a null status."""
-    text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
     parts = F.split("value", "\t", -1)
-    return text.select(F.get(parts, F.lit(0)).alias("pmcid"), F.get(parts, F.lit(1)).alias("status"), "line")
+    return lines_of(spark, path).select(F.get(parts, F.lit(0)).alias("pmcid"), F.get(parts, F.lit(1)).alias("status"), "line")
 
 
 def append_status(rows: DataFrame, path: str) -> None:

@@ -22,10 +22,10 @@ def article(spark, sections):
 
 
 def test_sentences(spark):
-    text = "One here. Two there! Is (this) three? (Yes.) e.g. often.\n"
-    assert one(spark, text, tx.sentences) == ["One here.", "Two there!", "Is (this) three?", "(Yes.) e.g. often."]
+    text = "Lamps went out at 9.30 sharp. Why? \"Nobody (not I) knew!\" they wrote. (So. what now. Then) quiet \t"
+    assert one(spark, text, tx.sentences) == ["Lamps went out at 9.30 sharp.", "Why?", '"Nobody (not I) knew!" they wrote.', "(So. what now.", "Then) quiet"]
     assert one(spark, None, tx.sentences) == []
-    assert one(spark, "Soft DRUSEN, (RPE)-level!", tx.tokens) == ["soft", "drusen", "rpe", "level"]
+    assert one(spark, "Tall_Ships [1798]: ÉTÉ-time?", tx.tokens) == ["tall_ships", "1798", "été", "time"]
 
 
 def test_shingles_of_short_texts(spark):
@@ -125,3 +125,83 @@ def test_question_file_defaults(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"id": "f0", "question": "Q?"}\n')
     (row,) = files.read_questions(spark, str(tmp_path / "q.jsonl")).collect()
     assert row.split == "" and row.answer_sentences == [] and row.gold_chunks == {}
+
+
+def test_last_means_written_last(spark, tmp_path):
+    """A small write before a large one: Spark reads the large file first."""
+    path = str(tmp_path / "log")
+    write = lambda rows: files.append_status(spark.createDataFrame(rows, "pmcid string, status string").coalesce(1), path)
+    write([("PMC1", "error")])
+    write([("PMC1", "kept"), *((f"PMC{i}", "empty") for i in range(2, 2_000))])
+    got = dict(map(tuple, corpus.latest_status(files.read_status_log(spark, path)).collect()))
+    assert got["PMC1"] == "kept" and len(got) == 1_999
+
+
+def test_last_in_a_file_of_many_splits(spark, tmp_path):
+    lines = [f'{{"pmcid": "P{i % 50}", "title": "{i}", "sections": [["A", "{"x" * 80}"]]}}' for i in range(5_000)]
+    (tmp_path / "big.jsonl").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(tmp_path / "big.jsonl")).rdd.getNumPartitions() > 10
+        got = files.repair_corpus(spark, str(tmp_path / "big.jsonl")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.pmcid, int(r.title)) for r in got) == sorted((f"P{i % 50}", i) for i in range(4_950, 5_000))
+
+
+DAMAGED = {
+    "cut in a tag": ("<article><body><sec><title>T</title><p>Some text</p><p>more tex<ital", [("T", "Some text\nmore tex")]),
+    "left open": ("<article><body><sec><title>A</title><p>One <b>two</p><p>three</sec><sec><title>B</title><p>four", [("A", "One two\nthree"), ("B", "four")]),
+    "ends alone": ("<article></x><body></p><sec><p>Text</i> here</p></sec></body></article></article>", [("Body", "Text here")]),
+    "entities": ("<article><body><sec><p>a&nbsp;b &amp; c & d &#65;&#x42; &#0; &lt;e</p></sec></body></article>", [("Body", "ab & c & d AB <e")]),
+    "less than": ("<article><body><sec><p>p < 0.05 and n<5</p></sec></body></article>", [("Body", "p < 0.05 and n<5")]),
+    "asides": ("<?xml version='1.0'?><!DOCTYPE a><article><!-- <p> --><body><sec><p>x <![CDATA[<y> & z]]></p></b></sec></body>", [("Body", "x <y> & z")]),
+    "signs": ("<article><body><sec><p>a\x01b</p></sec></body></article>", [("Body", "ab")]),
+    "prefix": ("<article><body><sec><p>See <ali:x y=1>here</ali:x></p></sec></body></article>", [("Body", "See here")]),
+    "attributes": ("<article><body><sec a='1' b=2 c><p d=\"1 > 0\">x</p></sec></body></article", [("Body", "x")]),
+}
+
+
+def test_damaged_articles_are_read(spark):
+    batch = spark.createDataFrame([(name, xml) for name, (xml, _) in DAMAGED.items()] + [("nothing", "no tags"), ("open", "<article><bo")], "pmcid string, xml string")
+    got = {r.pmcid: [tuple(s) for s in r.sections] for r in corpus.parse_articles(batch).collect()}
+    assert got == {name: want for name, (_, want) in DAMAGED.items()}
+
+
+def test_recovered_trees_of_whole_xml_are_the_same():
+    from xml.etree import ElementTree
+
+    from lectern.operators.markup import recovered
+
+    assert ElementTree.tostring(recovered(XML)) == ElementTree.tostring(ElementTree.fromstring(XML))
+
+
+def test_recovery_takes_linear_time():
+    import time
+
+    from lectern.operators.markup import recovered
+
+    for piece in ("<sec><p>", "</b>", "< ", "<a b ", "<!x", "<sec></p>", "&#1", "<p>text</sec>"):
+        start = time.time()
+        recovered("<article>" + piece * 60_000)
+        assert time.time() - start < 5, piece
+
+
+def test_results_are_appended_once(spark, tmp_path):
+    from lectern.sources import index_store
+
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id int, v string")
+    for some in (rows(1, 2), rows(2, 3), rows(1, 2, 3)):
+        index_store.append_missing(some, str(tmp_path / "r"), ["id"])
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "r")).collect()) == [1, 2, 3]
+
+
+def test_manifest_and_split_files(spark, tmp_path):
+    a = article(spark, [("A", "x."), ("B", "yy.")])
+    files.save_manifest(a, str(tmp_path / "m"))
+    (row,) = spark.read.option("header", True).csv(str(tmp_path / "m")).collect()
+    assert (row.pmcid, row.n_sections, row.n_chars) == ("P1", "2", str(len("A\nx.\n\nB\nyy.")))
+    files.write_split(spark.createDataFrame([("n1", "CNV", "1", "train"), ("n2", "DME", "2", "val")], "name string, class string, patient string, split string"), str(tmp_path / "s"))
+    assert [tuple(r) for r in files.read_split(spark, str(tmp_path / "s"), "val").collect()] == [("n2", "DME", "2", "val")]
+    assert files.read_split(spark, str(tmp_path / "s")).count() == 2
