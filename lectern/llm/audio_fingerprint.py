@@ -3,7 +3,8 @@
 Recordings are columns of 8-bit PCM samples. Frames of samples become energies of twelve pitch classes;
 sixteen rectangle filters, each a few look-ups in the integral image of the frames, give two bits apiece.
 To align two recordings, equal integers vote for the difference of their places; the fullest bin of that
-histogram is the offset, and the share of differing bits at it is the error.
+histogram is the offset, and the share of differing bits at it is the error. The integers of the queries are an inverted index
+that every recording looks its own up in; all queries that align are found.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import durable, slices
+from lectern.operators.blocks import SENT_BYTES, against_all
 
-RATE, FRAME, HOP = 8_000, 256, 128
+RATE, FRAME, HOP, SILENCE = 8_000, 256, 128, 128
 CLASSES, SPAN = 12, 16
 LOW_HZ, HIGH_HZ = 60.0, 3_500.0
 #: Bits that may differ for two recordings to count as the same.
 MOST_ERROR = 0.35
-#: Integers of query recordings that are searched at once; more queries are searched in further blocks.
-QUERY_BLOCK = 1_000_000
+#: Query recordings of a block, where they are too many to be sent to every executor.
+QUERY_BLOCK = 1_000
 #: Samples that are turned into frames at once.
 CHUNK_FRAMES = 8_192
 
@@ -42,7 +44,9 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:
-    """Frames x 12 energies, each frame scaled to length 1 (a silent one stays 0)."""
+    """Frames x 12 energies, each frame scaled to length 1 (a silent one stays 0). A recording shorter than a frame ends in silence."""
+    if 0 < len(samples) < FRAME:
+        samples = np.pad(samples, (0, FRAME - len(samples)), constant_values=SILENCE)
     n = max(0, (len(samples) - FRAME) // HOP + 1)
     out = np.zeros((n, CLASSES), np.float32)
     for start in range(0, n, CHUNK_FRAMES):
@@ -87,7 +91,7 @@ def packed(frames: np.ndarray) -> np.ndarray:
 def fingerprint(recordings: DataFrame, key: str = "doc_id", samples: str = "samples") -> DataFrame:
     """key, n_frames and prints (array<bigint>, unsigned 32-bit) of every recording; map-only over whole recordings.
 
-    A null or too short recording has no frames and no prints. Repeated rows repeat.
+    A null or empty recording has no frames and no prints. Repeated rows repeat; an empty table gives an empty result.
     """
     rows = recordings.select(F.col(key).cast("bigint").alias("key"), F.col(samples).alias("samples"))
 
@@ -99,80 +103,99 @@ def fingerprint(recordings: DataFrame, key: str = "doc_id", samples: str = "samp
     return rows.mapInArrow(run, "key bigint, n_frames bigint, prints array<bigint>")
 
 
-class QueryBlock:
-    """Prints of some query recordings, sorted for look-up. `first` and `second` are the two smallest keys of equal recordings."""
+class Index:
+    """Inverted index over the integers of some query recordings: for each integer the recordings and places that hold it."""
 
-    def __init__(self, rows: list):
-        self.first = np.array([r["first"] for r in rows], np.int64)
-        self.second = [r["second"] for r in rows]
-        self.prints = [np.array(r["prints"], np.uint32) for r in rows]
-        values = np.concatenate([np.empty(0, np.uint32), *self.prints])
-        owner = np.repeat(np.arange(len(rows)), [len(p) for p in self.prints])
-        place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(p)) for p in self.prints)])
+    def __init__(self, wanted: pa.Table):
+        self.name = wanted["query"].to_numpy()
+        self.prints = [np.array(p, np.uint32) for p in wanted["prints"].to_pylist()]
+        starts = [run_starts(p) for p in self.prints]
+        owner = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+        place = np.concatenate([np.empty(0, np.int64), *starts])
+        values = np.concatenate([np.empty(0, np.uint32), *(p[s] for p, s in zip(self.prints, starts, strict=True))])
         order = np.argsort(values, kind="stable")
         self.values, self.owner, self.place = values[order], owner[order], place[order]
 
-    def best(self, key: int | None, prints: np.ndarray) -> tuple | None:
-        """(votes, query, offset, differing bits, compared bits) of the query with the fullest offset bin; ties: smaller key, then offset."""
-        low, high = np.searchsorted(self.values, prints, "left"), np.searchsorted(self.values, prints, "right")
-        n = high - low
-        if not n.sum():
-            return None
-        hit = np.repeat(low - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
-        offset = self.place[hit] - np.repeat(np.arange(len(prints)), n)
-        who = self.owner[hit]
-        pairs, counts = np.unique(np.stack([who, offset]), axis=1, return_counts=True)
-        order = np.lexsort((pairs[1], self.first[pairs[0]], -counts))
-        for k in order:
-            w, shift = int(pairs[0][k]), int(pairs[1][k])
-            query = self.second[w] if self.first[w] == key else int(self.first[w])
-            if query is None:
-                continue
+    def aligned(self, prints: np.ndarray) -> list[dict]:
+        """Of every query that shares an integer: votes, offset, wrong and compared bits at its fullest offset (of equal ones the smallest), where the error is small enough."""
+        starts = run_starts(prints)
+        low, high = (np.searchsorted(self.values, prints[starts], side) for side in ("left", "right"))
+        held = np.empty((0, 3), np.int64)  # query, offset, votes
+        for part in _parts(high - low):
+            n = (high - low)[part]
+            hit = np.repeat(low[part] - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())
+            fresh = np.stack([self.owner[hit], self.place[hit] - np.repeat(starts[part], n), np.ones(len(hit), np.int64)], axis=1)
+            held = _counted(np.concatenate([held, fresh]))
+        if not len(held):
+            return []
+        order = np.lexsort((held[:, 1], -held[:, 2], held[:, 0]))
+        first = order[np.append(True, held[order][1:, 0] != held[order][:-1, 0])]
+        out = []
+        for w, shift, votes in held[first].tolist():
             a, b = prints[max(0, -shift) :], self.prints[w][max(0, shift) :]
             size = min(len(a), len(b))
-            return int(counts[k]), query, shift, int(np.bitwise_count(a[:size] ^ b[:size]).sum()), 32 * size
-        return None
+            wrong = int(np.bitwise_count(a[:size] ^ b[:size]).sum())
+            if wrong <= MOST_ERROR * 32 * size:
+                out.append({"votes": votes, "query": int(self.name[w]), "offset": shift, "wrong": wrong, "compared": 32 * size})
+        return out
 
 
-def best_matches(prints: DataFrame, is_query, block: int = QUERY_BLOCK) -> DataFrame:
-    """For every recording the query recording that it aligns with best: key, n_frames, n_prints, query, votes, offset, bit_error, same.
+def run_starts(prints: np.ndarray) -> np.ndarray:
+    """Places where a run of one integer starts; a run votes once, so a steady tone is no crowd of votes."""
+    return np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else np.empty(0, np.int64)
 
-    prints is the result of `fingerprint`; `is_query` a condition on its `key`. Equal query recordings are
-    one entry. Queries are searched in blocks of at most `block` integers (a longer recording is a block of
-    its own), each sent to all executors; a recording's own key is never its match. Without one, the match
-    columns are null and `same` is false.
+
+def _parts(sizes: np.ndarray, most: int = 4_000_000) -> Iterator[slice]:
+    """Slices of rows that give at most so many hits together, or of one row."""
+    ends, start, done = sizes.cumsum(), 0, 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield slice(start, stop)
+        start, done = stop, int(ends[stop - 1])
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """Votes added up by (query, offset)."""
+    order = np.lexsort((rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))) if len(rows) else np.empty(0, np.int64)
+    return np.column_stack([rows[new, :2], np.add.reduceat(rows[:, 2], new)]) if len(new) else rows
+
+
+LINK = pa.struct([(c, pa.int64()) for c in ("votes", "query", "offset", "wrong", "compared")])
+
+
+def matches(prints: DataFrame, is_query, sent_bytes: int = SENT_BYTES) -> DataFrame:
+    """For every recording: key, class_id, n_frames, n_prints, n_links, queries, query, votes, offset, bit_error and same.
+
+    prints is the result of `fingerprint`; `is_query` a condition on its `key`. Equal recordings are one class, named
+    by its smallest key, and are searched once. A recording is linked with every query class of which it differs in at most
+    MOST_ERROR of the bits, where most equal integers vote for the same offset; `queries` names each by its
+    smallest query key, and query, votes, offset and bit_error are of the link with most votes (ties: fewer wrong bits, the smaller key).
+    A recording is no link of its own, but a query that equals it is. Queries within `sent_bytes` are sent to where the
+    recordings are; more meet them in blocks. Without links the list is empty, the match columns are null and `same` is false.
     """
-    prints = durable(prints.withColumn("row", F.monotonically_increasing_id()))
-    queries = prints.filter(is_query & (F.size("prints") > 0)).groupBy(F.xxhash64("prints").alias("h"), "prints").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    queries = durable(queries.select(F.col("keys")[0].alias("first"), F.when(F.size("keys") > 1, F.col("keys")[1]).alias("second"), "prints", F.size("prints").alias("n")))
-    context = prints.sparkSession.sparkContext
-    kind = "row bigint, key bigint, n_frames bigint, n_prints bigint, votes bigint, query bigint, offset bigint, wrong bigint, compared bigint"
-    found = None
-    held: list = []
-
-    def against(rows: list) -> DataFrame:
-        sent = context.broadcast(QueryBlock(rows))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                keys = part[1].to_pylist()
-                best = [sent.value.best(k, np.array(p, np.uint32)) or (None,) * 5 for k, p in zip(keys, part[3].to_pylist(), strict=True)]
-                sizes = pa.array([len(p) for p in part[3].to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([part[0], part[1], part[2], sizes, *(pa.array(c, pa.int64()) for c in zip(*best, strict=True))], names=[f.split()[0] for f in kind.split(", ")])
-
-        return prints.select("row", "key", "n_frames", "prints").mapInArrow(run, kind)
-
-    size = 0
-    for row in queries.orderBy("first").toLocalIterator():
-        if held and size + row["n"] > block:
-            found = against(held) if found is None else found.unionByName(against(held))
-            held, size = [], 0
-        held.append(row)
-        size += row["n"]
-    last = against(held)
-    if found is not None:
-        best = F.max(F.struct("votes", (-F.col("query")).alias("minus"), (-F.col("offset")).alias("minus_offset"), "wrong", "compared")).alias("b")
-        grouped = found.unionByName(last).groupBy("row", "key", "n_frames", "n_prints").agg(best)
-        last = grouped.select("key", "n_frames", "n_prints", "b.votes", (-F.col("b.minus")).alias("query"), (-F.col("b.minus_offset")).alias("offset"), "b.wrong", "b.compared")
-    error = F.col("wrong") / F.col("compared")
-    return last.select("key", "n_frames", "n_prints", "query", "votes", "offset", error.alias("bit_error"), F.coalesce(error <= MOST_ERROR, F.lit(False)).alias("same"))
+    rows = durable(prints.select("key", "n_frames", "prints").withColumn("h", F.xxhash64("prints")))
+    query_key = F.when(is_query, F.col("key"))
+    classes = rows.filter(F.size("prints") > 0).groupBy("h", "prints").agg(F.min("key").alias("class_id"), F.min(query_key).alias("query"), F.countDistinct(query_key).alias("n_queries"))
+    classes = durable(classes.withColumn("class", F.monotonically_increasing_id()))
+    asked = classes.filter("query is not null").select("query", F.col("prints"))
+    memo: dict = {}
+
+    def search(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        if memo.get("of") is not wanted:
+            memo.update(of=wanted, index=Index(wanted))
+        found = [memo["index"].aligned(np.array(p, np.uint32)) for p in held["prints"].to_pylist()]
+        kept = [k for k, links in enumerate(found) if links]
+        return pa.table({"class": held["class"].take(pa.array(kept, pa.int64())), "links": pa.array([found[k] for k in kept], pa.list_(LINK))})
+
+    kind = "class bigint, links array<struct<votes:bigint,query:bigint,offset:bigint,wrong:bigint,compared:bigint>>"
+    found = against_all(classes.select("class", "prints"), "class", asked, "query", search, lambda t: t, kind, vector="prints", sent_bytes=sent_bytes, block=QUERY_BLOCK)
+    linked = found.groupBy("class").agg(F.flatten(F.collect_list("links")).alias("links"))
+    told = rows.join(classes, ["h", "prints"], "left").join(linked, "class", "left")
+    # With its own class a recording is linked if another recording of it is a query.
+    others = F.filter(F.coalesce("links", F.array().cast("array<struct<votes:bigint,query:bigint,offset:bigint,wrong:bigint,compared:bigint>>")), lambda x: ~x["query"].eqNullSafe(F.col("query")) | (F.col("n_queries") > 1) | ~F.col("key").eqNullSafe(F.col("query")))
+    best = F.array_max(F.transform(others, lambda x: F.struct(x["votes"].alias("votes"), (-x["wrong"]).alias("right"), (-x["query"]).alias("minus"), x["offset"].alias("offset"), x["compared"].alias("compared"))))
+    out = told.select("key", "class_id", "n_frames", F.size("prints").cast("bigint").alias("n_prints"), others.alias("others"), best.alias("b"))
+    error = -F.col("b.right") / F.col("b.compared")
+    return out.select("key", "class_id", "n_frames", "n_prints", F.size("others").cast("bigint").alias("n_links"), F.array_sort(F.transform("others", lambda x: x["query"])).alias("queries"), (-F.col("b.minus")).alias("query"), "b.votes", "b.offset", error.alias("bit_error"), F.col("b").isNotNull().alias("same"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.operators.durable import delete_folder, durable, new_folder
+
+__all__ = ["SLICE_ROWS", "Scratch", "durable", "sized", "slices", "table"]
+
 #: Rows that a Python task turns into Python objects at once; bounds its memory, never what it reads.
 SLICE_ROWS = 256
 
@@ -32,22 +35,30 @@ def sized(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator
             start, done = stop, int(size[stop - 1])
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoints `df` in the folder that the cluster shares, so that lost executors cost no recomputation.
-
-    The folder is the session's spark.checkpoint.dir. Where that is unset, a local master gets a
-    temporary folder and any other master is refused: its executors could not read each other's files.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables of intermediate results in a folder of their own in the shared folder, deleted when the job is done with them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, new_folder(spark, "scratch"), {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        path = f"{self.folder}/{len(self.paths)}"
+        df.write.parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(stored)] = (path, stored)
+        return stored
+
+    def drop(self, *stored: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df in stored:
+            delete_folder(self.spark, self.paths[id(df)][0])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete_folder(self.spark, self.folder)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

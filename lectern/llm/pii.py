@@ -31,6 +31,8 @@ NEAR = 64
 BROADCAST_ROWS = 10_000
 #: Repeated texts, by hash, that are sent to every executor; more are joined by a shuffle.
 BROADCAST_TEXTS = 500_000
+#: Bits of the bitmap of told rows, and bits that one row of it holds (fixed by bitmap_construct_agg), as powers of two.
+MARK_BITS, ROW_BITS = 27, 15
 #: Numbers that a running sum takes at a time, and code points of a text's blocks.
 CHUNK, BLOCK = 64, 1_024
 
@@ -210,10 +212,24 @@ TERMS = "array<struct<start:int,end:int,share:double>>"
 
 
 def _told(docs: DataFrame, extra: DataFrame, *columns: Column | str) -> DataFrame:
-    """The columns, text (null: null) and told of every row; texts are shuffled only if more than BROADCAST_ROWS rows are told of words."""
+    """The columns, text (null: null) and told of every row. Only texts of rows that may be told of words are joined and so perhaps shuffled.
+
+    Beyond BROADCAST_ROWS rows with such words a bitmap of the hashes of their keys, at most 2 ** MARK_BITS bits whatever the
+    input, is sent to every executor; rows whose bit is not set are surely told of none and stay where they are.
+    """
     doc_id = F.col("doc_id").cast("bigint")
     keyed = docs.select(*columns, "text", F.coalesce(doc_id, F.lit(0)).alias("_row_id"), F.xxhash64(doc_id, F.coalesce("text", F.lit(""))).alias("_row_key"))
-    return keyed.join(small(extra), ["_row_id", "_row_key"], "left")
+    keys = ["_row_id", "_row_key"]
+    if extra.count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(extra), keys, "left")
+    bit = F.shiftrightunsigned("_row_key", 64 - MARK_BITS)
+    row, spot = F.shiftrightunsigned(bit, ROW_BITS).alias("_mark"), bit.bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    bits = extra.select(row, spot.alias("_spot")).groupBy("_mark").agg(F.bitmap_construct_agg("_spot").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, (spot % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = keyed.withColumn("_mark", row).join(F.broadcast(bits), "_mark", "left").withColumn("_hit", hit).drop("_mark", "_bits")  # at most 2 ** (MARK_BITS - ROW_BITS) rows
+    surely = marked.filter(~F.col("_hit")).drop("_hit").withColumn("told", F.lit(None).cast(extra.schema["told"].dataType))
+    return surely.unionByName(marked.filter("_hit").drop("_hit").join(extra, keys, "left"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -241,8 +257,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with spans replaced in `text` by [KIND], revealing words by [TERM] or by nothing, and n_chars set to the new length.
 
     Overlapping spans are replaced once, by what starts first. All other columns and all rows stay; a null
-    text stays null. Texts are read twice and not shuffled unless more than BROADCAST_ROWS rows have
-    revealing words.
+    text stays null. Texts are read twice; where more than BROADCAST_ROWS rows have revealing words, the texts of
+    those rows, and of the few that share a bit with them, are shuffled, and no others.
     """
     extra = terms_by_row(_found(docs), _texts(docs))
     text = F.coalesce("text", F.lit(""))

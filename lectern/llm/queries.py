@@ -93,7 +93,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes taken as 8-bit samples; ids divisible by 50 are the recordings searched for."""
     recordings = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("samples"))
-    found = audio_fingerprint.best_matches(audio_fingerprint.fingerprint(recordings), F.col("key") % 50 == 0)
+    found = audio_fingerprint.matches(audio_fingerprint.fingerprint(recordings), F.col("key") % 50 == 0)
     return found.withColumnsRenamed({"key": "doc_id", "query": "query_id"})
 
 

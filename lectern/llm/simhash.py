@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lectern.llm.common import durable, slices
+from lectern.llm.common import Scratch, durable, slices
 from lectern.llm.components import components
 
 SEED = 42
@@ -341,11 +341,11 @@ def prefixes(docs: DataFrame, words_each: int) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc_id bigint, row_key bigint, node bigint, n bigint, bits binary, prefix array<bigint>")
 
 
-def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """node and text, once each, for `rows` (row_key, node); checkpointed."""
-    rows = durable(rows)
+def texts_of(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and text, once each, for `rows` (row_key, node); written."""
+    rows = scratch.keep(rows)
     rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    return durable(_keyed(docs).join(rows, "row_key").dropDuplicates(["row_key"]).select("node", F.coalesce("text", F.lit("")).alias("text")))
+    return scratch.keep(_keyed(docs).join(rows, "row_key").dropDuplicates(["row_key"]).select("node", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def exact_forest(sets: list[np.ndarray], n: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -359,7 +359,7 @@ def exact_forest(sets: list[np.ndarray], n: np.ndarray, bits: list[bytes], root:
     return found
 
 
-def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
+def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int, scratch: Scratch) -> DataFrame:
     """(a, b): links that connect all pairs of nodes (node, row_key, n, bits, prefix) whose sets reach ALIKE, and no others.
 
     Such a pair has a shingle of its prefixes in common, so it is together in a list. Each member of a list
@@ -379,12 +379,13 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
             keep = set_in(sent.value, lists)
             yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(lists[keep])], names=["node", "list"])
 
-    posted = durable(nodes.select("node", "prefix").mapInArrow(post, "node bigint, list bigint"))
+    posted = scratch.keep(nodes.select("node", "prefix").mapInArrow(post, "node bigint, list bigint"))
     # Lists of one member are dropped, and of lists with equal members one stays: told by two 64-bit sums, so that no list is gathered.
     sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in range(2)]
     several = posted.groupBy("list").agg(F.min("node").alias("least"), F.count("*").alias("n"), *sums).filter("n > 1")
-    once = durable(several.groupBy("least", "n", "sum0", "sum1").agg(F.min("list").alias("list")).select("list", "least"))
-    members = durable(posted.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "list").select("list", "least", "node"))
+    once = scratch.keep(several.groupBy("least", "n", "sum0", "sum1").agg(F.min("list").alias("list")).select("list", "least"))
+    members = scratch.keep(posted.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "list").select("list", "least", "node"))
+    scratch.drop(posted, once)
     keys = nodes.select("row_key", "node")
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     end = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
@@ -404,15 +405,18 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
 
     def verified(likely: DataFrame) -> DataFrame:
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = texts_of(docs, keys.join(ends, "node", "left_semi").select("row_key", "node"))
+        texts = texts_of(docs, keys.join(ends, "node", "left_semi").select("row_key", "node"), scratch)
         read = likely.join(text(texts, "a"), "a").join(text(texts, "b"), "b").select("a", "b", "text_a", "text_b")
-        return durable(read.mapInArrow(compare, "a bigint, b bigint"))
+        found = scratch.keep(read.mapInArrow(compare, "a bigint, b bigint"))
+        scratch.drop(texts)
+        return found
 
-    first = verified(durable(sized.mapInArrow(unlike_left_out, "a bigint, b bigint")))
+    first = verified(scratch.keep(sized.mapInArrow(unlike_left_out, "a bigint, b bigint")))
 
     named = members.join(components(first), "node", "left").select("list", "node", F.coalesce("root", "node").alias("root"))
     apart = named.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("list")
-    left = durable(named.join(apart, "list", "left_semi"))
+    left = scratch.keep(named.join(apart, "list", "left_semi"))
+    scratch.drop(members)
     counted = left.groupBy("list").agg(F.count("*").alias("size"))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,7 +427,7 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
 
     short = left.join(counted.filter(F.col("size") <= SHORT_LIST).select("list"), "list", "left_semi").join(nodes.select("node", "n", "bits"), "node")
     short = short.repartition("list").sortWithinPartitions("list").select("list", "node", "root", "n", "bits")
-    second = verified(durable(short.mapInArrow(within, "a bigint, b bigint").distinct()))
+    second = verified(scratch.keep(short.mapInArrow(within, "a bigint, b bigint").distinct()))
 
     cuts = counted.filter(F.col("size") > SHORT_LIST).select("list", F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("node", "list"), "cuts").cast("int")
@@ -444,8 +448,8 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
 
     sized_rows = squares.join(nodes.select("node", "n", "bits"), "node").select(*square, "own", "node", "root", "n", "bits")
     kind = "list bigint, low int, high int, own int, node bigint, root bigint, n bigint, bits binary"
-    open_lists = durable(sized_rows.repartition(*square).sortWithinPartitions(*square, "root", "node").mapInArrow(partners, kind))
-    more = texts_of(docs, keys.join(open_lists.select("node").distinct(), "node", "left_semi").select("row_key", "node"))
+    open_lists = scratch.keep(sized_rows.repartition(*square).sortWithinPartitions(*square, "root", "node").mapInArrow(partners, kind))
+    more = texts_of(docs, keys.join(open_lists.select("node").distinct(), "node", "left_semi").select("row_key", "node"), scratch)
     whole = open_lists.join(more, "node").repartition(*square).sortWithinPartitions(*square, "root", "node").select(*square, "own", "node", "root", "n", "bits", "text")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,24 +464,32 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
     return first.unionByName(second).unionByName(whole.mapInArrow(search, "a bigint, b bigint")).distinct()
 
 
-def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
-
-    Components are those of all pairs whose sets of shingles reach the Jaccard similarity ALIKE. Of rows that
-    repeat in both id and text one stays. All columns of `docs` are returned; an empty table gives an empty result.
-    """
-    found = durable(prefixes(docs, words_each))
+def _kept(docs: DataFrame, words_each: int, scratch: Scratch) -> tuple[DataFrame, Column]:
+    """_kept_id and _kept_key of the rows that stay, and which rows must be looked for among them."""
+    found = scratch.keep(prefixes(docs, words_each))
     again = marked(marks(found.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "node")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
     alone = found.filter(~again).select("node", own.alias("first"), "n", "bits", "prefix")
     grouped = found.filter(again).groupBy("node").agg(F.min(own).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    per_node = durable(alone.unionByName(grouped))
-    roots = components(exact_links(per_node.select("node", F.col("first.row_key").alias("row_key"), "n", "bits", "prefix"), docs, words_each))
+    per_node = scratch.keep(alone.unionByName(grouped))
+    rows = scratch.keep(found.groupBy("row_key").agg(F.count("*").alias("n")))
+    scratch.drop(found)
+    roots = components(exact_links(per_node.select("node", F.col("first.row_key").alias("row_key"), "n", "bits", "prefix"), docs, words_each, scratch))
     kept = per_node.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = durable(kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.row_key").alias("_kept_key")))
     # Rows that are kept and not repeated need no join; the others, and those that share a bit with them, do.
-    times = found.groupBy("row_key").agg(F.count("*").alias("n")).join(kept.select(F.col("_kept_key").alias("row_key"), F.lit(True).alias("stays")).distinct(), "row_key", "left")
-    doubtful = marked(marks(times.filter("n > 1 or stays is null"), "row_key"), "_kept_key")
+    times = rows.join(kept.select(F.col("_kept_key").alias("row_key"), F.lit(True).alias("stays")).distinct(), "row_key", "left")
+    return kept, marked(marks(times.filter("n > 1 or stays is null"), "row_key"), "_kept_key")
+
+
+def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
+
+    Components are those of all pairs whose sets of shingles reach the Jaccard similarity ALIKE. Of rows that
+    repeat in both id and text one stays. All columns of `docs` are returned; an empty table gives an empty result.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        kept, doubtful = _kept(docs, words_each, scratch)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_kept_id"), F.xxhash64("doc_id", "text").alias("_kept_key"))
     joined = rows.filter(doubtful).join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"])

@@ -160,6 +160,46 @@ def test_binomial_tail_and_guarantee(spark):
     assert sum(not kept[i] for i, *_ in good) <= quality_rules.RISK * len(good)
 
 
+def test_rules_query_equals_brute_force(spark, sf):
+    """Cutoffs from sums of binomial terms over all labelled good rows, and every verdict by them."""
+    from math import comb
+
+    rows = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    good = {r["doc_id"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["quality"] == 1}
+    space = " \t\n\v\f\r"
+
+    def values(text):
+        words, lines = [w for w in re.split(f"[{space}]+", text) if w], [x for x in text.split("\n") if x.strip(space)]
+        chars, repeats = sum(map(len, words)), brute_stats(text)[4]
+        count = lambda signs: sum(c in signs for c in text)
+        part = lambda a, b: a / b if b else None
+        n = len(words)
+        return n, repeats, {
+            "symbols": part(count("#*$%&|<>"), n), "exclaims": part(count("!"), n), "upper": part(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), chars),
+            "dup_lines": part(len(lines) - len(set(lines)), len(lines)), "repeats": part(repeats, n), "word_length": part(chars, n),
+        }
+
+    told = [(r["doc_id"], r["lang"] or "", *values(r["text"] or "")) for r in rows]
+    grid = {name: cuts for name, (_, cuts) in quality_rules.rules().items()}
+    langs = {lang for i, lang, *_ in told if i in good}
+    risk, level, cutoff = quality_rules.RISK / len(grid), quality_rules.DELTA / (len(grid) * len(langs)), {}
+    for lang in langs:
+        own = [v for i, x, _, _, v in told if x == lang and i in good]
+        for name, cuts in grid.items():
+            for cut in cuts:
+                k = sum(v[name] is not None and v[name] > cut for v in own)
+                if sum(comb(len(own), j) * risk**j * (1 - risk) ** (len(own) - j) for j in range(k + 1)) > level:
+                    break
+                cutoff[lang, name] = cut
+    want = {}
+    for i, lang, n, repeats, v in told:
+        failed = [name for name in grid if (lang, name) in cutoff and v[name] is not None and v[name] > cutoff[lang, name]]
+        base = n < 50 or 100 * repeats > 50 * n
+        want[i] = (base, not base and not failed, ",".join(failed))
+    got = {r.doc_id: (r.base_failed, r.kept, r.failed_rules) for r in queries.op3_quality_rules(spark, sf).collect()}
+    assert got == want
+
+
 def test_rules_on_odd_rows(odd, labels, docs):
     rows = quality_rules.apply_rules(odd, labels).collect()
     assert len(rows) == len(ODD) and all(r.base_failed for r in rows if r.doc_id in (1, 2, 3))
@@ -301,29 +341,69 @@ def test_simhash_on_odd_rows(odd):
 
 # 6 URL filters
 
-URLS = [None, "", "no scheme/fr/", "HTTP://Shop.Example.COM/fr/1?x", "http://a.org", "http://a.org/", "https://x.example.org/es/9#a", "x://example.org/en/123", "https://notexample.org/en/1", "http://cheap-pills.example.net/", "http://b.net/?q=CASINO", "http://b.net/casinos", "http://free.online.poker.com/de/a", "a://b\nc.com/fr/x"]
+URLS = [
+    None, "", "no scheme/fr/", "HTTP://Shop.Example.COM/fr/1?x", "http://a.org", "http://a.org/", "https://x.example.org/es/9#a", "x://example.org/en/123", "https://notexample.org/en/1",
+    "http://cheap-pills.example.net/", "http://b.net/?q=CASINO", "http://b.net/casinos", "http://free.online.poker.com/de/a", "a://b\nc.com/fr/x",
+    "http://ads.b.net/x", "http://loads.b.net/x", "http://x.ads.b.net", "http://b.net/ads/a/b.js?v=1", "http://b.net/ads.js", "http://b.net/a.EXE", "http://b.net/a.exe?x", "ftp://b.net/", "http://b.net/ftp://",
+    "http://b.net/health/2/casino-safety", "http://casino.library.net/", "http://a.click/x", "http://b.net/click", "http://b.net/?affiliate_id=3", "http://b.net/?xaffiliate_id=3", "http://b.net/redirect?a=1&url=http://c", "http://b.net/feed/", "http://b.net/feed/x",
+]
+
+
+def url_verdict(url, patterns):
+    """By every host rule and every pattern."""
+    url = url or ""
+    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+    low = lambda s: re.sub("[A-Z]", lambda x: x.group().lower(), s)
+    host, path = (low(m[1]), m[2]) if m else ("", "")
+    fits = [x for x in url_filter.HOST_RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+    best = max(fits, key=lambda x: len(x.name), default=None)
+    said = {p.verdict for p in patterns if re.search(p.regex.removesuffix("$") + r"\Z" if p.regex.endswith("$") else p.regex.replace("|$)", r"|\Z)"), low(url))}
+    return host, path, best and best.name, best.verdict if best else "block" if said == {"block"} else "allow"
 
 
 def test_urls_against_every_rule(spark):
     rows = url_filter.judge(spark.createDataFrame(list(enumerate(URLS)), "page_id int, url string")).collect()
+    assert len(rows) == len(URLS)
     for r in rows:
-        url = r.url or ""
-        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
-        low = lambda s: re.sub("[A-Z]", lambda x: x.group().lower(), s)
-        host, path = (low(m[1]), m[2]) if m else ("", "")
-        fits = [x for x in url_filter.HOST_RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
-        best = max(fits, key=lambda x: len(x.name), default=None)
-        own = "block" if any(re.search(p.regex, low(url)) for p in url_filter.PATTERNS) else "allow"
-        assert (r.host, r.path, r.rule, r.verdict) == (host, path, best and best.name, best.verdict if best else own), url
+        assert (r.host, r.path, r.rule, r.verdict) == url_verdict(r.url, url_filter.PATTERNS), r.url
+    told = {r.url: r.verdict for r in rows}
+    assert [told[u] for u in URLS[14:]] == ["block", "allow", "block", "block", "allow", "block", "allow", "block", "allow", "allow", "allow", "block", "allow", "block", "allow", "block", "block", "allow"]
+
+
+@pytest.mark.parametrize(("line", "tokens"), [("||ads.example.com^", ("ads", "example", "com")), ("/banner/*/img", ("banner",)), ("ad*", ()), ("|https://a.b|", ("https", "a", "b")), ("@@/x-y/", ("x", "y")), ("foo^bar", ()), ("*foo*", ())])
+def test_tokens_of_filter_lines(line, tokens):
+    assert url_filter.rule(line).tokens == tokens and url_filter.rule(line).verdict == ("allow" if line[0] == "@" else "block")
+
+
+def test_filter_lines_that_match_everything_are_refused():
+    for line in ("", "*", "||", "@@", "|*|"):
+        with pytest.raises(ValueError):
+            url_filter.rule(line)
 
 
 def test_patterns_are_filed_under_rare_tokens(spark):
-    pages = spark.createDataFrame([("http://free.com/a",)] * 5 + [("http://casino.com/",)], "url string").withColumn("host", F.lit("clash"))
-    filed = url_filter.file_patterns(pages, url_filter.PATTERNS)
-    assert any(p.tokens == ("free", "casino") for p in filed["casino"]) and "free" not in {t for t, ps in filed.items() if any(p.tokens == ("free", "casino") for p in ps)}
+    pages = spark.createDataFrame([(f"http://free.com/{i}",) for i in range(5)] + [("http://casino.com/",)] * 3, "url string").withColumn("host", F.lit("clash")).withColumn("_patterns", F.lit("clash"))
+    rules = url_filter.rule_table(spark, (*url_filter.PATTERNS, url_filter.rule("ad*")))
+    tokens = pages.distinct().select("url", F.explode(url_filter.url_tokens(F.col("url"))).alias("token"))
+    filed = {r.regex: r.token for r in url_filter.file_rules(tokens, rules).collect()}
+    assert filed[url_filter.phrase("block", "free", "casino").regex] == "casino" and filed[url_filter.rule("ad*").regex] == ""
+    pages = pages.drop("_patterns")
     assert url_filter.judge(pages.limit(0)).count() == 0 and url_filter.judge(pages, (), ()).filter("verdict <> 'allow' or rule is not null").count() == 0
     plan = url_filter.judge(pages)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Exchange" not in plan
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_fifty_thousand_rules(spark):
+    """A URL is held against the few rules that its tokens fetch."""
+    lines = [f"||site{i}.net^" for i in range(25_000)] + [f"/path{i}/*/x{i % 7}^" for i in range(24_999)] + ["ZZ*end|"]
+    patterns = [url_filter.rule(line) for line in lines]
+    rules = spark.createDataFrame([(p.verdict, list(p.tokens), p.regex) for p in patterns], "verdict string, tokens array<string>, regex string")
+    urls = [f"http://{'a.' if i % 2 else ''}site{i * 7}.net/b" for i in range(2_000)] + [f"http://c.net/path{i}/y/x{i % 5}" for i in range(2_000)] + ["http://c.net/zz/the-end", "http://c.net/zz/the-end?"]
+    start = time.time()
+    got = {r.url: r.verdict for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), (), rules).collect()}
+    assert time.time() - start < 120
+    want = lambda u: "block" if (m := re.search(r"site(\d+)", u)) and int(m[1]) < 25_000 or (m := re.search(r"path(\d+)/y/x(\d)$", u)) and int(m[1]) % 7 == int(m[2]) or u.endswith("-end") else "allow"
+    assert got == {u: want(u) for u in urls}
 
 
 # 7 classifier
@@ -359,24 +439,74 @@ def test_classifier_reads_no_forbidden_column(docs, labels, odd):
 # 8 audio
 
 
-def test_recordings_align(spark):
+def tune(rng, n):
+    hz = rng.choice(440 * 2 ** (np.arange(12) / 12), n)
+    return np.concatenate([128 + 90 * np.sin(2 * np.pi * f * np.arange(1024) / af.RATE) for f in hz]).astype(np.uint8)
+
+
+@pytest.fixture(scope="module")
+def recordings(spark):
     rng = np.random.default_rng(0)
-    def tune(n):
-        hz = rng.choice(440 * 2 ** (np.arange(12) / 12), n)
-        return np.concatenate([128 + 90 * np.sin(2 * np.pi * f * np.arange(1024) / af.RATE) for f in hz]).astype(np.uint8)
-    a, b = tune(40), tune(40)
-    cut = a[10 * af.HOP :]
+    a, b = tune(rng, 40), tune(rng, 40)
     noisy = np.clip(a + rng.normal(0, 3, len(a)), 0, 255).astype(np.uint8)
-    rows = [(50, a), (100, b), (1, cut), (2, noisy), (3, b[:100]), (4, np.empty(0, np.uint8)), (5, b), (150, a)]
-    recordings = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in rows] + [(6, None), (None, bytearray(a.tobytes()))], "doc_id bigint, samples binary")
+    steady = np.tile(tune(rng, 1), 300)
+    rows = [
+        (50, a), (100, b), (1, a[10 * af.HOP :]), (2, noisy), (3, b[:100]), (4, np.empty(0, np.uint8)), (5, b), (150, a), (200, noisy[: 20 * af.HOP]), (250, steady), (7, steady[: 9_000]), (8, np.concatenate([b, a])),
+        (300, b[:100]), (9, b[:101]), (10, np.full(5_000, 128, np.uint8)), (350, np.full(9_000, 128, np.uint8)),
+    ]
+    given = [(i, bytearray(x.tobytes()), *["clash"] * 3) for i, x in rows] + [(6, None, *["clash"] * 3), (None, bytearray(a.tobytes()), *["clash"] * 3)]
+    return spark.createDataFrame(given, "doc_id bigint, samples binary, key string, prints string, h string")
+
+
+def brute_links(prints, queries):
+    """For one recording: votes, query, offset, wrong and compared bits of all queries, by every pair of places."""
+    out, starts = [], lambda p: [i for i in range(len(p)) if i == 0 or p[i] != p[i - 1]]
+    for name, other in queries.items():
+        votes = Counter(j - i for i in starts(prints) for j in starts(other) if prints[i] == other[j])
+        if votes:
+            shift, n = min(votes.items(), key=lambda x: (-x[1], x[0]))
+            pairs = [(prints[i], other[i + shift]) for i in range(len(prints)) if 0 <= i + shift < len(other)]
+            wrong = sum((x ^ y).bit_count() for x, y in pairs)
+            if wrong <= af.MOST_ERROR * 32 * len(pairs):
+                out.append((n, -wrong, -name, shift, len(pairs) * 32))
+    return out
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_recordings_align_as_by_brute_force(recordings, sent):
     prints = af.fingerprint(recordings)
-    for block in (1_000_000, 10):
-        got = {r.key: r for r in af.best_matches(prints, F.col("key") % 50 == 0, block).collect()}
-        assert len(got) == 10 and got[1].query == 50 and got[1].offset == 10 and got[1].bit_error == 0 and got[1].same
-        assert got[2].query == 50 and got[2].offset == 0 and got[2].same
-        assert (got[50].query, got[150].query, got[5].query, got[None].query) == (150, 50, 100, 50)
-        assert [got[k].query for k in (3, 4, 6)] == [None] * 3 and got[4].n_prints == 0 and not got[4].same
-    assert af.best_matches(af.fingerprint(recordings.limit(0)), F.col("key") % 50 == 0).count() == 0
+    own = [(r.key, tuple(r.prints)) for r in prints.collect()]
+    queries = {}
+    for key, p in sorted(own, key=repr):
+        if key is not None and key % 50 == 0 and p:
+            queries[p] = min(key, queries.get(p, key))
+    got = {r.key: r for r in af.matches(prints, F.col("key") % 50 == 0, sent_bytes=sent).collect()}
+    assert len(got) == len(own)
+    for key, p in own:
+        others = {n: list(q) for q, n in queries.items() if not (q == p and n == key and sum(k is not None and k % 50 == 0 and o == p for k, o in own) == 1)}
+        links = brute_links(list(p), others) if p else []
+        r = got[key]
+        assert (r.n_links, r.queries, r.same) == (len(links), sorted(-x[2] for x in links), bool(links)), key
+        if links:
+            votes, right, minus, shift, bits = max(links)
+            assert (r.votes, r.query, r.offset) == (votes, -minus, shift) and r.bit_error == pytest.approx(-right / bits)
+        assert r.class_id == min((k for k, o in own if o == p and k is not None), default=None) if p else r.class_id is None
+    assert got[1].query in (50, 200) and 50 in got[1].queries and 50 in got[2].queries and {50, 100} <= set(got[8].queries) and got[9].n_prints == 1
+    assert af.matches(prints.limit(0), F.col("key") % 50 == 0).count() == 0
+
+
+def test_audio_query_equals_brute_force(spark, sf):
+    rows = queries.op8_audio_fingerprints(spark, sf).collect()
+    prints = {r["doc_id"]: af.packed(af.chroma(np.frombuffer((r["text"] or "").encode(), np.uint8))) for r in texts(sf)}
+    asked = {}
+    for k, p in sorted(prints.items()):
+        if k % 50 == 0 and len(p):
+            asked.setdefault(tuple(p.tolist()), k)
+    assert len(rows) == len(prints)
+    for r in rows:
+        p = tuple(prints[r.doc_id].tolist())
+        others = {n: list(q) for q, n in asked.items() if not (q == p and n == r.doc_id and sum(k % 50 == 0 and tuple(o.tolist()) == p for k, o in prints.items()) == 1)}
+        assert r.queries == sorted(-x[2] for x in brute_links(list(p), others)) if p else r.queries == [], r.doc_id
 
 
 def test_filters_against_plain_sums():
