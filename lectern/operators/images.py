@@ -158,6 +158,43 @@ def preprocess_images(scans: DataFrame, config: PreConfig, keep: list[str]) -> D
     return rows.mapInArrow(run, f"{kept}, white_share double, tag string, pixels binary")
 
 
+def sway(image: np.ndarray) -> float:
+    """How far a column's centre of brightness lies from the columns' mean at most, in rows."""
+    light = np.maximum(image - np.percentile(image, BACKGROUND), 0)
+    centre = (light * np.indices(image.shape)[0]).sum(axis=0) / (light.sum(axis=0) + 1e-6)
+    return float(np.abs(centre - centre.mean()).max())
+
+
+def step_report(scans: DataFrame, config: PreConfig, keep: list[str]) -> DataFrame:
+    """What each step makes of a scan, to look bad scans up by: `keep`, band_first and band_last (rows of the band), n_rows (after the crop),
+    sway_before and sway_after (straightening), low and high (least and greatest byte of the frame), top and bottom (the frame's rows that are not black). Map-only.
+
+    A scan whose bytes are missing or not width x height has nulls.
+    """
+    rows = scans.select(*keep, "width", "height", F.col("pixels").alias("_pixels"))
+    names = ["band_first", "band_last", "n_rows", "sway_before", "sway_after", "low", "high", "top", "bottom"]
+
+    def measured(image: np.ndarray) -> list:
+        dark = np.where(border_white(image), 0.0, image)
+        cut = crop_band(image) if config.crop else image
+        frame = np.round(preprocess(image, config) * 255).astype(int)
+        lit = np.flatnonzero(frame.any(axis=1))
+        level = [sway(cut), sway(straighten(cut))] if cut.size else [None, None]
+        return [*band(dark), len(cut), *level, int(frame.min()), int(frame.max()), *([int(lit[0]), int(lit[-1])] if len(lit) else [None, None])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                w, h, raw = (one[c][0].as_py() for c in ("width", "height", "_pixels"))
+                got = measured(np.frombuffer(raw, np.uint8).reshape(h, w).astype(float)) if raw and w and h and len(raw) == w * h else [None] * len(names)
+                kinds = [pa.float64() if n.startswith("sway") else pa.int64() for n in names]
+                yield pa.RecordBatch.from_arrays([*one.columns[: len(keep)], *(pa.array([x], t) for x, t in zip(got, kinds, strict=True))], names=[*keep, *names])
+
+    kept = ", ".join(f"`{c}` {scans.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{kept}, {', '.join(f'{n} double' if n.startswith('sway') else f'{n} bigint' for n in names)}")
+
+
 def build_cache(scans: DataFrame, config: PreConfig, path: str) -> None:
     """Preprocessed scans (name, label, split, width, height, pixels) as one Parquet folder per tag and split."""
     preprocess_images(scans, config, ["name", "label", "split"]).write.mode("append").partitionBy("tag", "split").parquet(path)

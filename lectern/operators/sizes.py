@@ -17,3 +17,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def hinted(df: DataFrame, most: int, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The same where a bound on df's rows is known already, so that df is not computed to be counted."""
     return F.broadcast(df) if most <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer.
+
+    A Parquet file is read by as many tasks as it has row groups at most, so a small table of one row group would
+    be one core's work. Tables of many files are left as they are, and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

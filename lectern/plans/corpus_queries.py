@@ -244,6 +244,21 @@ def _(spark, sf):
     return corpus.parse_articles(batch).select("pmcid", "journal", "license", F.col("sections")[0]["heading"].alias("heading"), F.col("sections")[0]["text"].alias("body"))
 
 
+FIELDS = """concat('<article><front><journal-meta><journal-title>J ', source, '</journal-title></journal-meta><article-meta><article-id pub-id-type="doi"> 10.5/', doc_id, ' </article-id><article-id pub-id-type="pmid">1</article-id>
+<title-group><article-title>T <i>', lang, '</i> x</article-title></title-group><permissions><license license-type="open"><license-p>see https://creativecommons.org/licenses/by/4.0/ now</license-p></license></permissions>
+<abstract><p>Short <xref>[2]</xref>, of ', doc_id, '.</p></abstract></article-meta></front><body><sec><title>A</title><p>', replace(replace(regexp_replace(text, '[\\\\x00-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F]', ''), '&', '&amp;'), '<', '&lt;'),
+'</p><fig><p>left out</p></fig><sec><title>B</title><p>In<table-wrap>no</table-wrap>side.</p></sec><sec><title>C</title></sec></sec></body></article>')"""
+
+
+@book.add("c1_article_fields", r"SELECT 'PMC' || doc_id AS pmcid, 'T ' || lang || ' x' AS title, '10.5/' || doc_id AS doi, 'CC BY 4.0' AS license, 'J ' || source AS journal, 'Short, of ' || doc_id || '.' AS abstract, CASE WHEN body = '' THEN 'Abstract|A > B' ELSE 'Abstract|A|A > B' END AS headings, md5(body) AS body_md5 FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+([.,;:)])', '\1', 'g') AS body FROM documents)")
+def _(spark, sf):
+    """All fields of articles with nested sections, floats and citation marks."""
+    batch = v.table(spark, sf, "documents").select(F.concat(F.lit("PMC"), "doc_id").alias("pmcid"), F.expr(FIELDS).alias("xml"))
+    a = corpus.parse_articles(batch)
+    body = F.array_join(F.transform(F.filter("sections", lambda s: s["heading"] == "A"), lambda s: s["text"]), "")
+    return a.select("pmcid", "title", "doi", "license", "journal", F.col("sections")[0]["text"].alias("abstract"), F.array_join(F.transform("sections", lambda s: s["heading"]), "|").alias("headings"), F.md5(body).alias("body_md5"))
+
+
 CUT = XML.replace("<xref>[1]</xref> .</p></sec></body></article>'", "<xref>[1]</xref> .' || element_at(array('', '</p>&nosuch;</b></sec>', '</p></sec></body></article', '</p><sec><title>Two</title><p>Left &amp; open'), CAST(doc_id % 4 AS INT) + 1)")
 
 

@@ -57,9 +57,10 @@ def _(spark, sf):
     return v.passages(spark, sf).select(*KEYS, F.md5(lx.passage_text(model, F.col("section"), F.col("text"))).alias("label_md5"))
 
 
-@book.add("x2_embed")
+@book.add("x2_embed", f"{P}, {v.POLY}, {v.sql_vectors('vectors', 'passages', 'doc_id, chunk_index', 'text')} SELECT doc_id, chunk_index, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END), '') AS signs FROM vectors")
 def _(spark, sf):
-    return v.passages(spark, sf).select(*KEYS, embedder()(F.col("text")).alias("embedding"))
+    sign = lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0")
+    return v.passages(spark, sf).select(*KEYS, F.array_join(F.transform(embedder()(F.col("text")), sign), "").alias("signs"))
 
 
 @book.add("x3_normalise", "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")

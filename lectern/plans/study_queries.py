@@ -108,12 +108,13 @@ def _(spark, sf):
     return qs.first_of_similar(docs, "doc_id", pairs, members)
 
 
-@book.add("q8_same_meaning", f"""WITH RECURSIVE n AS MATERIALIZED (SELECT embedding AS w, min(vec_id) AS a FROM embeddings GROUP BY 1), u AS MATERIALIZED (SELECT a, list_transform(w, lambda x: x::DOUBLE / sqrt(list_inner_product(w::DOUBLE[], w::DOUBLE[]))) AS w FROM n),
+@book.add("q8_same_meaning", f"""WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i = label + 1 THEN 2 ELSE 0 END) AS w FROM embeddings), n AS MATERIALIZED (SELECT w, min(vec_id) AS a FROM e GROUP BY 1), u AS MATERIALIZED (SELECT a, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS w FROM n),
 p AS MATERIALIZED (SELECT x.a, y.a AS b FROM u x JOIN u y ON x.a < y.a WHERE round(list_inner_product(x.w, y.w), 6) >= {qs.DUPLICATE}), {WALK}, c AS (SELECT a, count(*) AS links FROM (SELECT a FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
-SELECT vec_id, n.a AS class_id, coalesce(links, 0) AS n_links, n.a = vec_id AND n.a NOT IN (SELECT x FROM gone) AS kept FROM embeddings e JOIN n ON n.w = e.embedding LEFT JOIN c ON c.a = n.a""")
+SELECT vec_id, n.a AS class_id, coalesce(links, 0) AS n_links, n.a = vec_id AND n.a NOT IN (SELECT x FROM gone) AS kept FROM e JOIN n USING (w) LEFT JOIN c ON c.a = n.a""")
 def _(spark, sf):
-    """Embeddings as those of questions, accepted in order of their ids unless they say the same as one accepted earlier."""
-    return qs.same_meaning(v.table(spark, sf, "embeddings"), "vec_id", "embedding")
+    """Embeddings, drawn towards the axis of their label, as those of questions: accepted in order of their ids unless they say the same as one accepted earlier."""
+    drawn = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("label"), 2.0).otherwise(0.0))
+    return qs.same_meaning(v.table(spark, sf, "embeddings").select("vec_id", drawn.alias("embedding")), "vec_id", "embedding")
 
 
 SAID = v.sql_sentences("answer")
@@ -132,14 +133,25 @@ def _(spark, sf):
     return _candidates(spark, sf).select("id", qs.about_one_study(said).alias("one_study"), F.size(qs.stating(said, F.col("answer"))).cast("bigint").alias("n_stating"))
 
 
-@book.add("q8_relevance")
+@book.add("q8_relevance", f"WITH {CAND}, {v.POLY}, {v.sql_vectors('asked', 'cand', 'id', 'question')}, {v.sql_vectors('said', 'cand', 'id', 'answer')} SELECT id, list_inner_product(q.v, a.v) / sqrt(list_inner_product(q.v, q.v)::DOUBLE * list_inner_product(a.v, a.v)) >= {qs.MIN_RELEVANCE} AS relevant FROM asked q JOIN said a USING (id)")
 def _(spark, sf):
     embed = embedder()
     c = _candidates(spark, sf).select("id", embed(F.col("question")).alias("q"), embed(F.col("answer")).alias("a"))
     return c.select("id", qs.relevant_to_own(F.col("q"), F.col("a")).alias("relevant"))
 
 
-@book.add("q9_accept")
+#: Candidates in seeded order, each taken if its article, subspecialty and category allow it and the promised ones still fit in.
+ACCEPT = f"""WITH RECURSIVE {CAND}, o AS MATERIALIZED (SELECT id, doc_id, subspecialty AS s, category AS c, row_number() OVER (ORDER BY md5('0|' || id), id) AS i FROM cand),
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS ids, []::VARCHAR[] AS docs, []::VARCHAR[] AS subs, []::VARCHAR[] AS cats
+  UNION ALL
+  SELECT n.i, CASE WHEN fits THEN list_append(ids, n.id) ELSE ids END, CASE WHEN fits THEN list_append(docs, n.doc_id) ELSE docs END, CASE WHEN fits THEN list_append(subs, n.s) ELSE subs END, CASE WHEN fits THEN list_append(cats, n.c) ELSE cats END
+  FROM (SELECT o.*, w.ids, w.docs, w.subs, w.cats, len(ids) < 30 AND NOT list_contains(docs, o.doc_id) AND len(list_filter(subs, lambda x: x = o.s)) < 6 AND len(list_filter(cats, lambda x: x = o.c)) < CASE WHEN o.c = 'c0' THEN 5 ELSE 10 END
+      AND 29 - len(ids) >= greatest(0, 4 - len(list_filter(cats, lambda x: x = 'c1')) - CASE WHEN o.c = 'c1' THEN 1 ELSE 0 END) AS fits
+    FROM walk w JOIN o ON o.i = w.i + 1) n)
+SELECT unnest(ids) AS id FROM walk WHERE i = (SELECT max(i) FROM walk)"""
+
+
+@book.add("q9_accept", ACCEPT)
 def _(spark, sf):
     limits = qs.quotas(30, [f"c{k}" for k in range(5)], caps={"c0": 5}, floors={"c1": 4})
     return qs.accept(_candidates(spark, sf), 30, limits, "id")
@@ -289,6 +301,50 @@ def _(spark, sf):
     return made.select("p_partkey", F.round("white_share", 6).alias("white_share"), "tag", F.length("pixels").alias("n_bytes"))
 
 
+def _flat(spark, sf):
+    """A scan of each part with a level band, 96 x 64: it begins in row 20 + p_size % 5 and has 10 + p_size % 7 rows."""
+    row = lambda y: F.repeat(F.when((y >= 20 + F.col("p_size") % 5) & (y < 30 + F.col("p_size") % 5 + F.col("p_size") % 7), "B4").otherwise("14"), F.lit(96))
+    drawn = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), row), ""))
+    return v.table(spark, sf, "part").select("p_partkey", F.lit(96).alias("width"), F.lit(64).alias("height"), drawn.alias("pixels"))
+
+
+def _graded(spark, sf):
+    """A scan of each part that grows brighter from left to right, from 40 + p_size on, 96 x 64."""
+    row = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(95)), lambda x: F.lpad(F.hex((x + 40 + F.col("p_size")).cast("bigint")), 2, "0")), "")
+    return v.table(spark, sf, "part").select("p_partkey", F.lit(96).alias("width"), F.lit(64).alias("height"), F.unhex(F.repeat(row, F.lit(64))).alias("pixels"))
+
+
+@book.add("i2_band", "SELECT p_partkey, 19 + p_size % 5 AS band_first, 30 + p_size % 5 + p_size % 7 AS band_last FROM part")
+def _(spark, sf):
+    """The band of level scans; smoothing over three rows adds one on either side."""
+    return images.step_report(_flat(spark, sf), images.PreConfig(48, 48), ["p_partkey"]).select("p_partkey", "band_first", "band_last")
+
+
+@book.add("i3_crop", "SELECT p_partkey, 12 + p_size % 7 + 2 * floor(0.2 * (12 + p_size % 7))::BIGINT AS n_rows FROM part")
+def _(spark, sf):
+    return images.step_report(_flat(spark, sf), images.PreConfig(48, 48), ["p_partkey"]).select("p_partkey", "n_rows")
+
+
+@book.add("i4_straighten", "SELECT p_partkey, true AS curved, true AS level FROM part")
+def _(spark, sf):
+    """Bright bands along a parabola of 11 rows' height are level within a row and a half after straightening."""
+    made = images.step_report(_drawn(spark, sf), images.PreConfig(48, 48), ["p_partkey"])
+    return made.select("p_partkey", (F.col("sway_before") > 4).alias("curved"), (F.col("sway_after") < 1.5).alias("level"))
+
+
+@book.add("i5_stretch", "SELECT p_partkey, 0 AS low, 255 AS high FROM part")
+def _(spark, sf):
+    """Scans of any brightness fill the whole range."""
+    return images.step_report(_graded(spark, sf), images.PreConfig(96, 64, crop=False), ["p_partkey"]).select("p_partkey", "low", "high")
+
+
+@book.add("i6_fit", "SELECT p_partkey, fit, top, bottom FROM part, (VALUES ('squish', 0, 47), ('letterbox', 8, 39), ('width_crop', 0, 47)) t(fit, top, bottom)")
+def _(spark, sf):
+    """Rows of a frame of 48 x 48 that a scan of 96 x 64 fills."""
+    made = [images.step_report(_graded(spark, sf), images.PreConfig(48, 48, crop=False, fit=fit), ["p_partkey"]).select("p_partkey", F.lit(fit).alias("fit"), "top", "bottom") for fit in images.FITS]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 @book.add("i7_preprocess")
 def _(spark, sf):
     """Band, crop, straightening, stretch and squish of every scan (I2 to I7)."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import chunking
 from lectern.operators.durable import durable, new_folder
-from lectern.operators.sizes import small
+from lectern.operators.sizes import small, spread
 
 #: Signs of the pieces by which texts of two words or fewer find the words that hold them.
 GRAM = 3
@@ -15,7 +15,8 @@ LICENSES = ("CC BY 4.0", "unknown", "CC BY-NC 4.0", "CC0 1.0", "CC BY-ND 4.0")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -130,6 +131,24 @@ def sql_plain(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
 
 
+#: A table of one row with the 256 steps of CRC32, for `sql_crc`.
+POLY = "poly AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps)"
+
+
+def sql_crc(x: str) -> str:
+    """CRC32 of a text's bytes; `steps` of POLY has to be in reach."""
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen({x}) + 1), lambda i: ('0x' || substr(hex({x}), 2 * i - 1, 2))::BIGINT)), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+def sql_vectors(name: str, source: str, keys: str, text: str) -> str:
+    """Queries `name` (keys, v): the whole-numbered vectors of the stand-in embedder before they are scaled."""
+    split = f"list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> '')"
+    return f"""{name}_h AS (SELECT {keys}, {sql_crc('w')} AS h FROM (SELECT {keys}, unnest({split}) AS w FROM {source}), poly),
+{name}_c AS (SELECT {keys}, h % 64 AS axis, sum(CASE WHEN h & 1024 <> 0 THEN 1 ELSE -1 END)::BIGINT AS c FROM {name}_h GROUP BY ALL),
+{name}_m AS (SELECT {keys}, map_from_entries(list((axis, c))) AS m, bool_or(c <> 0) AS uneven FROM {name}_c GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT {keys}, CASE WHEN coalesce(uneven, false) THEN list_transform(range(64), lambda a: coalesce(m[a], 0)) ELSE list_transform(range(64), lambda a: CASE WHEN a = 0 THEN 1 ELSE 0 END) END AS v FROM (SELECT DISTINCT {keys} FROM {source}) LEFT JOIN {name}_m USING ({keys}))"""
+
+
 def sql_shingles(x: str, n: int = 5) -> str:
     w = sql_plain(x)
     return f"list_distinct(list_transform(range(0, greatest(len({w}) - {n}, 0) + 1), lambda i: array_to_string(list_slice({w}, i + 1, i + {n}), ' ')))"
