@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators.durable import delete_folder, durable, new_folder
+from lectern.operators.sizes import spread
 
 __all__ = ["SLICE_ROWS", "Scratch", "durable", "sized", "slices", "table"]
 
@@ -62,4 +63,5 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
