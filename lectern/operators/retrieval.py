@@ -25,10 +25,10 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 50, key: str
     """query_id, `key`, score and rank of the k nearest rows by inner product of every query (query_id, vector).
 
     Few queries are sent to where the rows are and the rows are not moved; more than `sent_bytes` of them meet
-    the rows in blocks (`blocks.against_all`). Scores round to 6 places, ties go by key. Null vectors are left out.
+    the rows in blocks (`blocks.against_all`). Scores round to 6 places, ties go by key. Rows without a key or a vector are left out.
     """
-    rows = vectors.select(F.col(key).cast("bigint").alias("item"), F.col(vector).alias("own")).filter("own is not null")
-    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").alias("asked")).filter("asked is not null")
+    rows = vectors.select(F.col(key).cast("bigint").alias("item"), F.col(vector).alias("own")).filter("own is not null and item is not null")
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vector").alias("asked")).filter("asked is not null and query_id is not null")
 
     def score(held: pa.Table, wanted: pa.Table) -> pa.Table:
         if not held.num_rows or not wanted.num_rows:

@@ -464,7 +464,7 @@ def _(spark, sf):
 
 @book.add("m4_search_calls", f"WITH {MSG}, q AS (SELECT session, turn, role, count(*) FILTER (role = 'user') OVER (PARTITION BY session ORDER BY turn) AS question_no FROM msg) SELECT session, turn, question_no, row_number() OVER (PARTITION BY session, question_no ORDER BY turn) = 1 AS allowed FROM q WHERE role = 'assistant'")
 def _(spark, sf):
-    return an.search_calls(_messages(spark, sf), F.col("role") == "assistant").select("session", "turn", "question_no", "allowed")
+    return an.search_calls(_messages(spark, sf).drop("content"), F.col("role") == "assistant").select("session", "turn", "question_no", "allowed")
 
 
 @book.add("m5_valid_sessions", f"WITH {MSG} SELECT session, arg_max(role, turn) = 'user' AS valid FROM msg GROUP BY 1")

@@ -306,3 +306,31 @@ def test_conversations(spark):
     last = {r.turn: (r.earlier, r.n_earlier) for r in an.earlier_turns(m).collect()}
     assert last[0] == ("", 0) and last[6] == ("user: m2\nassistant: m3\nuser: m4\nassistant: m5", 6)
     assert an.ends_with_user(m).first().valid
+
+
+@pytest.mark.parametrize("partitions", ["1", "9"])
+def test_long_sessions_are_cut_into_ranges(spark, partitions):
+    """A session over many ranges gives what the plain walk gives."""
+    rng = random.Random(5)
+    rows = [(s, t, rng.choice(["user", "assistant", "assistant"]), f"m{t}") for s, n in ((1, 600), (2, 3), (3, 40), (4, 1)) for t in range(n)]
+    m = spark.createDataFrame(rows, "session int, turn int, role string, content string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = {(r.session, r.turn): (r.earlier, r.n_earlier) for r in an.earlier_turns(m).collect()}
+        calls = {(r.session, r.turn): (r.question_no, r.allowed) for r in an.search_calls(m, F.col("role") == "assistant", 2).collect()}
+    finally:
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    seen, want, want_calls = {}, {}, {}
+    for s, t, role, text in rows:
+        own, asked, made = seen.setdefault(s, ([], [0], [0]))
+        if role == "user":
+            want[s, t] = ("\n".join(own[-4:]), len(own))
+            asked[0], made[0] = asked[0] + 1, 0
+        else:
+            made[0] += 1
+            want_calls[s, t] = (asked[0], made[0] <= 2)
+        own.append(f"{role}: {text}")
+    assert told == want and calls == want_calls
