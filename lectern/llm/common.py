@@ -9,10 +9,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.operators.durable import delete_folder, durable, new_folder
+from lectern.operators.durable import durable
 from lectern.operators.sizes import spread
 
-__all__ = ["SLICE_ROWS", "Scratch", "durable", "sized", "slices", "table"]
+__all__ = ["SLICE_ROWS", "durable", "sized", "slices", "table"]
 
 #: Rows that a Python task turns into Python objects at once; bounds its memory, never what it reads.
 SLICE_ROWS = 256
@@ -36,32 +36,6 @@ def sized(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator
             start, done = stop, int(size[stop - 1])
 
 
-class Scratch:
-    """Tables of intermediate results in a folder of their own in the shared folder, deleted when the job is done with them."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.paths = spark, new_folder(spark, "scratch"), {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
-        path = f"{self.folder}/{len(self.paths)}"
-        df.write.parquet(path)
-        stored = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(stored)] = (path, stored)
-        return stored
-
-    def drop(self, *stored: DataFrame) -> None:
-        """Deletes tables that nothing reads any more."""
-        for df in stored:
-            delete_folder(self.spark, self.paths[id(df)][0])
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        delete_folder(self.spark, self.folder)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name == "documents" else rows
