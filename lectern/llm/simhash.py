@@ -7,6 +7,12 @@ the index is keyed by every choice of that minimum of byte positions together wi
 so a list holds exactly the fingerprints whose tally with each other reaches the minimum, and a pair that
 reaches it is in at least one list. Within a list pairs are verified by their differing bits. Nothing is
 capped: a list gives a spanning forest of its verified links, not its pairs, which leaves every component as it is.
+
+The pipeline links by the Jaccard similarity of sets, which 64 bits cannot bound: one shingle may turn any of them.
+Its fingerprints are wider. The first bits of a shingle's hash deal it to one of so many places, and a place holds the
+SimHash of its own shingles, eight bytes. So a shingle of one set alone changes one place only, and two sets that
+d shingles tell apart agree in all places but d at most: the guaranteed minimum again. The index is keyed by places
+with their bytes, the tally counts the places of two fingerprints that agree, and whole sets verify.
 """
 
 from __future__ import annotations
@@ -174,11 +180,15 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2) ->
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Exact similarity of shingle sets, for the pipeline.
+# Wide fingerprints and exact similarity of shingle sets, for the pipeline.
 
 #: Sets are near-duplicates from this Jaccard similarity (numerator, denominator) on.
 ALIKE = (4, 5)
-#: About so many rows tell which shingles are common, and so many common ones at most are sent to every task. Both only set the order of shingles.
+#: Places of the shortest wide fingerprints; a power of two.
+LEAST_PLACES = 64
+#: Bytes of fingerprints that are compared at once.
+TALLY_BYTES = 1 << 20
+#: About so many rows tell which lists are common, and so many common ones at most are sent to every task. Both only set the order of lists.
 SAMPLE_ROWS, COMMON = 5_000, 300_000
 #: Row keys that are sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
@@ -192,9 +202,69 @@ LIST_ROWS = 4_096
 SHORT_LIST = 256
 
 
-def prefix_size(n: int) -> int:
-    """How many first shingles, in an order that all sets share, two sets of similarity ALIKE have one of in common."""
-    return n - -(-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
+def n_places(n: int) -> int:
+    """Places that sets of n shingles are dealt to: as many as shingles, rounded down to a power of two."""
+    return max(LEAST_PLACES, 1 << max(0, n.bit_length() - 1))
+
+
+def widths(n: int) -> list[int]:
+    """Numbers of places in which a set of n shingles is looked for: its own, and that of smaller sets it can be alike to.
+
+    Two sets meet in the places of the smaller one.
+    """
+    return sorted({n_places(n), n_places(-(-n * ALIKE[0] // ALIKE[1]))}, reverse=True)
+
+
+def most_apart(n: int, size: int) -> int:
+    """How many shingles at most tell a set of n from one alike that it meets in `size` places; always fewer than places."""
+    other = n * ALIKE[1] // ALIKE[0] if size == n_places(n) else 2 * size - 1
+    return (ALIKE[1] - ALIKE[0]) * (n + other) // (ALIKE[1] + ALIKE[0])
+
+
+def wide_fingerprint(own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit majority of the hashes in each of `size` places (a power of two), and how many those are.
+
+    `own` is sorted and distinct, and its first bits are the places; an empty place has its number in those bits, else zeros.
+    """
+    shift = np.uint64(64 - (size.bit_length() - 1))
+    major, times = np.arange(size, dtype=np.uint64) << shift, np.zeros(size, np.int64)
+    place = (own >> shift).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    place, many = place[first], np.diff(np.append(first, len(own)))
+    times[place] = many
+    major[place] = own[first] & own[first + many - 1]  # the majority of one hash or two
+    crowded = np.flatnonzero(many > 2)
+    for start in range(0, len(crowded), BLOCK):
+        at = crowded[start : start + BLOCK]
+        cut = many[at].cumsum() - many[at]
+        rows = np.repeat(first[at] - cut, many[at]) + np.arange(many[at].sum())
+        bits = np.unpackbits(own[rows].astype(">u8").view(np.uint8).reshape(-1, BYTES), axis=1)
+        ones = np.add.reduceat(bits, cut, axis=0, dtype=np.int32)
+        major[place[at]] = np.packbits(2 * ones > many[at, None], axis=1).view(">u8").reshape(-1)
+    return major, times
+
+
+def list_keys(major: np.ndarray) -> np.ndarray:
+    """A hash of each place and its bytes; fingerprints of different widths have lists of their own."""
+    x = major ^ np.uint64(len(major) * 0x9E3779B97F4A7C15 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def lists_of(major: np.ndarray, times: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The lists that a set of n shingles is in, for the fingerprint of one width.
+
+    Two alike fingerprints of d = `most_apart` agree in all places but d at most. In an order that all share (rare
+    lists first, those of empty places last) the first list they have in common comes after at most d others in
+    either, so the first d + 1 of each suffice to meet.
+    """
+    keys, (known, n_known) = list_keys(major), common
+    seen = np.zeros(len(keys), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        seen = np.where(known[at] == keys, n_known[at], 0)
+    return keys[np.lexsort((keys, seen, times == 0))[: most_apart(n, len(major)) + 1]]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -206,48 +276,72 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both)
 
 
-def parity(own: np.ndarray) -> bytes:
-    """For each of a power of two of buckets, at least as many as shingles, whether it holds an odd number of them."""
-    size = max(64, 1 << max(0, len(own) - 1).bit_length())
-    counts = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size)
-    return np.packbits(counts % 2 == 1, bitorder="little").tobytes()
+def tally_bytes(major: np.ndarray) -> bytes:
+    """What the tally is taken from: the last four bits of each place."""
+    last = major.astype(np.uint8)
+    return (last[::2] & 15 | last[1::2] << 4).tobytes()
+
+
+def own_places(fp: bytes) -> int:
+    """Places of the first of the fingerprints that `fp` holds the `tally_bytes` of: one, or one and another of half as many places."""
+    return 2 * len(fp) if len(fp).bit_count() == 1 else 4 * len(fp) // 3
 
 
-def may_be_alike(n: int, bits: bytes, other_n: int, other_bits: bytes) -> bool:
-    """False only if two sets, by sizes and parities, cannot reach ALIKE.
+def in_places(fp: bytes, size: int) -> np.ndarray:
+    """The `tally_bytes` of the fingerprint of `size` places."""
+    own = own_places(fp)
+    return np.frombuffer(fp, np.uint8, size // 2, 0 if own == size else own // 2)
 
-    A shingle of one set alone changes one bucket's parity, so as many shingles differ as bits do at least;
-    of two sets with the similarity x / y, (y - x) / (y + x) of both sizes' sum differ at most. More buckets fold into fewer.
+
+def enough_agree(apart: np.ndarray, n: np.ndarray, other_n: np.ndarray) -> np.ndarray:
+    """The count filter: whether so few places differ (`apart`) that two sets of these sizes may reach ALIKE.
+
+    A shingle of one set alone changes one place, so as many shingles differ as places do at least;
+    of two sets with the similarity x / y, (y - x) / (y + x) of both sizes' sum differ at most.
     """
+    return apart * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (n + other_n)
+
+
+def may_be_alike(n: int, fp: bytes, other_n: int, other_fp: bytes) -> bool:
+    """False only if two sets, by sizes and fingerprints, cannot reach ALIKE."""
     if ALIKE[1] * min(n, other_n) < ALIKE[0] * max(n, other_n):
         return False
-    a, b = np.frombuffer(bits, np.uint64), np.frombuffer(other_bits, np.uint64)
-    size = min(len(a), len(b))
-    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
-    return int(np.bitwise_count(a ^ b).sum()) * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (n + other_n)
+    size = n_places(min(n, other_n))
+    return bool(enough_agree(differing(in_places(fp, size), in_places(other_fp, size)), n, other_n))
 
 
-def possible(n: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many halves of bytes differ along the last axis."""
+    both = a ^ b
+    return np.count_nonzero(both & 15, axis=-1) + np.count_nonzero(both & 240, axis=-1)
+
+
+def places_apart(wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many places differ between rows i and j of fingerprints of one width."""
+    step = max(1, TALLY_BYTES // wide.shape[1])
+    return np.concatenate([np.empty(0, np.int64), *(differing(wide[i[c : c + step]], wide[j[c : c + step]]) for c in range(0, len(i), step))])
+
+
+def possible(n: np.ndarray, fp: list[bytes], root: np.ndarray, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each set, the others of another root (and side, if given) that `may_be_alike` does not rule out; each pair once."""
-    words = np.array([len(b) // 8 for b in bits])
-    for size in np.unique(words).tolist():
-        # Sizes that can reach ALIKE are at most twice as many buckets apart.
-        among = np.flatnonzero((words == size) | (words == 2 * size))
-        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[k], np.uint64).reshape(-1, size), axis=0) for k in among])
+    own = np.array([own_places(x) for x in fp])
+    two = np.array([len(x) for x in fp]) > own // 2
+    for size in np.unique(own).tolist():
+        among = np.flatnonzero((own == size) | ((own == 2 * size) & two))
+        wide = np.stack([in_places(fp[k], size) for k in among])
         own_n, own_root = n[among], root[among]
-        for i in np.flatnonzero(words[among] == size).tolist():
+        for i in np.flatnonzero(own[among] == size).tolist():
             fits = (own_root != own_root[i]) & (ALIKE[1] * np.minimum(own_n, own_n[i]) >= ALIKE[0] * np.maximum(own_n, own_n[i]))
-            fits &= (words[among] > size) | (among > among[i])
+            fits &= (own[among] > size) | (among > among[i])
             if side is not None:
                 fits &= side[among] != side[among[i]]
             j = np.flatnonzero(fits)
-            apart = np.bitwise_count(folded[j] ^ folded[i]).sum(axis=1, dtype=np.int64)
-            near = j[apart * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (own_n[j] + own_n[i])]
+            near = j[enough_agree(places_apart(wide, np.full(len(j), i), j), own_n[j], own_n[i])]
             if len(near):
                 yield int(among[i]), among[near]
 
 
-def pairs_within(ends: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def pairs_within(ends: np.ndarray, n: np.ndarray, fp: list[bytes], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of rows of one list and of different roots that `may_be_alike` does not rule out, for many short lists at once."""
     row = np.arange(len(ends))
     each = ends - 1 - row
@@ -255,18 +349,15 @@ def pairs_within(ends: np.ndarray, n: np.ndarray, bits: list[bytes], root: np.nd
     j = i + 1 + np.arange(len(i)) - np.repeat(each.cumsum() - each, each)
     fits = (root[i] != root[j]) & (ALIKE[1] * np.minimum(n[i], n[j]) >= ALIKE[0] * np.maximum(n[i], n[j]))
     i, j = i[fits], j[fits]
-    words = np.array([len(b) // 8 for b in bits], np.int64)
+    own = np.array([own_places(x) for x in fp], np.int64)
     near = np.zeros(len(i), bool)
-    least, place = np.minimum(words[i], words[j]), np.zeros(len(ends), np.int64)
-    for size in np.unique(least).tolist():
-        pick = np.flatnonzero(least == size)
+    size_of, row_of = np.minimum(own[i], own[j]), np.zeros(len(ends), np.int64)
+    for size in np.unique(size_of).tolist():
+        pick = np.flatnonzero(size_of == size)
         used = np.unique(np.concatenate([i[pick], j[pick]]))
-        plain, double = used[words[used] == size], used[words[used] != size]  # sizes that can reach ALIKE are at most twice as many buckets apart
-        wide = np.frombuffer(b"".join(bits[k] for k in double), np.uint64).reshape(-1, 2, size)
-        folded = np.concatenate([np.frombuffer(b"".join(bits[k] for k in plain), np.uint64).reshape(-1, size), wide[:, 0] ^ wide[:, 1]])
-        place[np.concatenate([plain, double])] = np.arange(len(used))
-        apart = np.bitwise_count(folded[place[i[pick]]] ^ folded[place[j[pick]]]).sum(axis=1, dtype=np.int64)
-        near[pick] = apart * (ALIKE[1] + ALIKE[0]) <= (ALIKE[1] - ALIKE[0]) * (n[i[pick]] + n[j[pick]])
+        wide = np.stack([in_places(fp[k], size) for k in used])
+        row_of[used] = np.arange(len(used))
+        near[pick] = enough_agree(places_apart(wide, row_of[i[pick]], row_of[j[pick]]), n[i[pick]], n[j[pick]])
     return i[near], j[near]
 
 
@@ -304,41 +395,58 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
 
 
-def common_shingles(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, and how often a sample of rows has each."""
+def common_lists(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common lists, sorted, and how often a sample of rows has each."""
     sample = _keyed(docs).filter(F.pmod("row_key", F.lit(max(1, docs.count() // SAMPLE_ROWS))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [np.unique(shingle_hashes(x or "", words_each)) for x in part[2].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+            keys = [list_keys(wide_fingerprint(own, size)[0]) for own in sets for size in widths(len(own))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["list"])
 
-    counts = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow()
-    shingle, n = rows["shingle"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
-    order = np.argsort(shingle)
-    return shingle[order], n[order]
+    counts = sample.mapInArrow(run, "list bigint").groupBy("list").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = counts.orderBy(F.desc("n"), "list").limit(COMMON).toArrow()
+    known, n = rows["list"].to_numpy().astype(np.int64).view(np.uint64), rows["n"].to_numpy().astype(np.int64)
+    order = np.argsort(known)
+    return known[order], n[order]
 
 
-def prefixes(docs: DataFrame, words_each: int) -> DataFrame:
-    """doc_id, row_key, node (a hash of the row's set), its size n, its parity bits and its prefix, rare shingles first; map-only. Null texts are empty."""
-    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words_each))
+def indexed(docs: DataFrame, words_each: int) -> DataFrame:
+    """doc_id, row_key, node (a hash of the row's set), its size n, fp (the `tally_bytes` of its fingerprints) and its lists; map-only. Null texts are empty."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_lists(docs, words_each))
 
-    def prefix(own: np.ndarray) -> np.ndarray:
-        shingle, n = sent.value
-        times = np.zeros(len(own), np.int64)
-        if len(shingle):
-            at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
-            times = np.where(shingle[at] == own, n[at], 0)
-        return own[np.lexsort((own, times))[: prefix_size(len(own))]].view(np.int64)
+    def entry(own: np.ndarray) -> tuple[bytes, np.ndarray]:
+        wide = [wide_fingerprint(own, size) for size in widths(len(own))]
+        lists = [lists_of(major, times, len(own), sent.value) for major, times in wide] if len(own) else [np.empty(0, np.uint64)]
+        return b"".join(tally_bytes(major) for major, _ in wide), np.concatenate(lists).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             sets = [np.unique(shingle_hashes(x or "", words_each)) for x in part[2].to_pylist()]
             node = np.array([xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(map(parity, sets), pa.binary()), pa.array(map(prefix, sets), pa.list_(pa.int64()))], names=["doc_id", "row_key", "node", "n", "bits", "prefix"])
+            fp, lists = zip(*map(entry, sets), strict=True)
+            yield pa.RecordBatch.from_arrays([part[0], part[1], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "row_key", "node", "n", "fp", "lists"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id bigint, row_key bigint, node bigint, n bigint, fp binary, lists array<bigint>")
 
-    return _keyed(docs).mapInArrow(run, "doc_id bigint, row_key bigint, node bigint, n bigint, bits binary, prefix array<bigint>")
+
+def postings(listed: DataFrame, again: Broadcast, full: Broadcast | None = None) -> DataFrame:
+    """(node, list) for the lists of `listed` (node, lists, alone) that may be in `full`, if given.
+
+    Rows with `alone` whose node may be in `again` are left out, in the same pass, so that a task has one Python worker.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2_048):
+            node = part["node"].to_numpy()
+            part = part.filter(pa.array(~(part["alone"].to_numpy(zero_copy_only=False) & set_in(again.value, node))))
+            lists = part["lists"].flatten().to_numpy()
+            node = np.repeat(part["node"].to_numpy(), pc.list_value_length(part["lists"]).to_numpy())
+            keep = set_in(full.value, lists) if full else slice(None)
+            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(lists[keep])], names=["node", "list"])
+
+    return listed.select("node", "lists", "alone").mapInArrow(run, "node bigint, list bigint")
 
 
 def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -348,10 +456,10 @@ def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return durable(_keyed(docs).join(rows, "row_key").dropDuplicates(["row_key"]).select("node", F.coalesce("text", F.lit("")).alias("text")))
 
 
-def exact_forest(sets: list[np.ndarray], n: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def exact_forest(sets: list[np.ndarray], n: np.ndarray, fp: list[bytes], root: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between places of sets that, with the roots they have already, connect all pairs (of two sides, if given) that reach ALIKE."""
     root, found = root.copy(), []
-    for i, others in possible(n, bits, root.copy(), side):
+    for i, others in possible(n, fp, root.copy(), side):
         for j in others.tolist():
             if root[i] != root[j] and alike(sets[i], sets[j]):
                 found.append((i, j))
@@ -359,27 +467,20 @@ def exact_forest(sets: list[np.ndarray], n: np.ndarray, bits: list[bytes], root:
     return found
 
 
-def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame:
-    """(a, b): links that connect all pairs of nodes (node, row_key, n, bits, prefix) whose sets reach ALIKE, and no others.
+def exact_links(nodes: DataFrame, listed: DataFrame, again: Broadcast, docs: DataFrame, words_each: int) -> DataFrame:
+    """(a, b): links that connect all pairs of nodes (node, row_key, n, fp) whose sets reach ALIKE, and no others.
+
+    `listed` and `again` give their lists, see `postings`.
 
-    Such a pair has a shingle of its prefixes in common, so it is together in a list. Each member of a list
+    Such a pair's fingerprints agree in a place whose list both are in (`lists_of`). Each member of a list
     is first held against the list's least one. Lists whose members those links leave in several components
-    are then compared whole. Short ones give the pairs that sizes and parities allow, and each is verified
+    are then compared whole. Short ones give the pairs that the count filter lets through, and each is verified
     once however many lists it is in. Longer ones are compared in squares of at most LIST_ROWS by LIST_ROWS
     members, one in memory at a time, so that a long list is the work of many tasks and its pairs are not emitted.
     """
-    counts = nodes.select(F.explode("prefix").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
-    sent = marks(counts.filter("n > 1"), "list")
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The postings but for those of lists that surely have one member."""
-        for batch in batches:
-            lists = batch["prefix"].flatten().to_numpy()
-            node = np.repeat(batch["node"].to_numpy(), pc.list_value_length(batch["prefix"]).to_numpy())
-            keep = set_in(sent.value, lists)
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(lists[keep])], names=["node", "list"])
-
-    posted = durable(nodes.select("node", "prefix").mapInArrow(post, "node bigint, list bigint"))
+    counts = postings(listed, again).groupBy("list").agg(F.count("*").alias("n"))
+    # The postings but for those of lists that surely have one member.
+    posted = durable(postings(listed, again, marks(counts.filter("n > 1"), "list")))
     # Lists of one member are dropped, and of lists with equal members one stays: told by two 64-bit sums, so that no list is gathered.
     sums = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"sum{k}") for k in range(2)]
     several = posted.groupBy("list").agg(F.min("node").alias("least"), F.count("*").alias("n"), *sums).filter("n > 1")
@@ -387,7 +488,7 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
     members = durable(posted.join(F.broadcast(once) if once.count() <= BROADCAST_ROWS else once, "list").select("list", "least", "node"))
     keys = nodes.select("row_key", "node")
     pairs = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    end = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+    end = lambda name: nodes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("fp").alias(f"fp_{name}"))
     text = lambda of, name: of.select(F.col("node").alias(name), F.col("text").alias(f"text_{name}"))
 
     def unlike_left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +501,7 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
             near = [alike(*(np.unique(shingle_hashes(t, words_each)) for t in both)) for both in zip(part[2].to_pylist(), part[3].to_pylist(), strict=True)]
             yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    sized = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    sized = pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "fp_a", "n_b", "fp_b")
 
     def verified(likely: DataFrame) -> DataFrame:
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -418,11 +519,11 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, ends in whole_lists(batches, "list"):
             node = rows["node"].to_numpy()
-            i, j = pairs_within(ends, rows["n"].to_numpy(), rows["bits"].to_pylist(), rows["root"].to_numpy())
+            i, j = pairs_within(ends, rows["n"].to_numpy(), rows["fp"].to_pylist(), rows["root"].to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
-    short = left.join(counted.filter(F.col("size") <= SHORT_LIST).select("list"), "list", "left_semi").join(nodes.select("node", "n", "bits"), "node")
-    short = short.repartition("list").sortWithinPartitions("list").select("list", "node", "root", "n", "bits")
+    short = left.join(counted.filter(F.col("size") <= SHORT_LIST).select("list"), "list", "left_semi").join(nodes.select("node", "n", "fp"), "node")
+    short = short.repartition("list").sortWithinPartitions("list").select("list", "node", "root", "n", "fp")
     second = verified(durable(short.mapInArrow(within, "a bigint, b bigint").distinct()))
 
     cuts = counted.filter(F.col("size") > SHORT_LIST).select("list", F.ceil(F.col("size") / LIST_ROWS).cast("int").alias("cuts"))
@@ -438,21 +539,21 @@ def exact_links(nodes: DataFrame, docs: DataFrame, words_each: int) -> DataFrame
         """The members of each square that may be like one of another component."""
         for one in each_list(batches, square):
             keep = np.zeros(one.num_rows, bool)
-            for i, others in possible(one["n"].to_numpy(), one["bits"].to_pylist(), one["root"].to_numpy(), side(one)):
+            for i, others in possible(one["n"].to_numpy(), one["fp"].to_pylist(), one["root"].to_numpy(), side(one)):
                 keep[i], keep[others] = True, True
             yield one.filter(pa.array(keep))
 
-    sized_rows = squares.join(nodes.select("node", "n", "bits"), "node").select(*square, "own", "node", "root", "n", "bits")
-    kind = "list bigint, low int, high int, own int, node bigint, root bigint, n bigint, bits binary"
+    sized_rows = squares.join(nodes.select("node", "n", "fp"), "node").select(*square, "own", "node", "root", "n", "fp")
+    kind = "list bigint, low int, high int, own int, node bigint, root bigint, n bigint, fp binary"
     open_lists = durable(sized_rows.repartition(*square).sortWithinPartitions(*square, "root", "node").mapInArrow(partners, kind))
     more = texts_of(docs, keys.join(open_lists.select("node").distinct(), "node", "left_semi").select("row_key", "node"))
-    whole = open_lists.join(more, "node").repartition(*square).sortWithinPartitions(*square, "root", "node").select(*square, "own", "node", "root", "n", "bits", "text")
+    whole = open_lists.join(more, "node").repartition(*square).sortWithinPartitions(*square, "root", "node").select(*square, "own", "node", "root", "n", "fp", "text")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in each_list(batches, square):
             node = one["node"].to_numpy()
             sets = [np.unique(shingle_hashes(t, words_each)) for t in one["text"].to_pylist()]
-            found = exact_forest(sets, one["n"].to_numpy(), one["bits"].to_pylist(), one["root"].to_numpy(), side(one))
+            found = exact_forest(sets, one["n"].to_numpy(), one["fp"].to_pylist(), one["root"].to_numpy(), side(one))
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
@@ -466,13 +567,14 @@ def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
     Components are those of all pairs whose sets of shingles reach the Jaccard similarity ALIKE. Of rows that
     repeat in both id and text one stays. All columns of `docs` are returned; an empty table gives an empty result.
     """
-    found = durable(prefixes(docs, words_each))
-    again = marked(marks(found.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "node")
+    found = durable(indexed(docs, words_each))
+    again = marks(found.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
-    alone = found.filter(~again).select("node", own.alias("first"), "n", "bits", "prefix")
-    grouped = found.filter(again).groupBy("node").agg(F.min(own).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    per_node = durable(alone.unionByName(grouped))
-    roots = components(exact_links(per_node.select("node", F.col("first.row_key").alias("row_key"), "n", "bits", "prefix"), docs, words_each))
+    alone = found.filter(~marked(again, "node")).select("node", own.alias("first"), "n", "fp")
+    grouped = durable(found.filter(marked(again, "node")).groupBy("node").agg(F.min(own).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("lists").alias("lists")))
+    per_node = durable(alone.unionByName(grouped.drop("lists")))
+    listed = found.select("node", "lists", F.lit(True).alias("alone")).unionByName(grouped.select("node", "lists", F.lit(False).alias("alone")))
+    roots = components(exact_links(per_node.select("node", F.col("first.row_key").alias("row_key"), "n", "fp"), listed, again, docs, words_each))
     kept = per_node.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = durable(kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.row_key").alias("_kept_key")))
     # Rows that are kept and not repeated need no join; the others, and those that share a bit with them, do.

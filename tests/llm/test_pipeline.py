@@ -107,3 +107,36 @@ def test_near_duplicates_that_only_chains_connect(spark, monkeypatch, short, squ
     order = random.Random(3).sample(range(len(rows)), len(rows))
     docs = spark.createDataFrame([(i, rows[i]) for i in order], "doc_id bigint, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == least
+
+
+def test_candidates_come_from_places_of_a_wide_simhash(spark):
+    """Each place is a majority, alike sets share a list and enough places, and the index holds what the rule says."""
+    rng, rows = random.Random(5), []
+    for size in (5, 9, 40, 104, 131, 140, 260, 300, 1100):
+        for _ in range(12):
+            words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            cut, more = rng.randint(0, size // 7), rng.randint(0, size // 7)
+            rows += [" ".join(words), " ".join(words[cut:] + [f"n{rng.randrange(10**6)}" for _ in range(more)])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    held = {r.doc_id: r for r in simhash.indexed(docs, 5).collect()}
+    sets = [np.unique(simhash.shingle_hashes(x, 5)) for x in rows]
+    for own in sets[::7]:
+        size = simhash.n_places(len(own))
+        major, times = simhash.wide_fingerprint(own, size)
+        dealt = [[int(h) for h in own if int(h) * size >> 64 == p] for p in range(size)]
+        assert times.tolist() == [len(x) for x in dealt]
+        assert all(int(major[p]) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in x) > len(x)) for p, x in enumerate(dealt) if x)
+    pairs = [(a, a + 1) for a in range(0, len(rows), 2) if simhash.alike(sets[a], sets[a + 1])]
+    crossing = 0
+    for a, b in pairs:
+        size, apart = simhash.n_places(min(len(sets[a]), len(sets[b]))), len(np.setxor1d(sets[a], sets[b]))
+        crossing += simhash.n_places(len(sets[a])) != simhash.n_places(len(sets[b]))
+        x, y = (simhash.wide_fingerprint(sets[k], size)[0] for k in (a, b))
+        assert np.count_nonzero(x == y) >= size - apart > 0
+        assert all(apart <= simhash.most_apart(len(sets[k]), size) < size for k in (a, b))
+        assert set(held[a].lists) & set(held[b].lists)
+        assert simhash.may_be_alike(held[a].n, held[a].fp, held[b].n, held[b].fp)
+    assert len(pairs) > 30 and crossing
+    large = [r for i, r in held.items() if r.n >= 30 and i % 2 == 0]
+    assert not any(simhash.may_be_alike(a.n, a.fp, b.n, b.fp) for a in large for b in large if a.doc_id < b.doc_id)
+    assert all(len(r.lists) == sum(simhash.most_apart(r.n, size) + 1 for size in simhash.widths(r.n)) for r in held.values())
