@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lectern.llm.common import durable, slices
+from lectern.llm.common import durable, slices, small_batches
 from lectern.llm.components import components
 
 SEED = 42
@@ -561,12 +561,8 @@ def exact_links(nodes: DataFrame, listed: DataFrame, again: Broadcast, docs: Dat
     return first.unionByName(second).unionByName(whole.mapInArrow(search, "a bigint, b bigint")).distinct()
 
 
-def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
-
-    Components are those of all pairs whose sets of shingles reach the Jaccard similarity ALIKE. Of rows that
-    repeat in both id and text one stays. All columns of `docs` are returned; an empty table gives an empty result.
-    """
+def _kept(docs: DataFrame, words_each: int) -> tuple[DataFrame, Broadcast]:
+    """_kept_id and _kept_key of the rows that stay, and a bitmap of the keys that are repeated or may go."""
     found = durable(indexed(docs, words_each))
     again = marks(found.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
@@ -577,9 +573,20 @@ def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
     roots = components(exact_links(per_node.select("node", F.col("first.row_key").alias("row_key"), "n", "fp"), listed, again, docs, words_each))
     kept = per_node.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = durable(kept.select(F.coalesce("first.doc_id", F.lit(0)).alias("_kept_id"), F.col("first.row_key").alias("_kept_key")))
-    # Rows that are kept and not repeated need no join; the others, and those that share a bit with them, do.
     times = found.groupBy("row_key").agg(F.count("*").alias("n")).join(kept.select(F.col("_kept_key").alias("row_key"), F.lit(True).alias("stays")).distinct(), "row_key", "left")
-    doubtful = marked(marks(times.filter("n > 1 or stays is null"), "row_key"), "_kept_key")
+    return kept, marks(times.filter("n > 1 or stays is null"), "row_key")
+
+
+def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays (null ids last).
+
+    Components are those of all pairs whose sets of shingles reach the Jaccard similarity ALIKE. Of rows that
+    repeat in both id and text one stays. All columns of `docs` are returned; an empty table gives an empty result.
+    """
+    with small_batches(docs.sparkSession):
+        kept, unsure = _kept(docs, words_each)
+    # Rows that are kept and not repeated need no join; the others, and those that share a bit with them, do.
+    doubtful = marked(unsure, "_kept_key")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(whole, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_kept_id"), F.xxhash64("doc_id", "text").alias("_kept_key"))
     joined = rows.filter(doubtful).join(kept, ["_kept_id", "_kept_key"], "left_semi").dropDuplicates(["_kept_id", "_kept_key"])

@@ -140,3 +140,20 @@ def test_candidates_come_from_places_of_a_wide_simhash(spark):
     large = [r for i, r in held.items() if r.n >= 30 and i % 2 == 0]
     assert not any(simhash.may_be_alike(a.n, a.fp, b.n, b.fp) for a in large for b in large if a.doc_id < b.doc_id)
     assert all(len(r.lists) == sum(simhash.most_apart(r.n, size) + 1 for size in simhash.widths(r.n)) for r in held.values())
+
+
+def test_near_duplicates_reach_python_in_small_batches(spark, monkeypatch):
+    """Whole texts and pairs of texts come in batches of bounded bytes; the session's setting stays."""
+
+    def bounded(batches, rows=256):
+        for batch in batches:
+            assert batch.num_rows == 1 or batch.nbytes < 6 << 20, f"{batch.num_rows} rows, {batch.nbytes} bytes"
+            yield from (batch.slice(k, rows) for k in range(0, batch.num_rows, rows))
+
+    monkeypatch.setattr(simhash, "slices", bounded)
+    rng, name = random.Random(2), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, words = spark.conf.get(name), [f"w{rng.randrange(10**6)}" for _ in range(4_000)]
+    rows = [" ".join(words[: 4_000 - k] + [f"n{rng.randrange(10**6)}" for _ in range(k)]) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").coalesce(1)
+    assert [r.doc_id for r in simhash.keep_one(docs, 5).collect()] == [0]
+    assert spark.conf.get(name) == before
