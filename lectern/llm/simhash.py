@@ -140,6 +140,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
 
     Lists of one member are dropped by counts that are aggregated before the shuffle; what is left is
     sorted by list and streamed, one list in memory at a time as 8 bytes for each distinct fingerprint.
+    The size of `postings` is told before the explode, many times too low, so the join is never left to that figure.
     """
     shared = BYTES - max_bits
     if not 0 < shared <= BYTES:
@@ -148,7 +149,7 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     postings = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("places", "bytes"))
     full = postings.groupBy("places", "bytes").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    lists = postings.join(full, ["places", "bytes"]).repartition("places", "bytes").sortWithinPartitions("places", "bytes")
+    lists = postings.join(full.hint("merge"), ["places", "bytes"]).repartition("places", "bytes").sortWithinPartitions("places", "bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in each_list(batches, ["places", "bytes"]):

@@ -330,6 +330,14 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert root == {**{i: 0 for i in range(1, 301)}, **{1000 + i: 1000 for i in range(1, 200)}}
 
 
+def test_simhash_postings_are_never_broadcast(spark):
+    """Their size is told before the explode: 20,000 fingerprints look small, the 28 keys of each are not."""
+    fps = spark.range(20_000).select(F.xxhash64("id").alias("fp")).repartition(4).distinct()
+    found = simhash.links(fps, 2)
+    found.collect()
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_on_odd_rows(odd):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1} and {r.component_id for r in rows if r.doc_id in (5, 6)} == {5}
