@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.operators.durable import durable
-from lectern.operators.sizes import BROADCAST_ROWS, hinted, small
+from lectern.operators.sizes import small
 
 K1, B = 1.5, 0.75
 LABELLED_MODEL = "google/embeddinggemma-300m"
@@ -23,13 +25,15 @@ def query_text(model: Column, text: Column, labelled: Column) -> Column:
     return F.when((model == LABELLED_MODEL) & labelled, F.concat(F.lit("task: search result | query: "), text)).otherwise(text)
 
 
-def term_frequencies(passages: DataFrame, keys: list[str], wanted: DataFrame | None = None) -> DataFrame:
+def term_frequencies(passages: DataFrame, keys: list[str], wanted: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """keys, term, tf and dl, of the `wanted` terms if given.
 
-    A passage's rows stand together, so counting before the shuffle already gives its frequencies, and
-    only those (of the wanted terms alone) are moved.
+    Texts are dealt out by key in `parts` tasks once, which is less than their terms would be; the rows of a passage then
+    stay in its task through every count and sum by `keys` and more, and nothing else is moved.
     """
-    held = passages.select(*keys, tx.tokens(F.col("text")).alias("_t"))
+    dealt = passages.select(*keys, "text")
+    dealt = dealt.repartition(parts, *keys) if parts else dealt.repartition(*keys)
+    held = dealt.select(*keys, tx.tokens(F.col("text")).alias("_t"))
     each = held.select(*keys, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
     if wanted is not None:
         each = each.join(wanted, "term", "left_semi")
@@ -85,21 +89,43 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", order: list[Column] |
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Scores, one for each query and passage, that a task holds at once, (query, term) rows that are sent to every executor at once, and passages of a task for each of the k.
+SCORES, QUERY_TERMS, PART_PASSAGES = 1 << 21, 400_000, 80
+
+
+def document_frequencies_of(passages: DataFrame, terms: DataFrame) -> DataFrame:
+    """term and df of the distinct `terms` that passages hold; only counts of each task are moved."""
+    each = passages.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    sent = small(terms)
+    count = lambda rows: rows.groupBy("term").agg(F.count("*").alias("df"))
+    return count(each).join(terms, "term", "left_semi") if sent is terms else count(each.join(sent, "term", "left_semi"))
+
+
 def bm25_search(passages: DataFrame, queries: DataFrame, keys: list[str], k: int = 50, key: str = "query_id", text: str = "query") -> DataFrame:
     """query, keys, score and rank of the k best passages of every query, among those that share a term with it.
 
-    Only postings of the queries' terms are kept, before anything is shuffled; scores round to 9 places,
-    and ties go by the passage's key.
+    Passages are dealt out by key, so a task sums whole scores and hands on its k best of each query alone; what is moved are the
+    texts, once, and these. More queries than a task can hold the scores of, or than are sent at once, are worked off
+    block by block over the same passages. Scores round to 9 places, and ties go by the passage's key.
     """
     terms = query_terms(queries, key, text)
-    most = terms.limit(BROADCAST_ROWS + 1).count()  # of (query, term) rows; what is joined below has no more
-    own = term_frequencies(passages, keys, hinted(terms.select("term").distinct(), most))
-    sizes = F.broadcast(mean_length(passages))  # one row
-    frequency = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(sizes)
-    scale = frequency.select("term", F.log1p((F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    per_query = terms.join(scale, "term").select("term", key, (F.col("qtf") * F.col("idf")).alias("gain"), "avgdl")
-    scored = own.join(hinted(per_query, most), "term").groupBy(key, *keys).agg(F.round(F.sum(F.col("gain") * weight(F.col("tf"), F.col("dl"), F.col("avgdl"))), 9).alias("score"))
-    return top_k(scored, k, key, [F.desc("score"), *map(F.col, keys)])
+    asked, most = terms.agg(F.count_distinct(key), F.count("*")).first()
+    size = mean_length(passages).first()
+    n_passages, avgdl = F.lit(size["n_passages"]), F.lit(size["avgdl"]).cast("double")
+    frequency = document_frequencies_of(passages, durable(terms.select("term").distinct()))
+    gain = F.col("qtf") * F.log1p((n_passages - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    per_query = durable(terms.join(frequency, "term").select("term", key, gain.alias("gain")))
+    blocks = max(1, -(-asked * PART_PASSAGES * k // SCORES), -(-most // QUERY_TERMS))
+    cores = passages.sparkSession.sparkContext.defaultParallelism
+    parts = max(cores, -(-size["n_passages"] * -(-asked // blocks) // SCORES))
+    best = []
+    for block in range(blocks):
+        some = per_query if blocks == 1 else per_query.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == block)
+        own = term_frequencies(passages, keys, small(some.select("term").distinct()), parts)
+        joined = own.join(F.broadcast(some), "term")  # about QUERY_TERMS rows at most
+        scored = joined.groupBy(key, *keys).agg(F.round(F.sum(F.col("gain") * weight(F.col("tf"), F.col("dl"), avgdl)), 9).alias("score"))
+        best.append(top_k(scored, k, key, [F.desc("score"), *map(F.col, keys)]))
+    return reduce(DataFrame.unionByName, best)
 
 
 #: Postings of a block at most, about, and blocks of a query that are read first, to learn how good its k-th hit is at least.

@@ -65,6 +65,24 @@ def test_no_cartesian_product_and_no_python_in_bm25(passages, queries):
     assert "CartesianProduct" not in plan and "Python" not in plan and "MapIn" not in plan
 
 
+def test_scores_are_summed_where_a_passage_is(spark, passages, queries):
+    """Rows of a query and a passage are as many as all pairs; none but the k best of a task are moved, and no text twice."""
+    plan = lx.bm25_search(passages, queries, ["passage_id"], 2)._jdf.queryExecution().executedPlan().toString()
+    moved = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sorted(set(moved)) == ["passage_id", "query_id", "term"] and moved.count("passage_id") == moved.count("query_id") == 1
+
+
+def test_blocks_of_queries_give_the_same_hits(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    passages = spark.createDataFrame([(i, words_of(rng, 20)) for i in range(200)], "passage_id int, text string")
+    queries = spark.createDataFrame([(i, words_of(rng, 4)) for i in range(25)], "query_id int, query string")
+    hits = lambda: sorted(map(tuple, lx.bm25_search(passages, queries, ["passage_id"], 3).collect()))
+    want = hits()
+    monkeypatch.setattr(lx, "SCORES", 240 * 9)
+    monkeypatch.setattr(lx, "PART_PASSAGES", 80)
+    assert hits() == want and len({r[0] for r in want}) == 25
+
+
 def test_rerank_orders_on_the_logit(spark):
     hits = spark.createDataFrame([(1, i, r) for i, r in ((0, 1), (1, 2), (2, 3))], "query_id int, item int, rank int").withColumn("l", F.element_at(F.array(F.lit(30.0), F.lit(50.0), F.lit(40.0)), F.col("rank")))
     out = rt.rerank(hits, F.col("l")).orderBy("rank").collect()
