@@ -175,9 +175,15 @@ fused AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
   SELECT query_id, passage_id, n.rank AS a, w.rank AS b, coalesce(1.0 / (60 + n.rank), 0) + coalesce(1.0 / (60 + w.rank), 0) AS score FROM near n FULL JOIN words w USING (query_id, passage_id))) WHERE rank <= 50)"""
 
 
+#: Ids that are sent to every executor; a long each.
+SENT_IDS = 1_000_000
+
+
 def _cards(spark, sf):
+    """Documents with an embedding, written once, as searches read them several times; texts without one are not moved."""
     e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("passage_id"), "embedding")
-    cards = v.table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text").join(e, "passage_id")
+    texts = v.table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    cards = v.stored(spark, texts.join(small(e.select("passage_id"), SENT_IDS), "passage_id", "left_semi").join(e, "passage_id"), "cards")
     asked = cards.filter("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), F.array_join(tx.tokens(F.col("text")), " ").alias("query"), F.col("embedding").alias("vector"))
     return cards, asked
 
