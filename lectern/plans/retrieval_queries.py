@@ -359,8 +359,10 @@ def _(spark, sf):
 @book.add("e8_chunk_lookup", f"{HITS} SELECT query_id, rank, coalesce(p2.chunk_index::VARCHAR, '?') AS found FROM hits h JOIN passages p USING (doc_id, chunk_index) LEFT JOIN (SELECT doc_id, text, min(chunk_index) AS chunk_index FROM passages WHERE chunk_index % 2 = 0 GROUP BY 1, 2) p2 ON p2.doc_id = p.doc_id AND p2.text = p.text")
 def _(spark, sf):
     passages = v.stored_passages(spark, sf)
-    stored = passages.filter("chunk_index % 2 = 0").groupBy("doc_id", "text").agg(F.min("chunk_index").alias("id"))
-    return _hits(spark, sf, passages=passages).join(stored, ["doc_id", "text"], "left").select("query_id", "rank", F.coalesce(F.col("id").cast("string"), F.lit("?")).alias("found"))
+    hits = durable(_hits(spark, sf, passages=passages))
+    there = passages.filter("chunk_index % 2 = 0").join(small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    stored = there.groupBy("doc_id", "text").agg(F.min("chunk_index").alias("id"))
+    return hits.join(stored, ["doc_id", "text"], "left").select("query_id", "rank", F.coalesce(F.col("id").cast("string"), F.lit("?")).alias("found"))
 
 
 @book.add("e9_parity", f"""WITH {NEAR}, a AS (SELECT query_id, item, rank FROM near WHERE rank <= 5), b AS (SELECT query_id, item, rank - 1 AS rank FROM near WHERE rank BETWEEN 2 AND 6)
