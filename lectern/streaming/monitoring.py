@@ -91,7 +91,7 @@ class Draft:
         return cls(**known | {"waiting": {int(k): tuple(v) for k, v in known["waiting"]}, "missed": [tuple(g) for g in known["missed"]]})
 
 
-def clean_stream(pieces: DataFrame, idle: int = 60_000) -> DataFrame:
+def clean_stream(pieces: DataFrame, idle: int | None = 60_000) -> DataFrame:
     """(session, no, text): whole sentences without those that state an amount, from pieces (session, seq, kind, text), in any order of arrival.
 
     seq counts a session's pieces from 0. A piece that comes too early is held until those before it are
@@ -99,6 +99,7 @@ def clean_stream(pieces: DataFrame, idle: int = 60_000) -> DataFrame:
     sentence is held until it ends, however long it grows, so that no amount is shown in halves. kind is
     text, reset (what is held is dropped) or flush (the answer ends). A session that is idle for so long is flushed and forgotten. The
     sentences, numbered by `no`, do not depend on how the pieces were dealt into batches.
+    Without `idle` nothing is given up: what a stream over stored files has not read yet is not missing, however long its batches take.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -113,7 +114,7 @@ def clean_stream(pieces: DataFrame, idle: int = 60_000) -> DataFrame:
                 out += draft.arrive(int(seq), kind, text)
             now = state.getCurrentProcessingTimeMs()
             draft.since = 0 if not draft.waiting else draft.since or now
-            if draft.waiting and now - draft.since >= idle:
+            if idle is not None and draft.waiting and now - draft.since >= idle:
                 out += draft.give_up()
                 draft.since = 0
         first = draft.shown
@@ -122,11 +123,12 @@ def clean_stream(pieces: DataFrame, idle: int = 60_000) -> DataFrame:
             state.remove()
         else:
             state.update((draft.stored(),))
-            state.setTimeoutDuration(idle)
+            if idle is not None:
+                state.setTimeoutDuration(idle)
         if out:
             yield pd.DataFrame({"session": [key[0]] * len(out), "no": range(first, draft.shown), "text": out})
 
-    sentences = pieces.groupBy("session").applyInPandasWithState(step, "session string, no bigint, text string", "draft string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    sentences = pieces.groupBy("session").applyInPandasWithState(step, "session string, no bigint, text string", "draft string", "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
     return sentences.withColumn("text", without_doses(F.col("text"), note=False)).filter("text <> ''")
 
 

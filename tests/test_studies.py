@@ -362,3 +362,22 @@ def test_scans_of_several_sizes_and_damaged_ones(spark):
 def test_scans_are_dealt_to_all_cores(spark, sf):
     """The parts are one row group, which would be one core's work."""
     assert study_queries._drawn(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_drained_stream_waits_for_pieces_it_has_not_read(spark, tmp_path):
+    """The first piece is in the last file, and every batch lasts longer than the limit."""
+    said = ["One is whole. Tw", "o is cut. Thr", "ee ends here."]
+    schema = "session string, seq int, kind string, text string"
+    for seq in (2, 1, 0):
+        rows = [("a", seq, "text", said[seq])] + ([("a", 3, "flush", "")] if seq == 2 else [])
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+
+    def shown(idle):
+        out = str(tmp_path / f"out{idle}")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        mo.drain(mo.clean_stream(stream, idle=idle).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"c{idle}")), spark)
+        return [r.text for r in spark.read.schema("session string, no bigint, text string").parquet(out).orderBy("no").collect()]
+
+    whole = ["One is whole.", " Two is cut.", " Three ends here."]
+    assert shown(None) == whole and shown(1) != whole
