@@ -16,9 +16,9 @@ DIMENSIONS = 64
 Embed = Callable[[list[str]], np.ndarray]
 
 
-def hash_embed(texts: list[str]) -> np.ndarray:
+def hash_embed(texts: list[str], kind: type = np.float32) -> np.ndarray:
     """Unit vectors of hashed words; the first axis for texts without words."""
-    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    out = np.zeros((len(texts), DIMENSIONS), kind)
     for row, text in zip(out, texts, strict=True):
         for word in (text or "").lower().split():
             h = crc32(word.encode())
@@ -28,10 +28,15 @@ def hash_embed(texts: list[str]) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def embedder(embed: Embed = hash_embed):
-    """A vectorised function text -> array<float>; the plug-in comes to each worker once."""
+def hash_embed_doubles(texts: list[str]) -> np.ndarray:
+    """The same in doubles, where a similarity is held against a limit that it may equal."""
+    return hash_embed(texts, np.float64)
 
-    @F.pandas_udf("array<float>")
+
+def embedder(embed: Embed = hash_embed, kind: str = "array<float>"):
+    """A vectorised function text -> array<float>, or of another `kind`; the plug-in comes to each worker once."""
+
+    @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(list(embed(texts.fillna("").tolist())), index=texts.index)

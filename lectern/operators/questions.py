@@ -132,7 +132,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def relevant_to_own(question_vector: Column, sentence_vector: Column) -> Column:
-    return dot(question_vector, sentence_vector) >= MIN_RELEVANCE
+    """Whether the similarity reaches its limit; unit vectors in doubles keep one that equals it, but for rounding in the last places."""
+    return F.round(dot(question_vector, sentence_vector), 9) >= MIN_RELEVANCE
 
 
 def same_meaning(rows: DataFrame, key: str, vector: str, least: float = DUPLICATE) -> DataFrame:

@@ -364,6 +364,15 @@ def test_scans_are_dealt_to_all_cores(spark, sf):
     assert study_queries._drawn(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_a_similarity_that_equals_its_limit_is_reached(spark, tmp_path):
+    """3 / sqrt(18 * 50 / 9) and the like are 0.3, which unit vectors of single precision miss."""
+    pairs = [("w14 w100 w34 w34 w34 w24 w24 w24", "w14 w14 w100"), ("w14 w100 w34 w34 w24 w24", "w14 w100 w100 w372 w362 w362"), ("w14", "w100")]
+    rows = [(i, turn, "user", text) for i, both in enumerate(pairs) for turn, text in enumerate(both)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = study_queries.QUERIES["q8_relevance"](spark, str(tmp_path)).collect()
+    assert {r.id: r.relevant for r in got} == {0: True, 1: True, 2: False}
+
+
 def test_a_drained_stream_waits_for_pieces_it_has_not_read(spark, tmp_path):
     """The first piece is in the last file, and every batch lasts longer than the limit."""
     said = ["One is whole. Tw", "o is cut. Thr", "ee ends here."]
