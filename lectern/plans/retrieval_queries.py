@@ -10,7 +10,7 @@ from lectern.operators import evaluation as ev
 from lectern.operators import lexical as lx
 from lectern.operators import questions as qs
 from lectern.operators import retrieval as rt
-from lectern.operators.durable import durable
+from lectern.operators.durable import durable, stored
 from lectern.operators.sizes import hinted, small
 from lectern.plans import views as v
 from lectern.plans.book import Book
@@ -183,7 +183,7 @@ def _cards(spark, sf):
     """Documents with an embedding, written once, as searches read them several times; texts without one are not moved."""
     e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("passage_id"), "embedding")
     texts = v.table(spark, sf, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    cards = v.stored(spark, texts.join(small(e.select("passage_id"), SENT_IDS), "passage_id", "left_semi").join(e, "passage_id"), "cards")
+    cards = stored(texts.join(small(e.select("passage_id"), SENT_IDS), "passage_id", "left_semi").join(e, "passage_id"), "cards")
     asked = cards.filter("passage_id % 50 = 0").select(F.col("passage_id").alias("query_id"), F.array_join(tx.tokens(F.col("text")), " ").alias("query"), F.col("embedding").alias("vector"))
     return cards, asked
 

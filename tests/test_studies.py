@@ -390,3 +390,24 @@ def test_a_drained_stream_waits_for_pieces_it_has_not_read(spark, tmp_path):
 
     whole = ["One is whole.", " Two is cut.", " Three ends here."]
     assert shown(None) == whole and shown(1) != whole
+
+
+def test_signatures_differ_in_no_more_bits_than_sets_in_words(spark):
+    rng = random.Random(6)
+    sets = [(i, [rng.getrandbits(63) - (1 << 62) for _ in range(rng.randint(1, 300))]) for i in range(12)]
+    sets += [(100 + i, own[: len(own) // 2] + [rng.getrandbits(60)]) for i, own in sets]
+    signed = spark.createDataFrame(sets, "i int, h array<bigint>").select("i", qs.signature(F.col("h"), 4).alias("s"))
+    both = signed.crossJoin(signed.withColumnsRenamed({"i": "j", "s": "t"})).select("i", "j", qs.bits_apart(F.col("s"), F.col("t")).alias("apart")).collect()
+    held = {i: set(h) for i, h in sets}
+    assert all(r.apart <= len(held[r.i] ^ held[r.j]) for r in both) and sum(r.apart > 60 for r in both) > 100
+
+
+def test_similar_pairs_bring_few_sets_together(spark):
+    """60 texts share a rare word in their first places with many others, and few are alike; words went along with every candidate."""
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(60)]
+    rows = spark.createDataFrame([(i, " ".join(rng.sample(words, 24))) for i in range(60)], "id bigint, t string")
+    pairs, _ = qs.similar_pairs(rows, "id", "t")
+    text = {r.id: set(r.t.split()) for r in rows.collect()}
+    want = {(a, b) for a in text for b in text if a < b and len(text[a] & text[b]) >= 0.6 * len(text[a] | text[b])}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
