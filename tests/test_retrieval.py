@@ -72,6 +72,22 @@ def test_scores_are_summed_where_a_passage_is(spark, passages, queries):
     assert sorted(set(moved)) == ["passage_id", "query_id", "term"] and moved.count("passage_id") == moved.count("query_id") == 1
 
 
+def exchanges(df):
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [line.split("partitioning(")[1].split("], [plan")[0].split(", [plan")[0] for line in lines if "Exchange hash" in line or "Exchange range" in line]
+
+
+def test_postings_are_moved_once_by_key(spark, passages):
+    moved = exchanges(lx.sparse_vectors(lx.postings(passages, ["passage_id"]), ["passage_id"]))
+    assert len(moved) == 1 and "term" not in moved[0]
+
+
+def test_stored_postings_are_moved_once_and_summed_where_a_passage_is(spark, passages, queries):
+    blocks = lx.lexical_blocks(passages, ["passage_id"])
+    assert len([x for x in exchanges(blocks) if "part" in x]) == 1
+    assert not [x for x in exchanges(lx.block_search(blocks, queries, ["passage_id"], 2)) if "query_id" in x and "passage_id" in x]
+
+
 def test_blocks_of_queries_give_the_same_hits(spark, monkeypatch):
     rng = np.random.default_rng(5)
     passages = spark.createDataFrame([(i, words_of(rng, 20)) for i in range(200)], "passage_id int, text string")
