@@ -402,8 +402,8 @@ def test_signatures_differ_in_no_more_bits_than_sets_in_words(spark):
     assert all(r.apart <= len(held[r.i] ^ held[r.j]) for r in both) and sum(r.apart > 60 for r in both) > 100
 
 
-def test_similar_pairs_bring_few_sets_together(spark):
-    """60 texts share a rare word in their first places with many others, and few are alike; words went along with every candidate."""
+def test_similar_pairs_of_many_candidates(spark):
+    """60 texts share a rare word in their first places with many others, and few are alike: no pair may be ruled out wrongly."""
     rng = random.Random(8)
     words = [f"word{k}" for k in range(60)]
     rows = spark.createDataFrame([(i, " ".join(rng.sample(words, 24))) for i in range(60)], "id bigint, t string")
